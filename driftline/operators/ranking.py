@@ -1,11 +1,11 @@
 """Exact ranks, quantiles and running totals that stay distributed.
 
 A plain window sorts a whole group in one task, and ``percentile`` keeps all
-distinct values of a group in one buffer.  When a group may hold a third of the
-rows neither is acceptable.  Here a group above ``split_rows`` rows is cut at
-*splitters* (a bounded hash sample of its own rows), each slice is ordered on
-its own, and the slice totals (at most ``SPLITS`` + 1 per group) are prefixed
-and joined back.  Splitters only steer the balance, never the result.
+distinct values of a group in one buffer.  Both are used only after the largest
+group was counted and found to have at most ``split_rows`` rows.  Beyond that a
+group is cut at *splitters* (a bounded hash sample of its own rows), each slice
+is ordered on its own, and the slice totals (at most ``SPLITS`` + 1 per group)
+are prefixed and joined back.  Splitters steer the balance, never the result.
 """
 
 from __future__ import annotations
@@ -40,6 +40,14 @@ def with_stats(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     return df.join(stats, list(by), "left")
 
 
+def largest_group(df: DataFrame, by: Sequence[str] = ()) -> int:
+    """Rows of the largest group: one counting job, combined map-side."""
+    if not by:
+        return df.count()
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.max("_n")).first()[0] or 0
+
+
 def running_total(
     df: DataFrame,
     order: Sequence[str],
@@ -47,14 +55,22 @@ def running_total(
     by: Sequence[str] = (),
     out: str = "before",
     split_rows: int = SPLIT_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add the exclusive running total of ``weight`` inside each group.
 
     ``order`` must be unique inside a group (end it with a key) and ascending.
+    ``small`` skips the size check when the caller has made it.
     """
     weight = F.lit(1).cast("long") if weight is None else weight
     lit_key = not by
     by = _keys(by)
+    if small is None:
+        small = largest_group(df, by) <= split_rows
+    if small:
+        before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+        before = before.rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(weight).over(before), F.lit(0).cast("long")))
     src = df.withColumn("_w", weight)
     if lit_key:
         src, by = src.withColumn("_all", F.lit(1)), ["_all"]
@@ -111,12 +127,10 @@ def value_positions(
     df: DataFrame, value: str, by: Sequence[str] = (), split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """Distinct values with ``cnt`` (ties) and ``below`` (rows strictly smaller)."""
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    return running_total(counts, [value], F.col("cnt"), by, "below", split_rows)
+    rows = df.filter(F.col(value).isNotNull())
+    small = largest_group(rows, by) <= split_rows
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
+    return running_total(counts, [value], F.col("cnt"), by, "below", split_rows, small or None)
 
 
 def quantiles(
@@ -134,31 +148,29 @@ def quantiles(
     element at ``round(p * (n - 1))``.
     """
     names = list(names or [f"q{i + 1}" for i in range(len(probs))])
-    pos = value_positions(df, value, by, split_rows)
-    if by:
-        sizes = pos.groupBy(*by).agg(F.sum("cnt").alias("_n"))
-        pos = pos.join(sizes, list(by))
-    else:
-        pos = pos.withColumn("_n", pos.agg(F.sum("cnt")).scalar())
+    rows = df.select(*by, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    if method == "linear" and largest_group(rows, by) <= split_rows:
+        cuts = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")
+        packed = rows.groupBy(*by).agg(cuts) if by else rows.agg(cuts)
+        return packed.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    pos = value_positions(rows, value, by, split_rows)
+    pos = with_stats(pos, by, _n=F.sum("cnt"))
 
     def at(index: Column) -> Column:
         inside = (F.col("below") <= index) & (index < F.col("below") + F.col("cnt"))
-        return F.max(F.when(inside, F.col(value).cast("double")))
+        return F.max(F.when(inside, F.col(value)))
 
     aggs, outs = [F.max("_n").alias("_n")], []
     for name, p in zip(names, probs):
         where = F.lit(float(p)) * (F.col("_n") - 1)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         if method == "nearest":
             aggs.append(at(F.round(where).cast("long")).alias(f"_lo_{name}"))
-            outs.append(F.col(f"_lo_{name}").alias(name))
-            continue
-        aggs += [
-            at(F.floor(where)).alias(f"_lo_{name}"),
-            at(F.ceil(where)).alias(f"_hi_{name}"),
-        ]
-        frac = where - F.floor(where)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        outs.append((lo + (hi - lo) * frac).alias(name))
+            outs.append(lo.alias(name))
+        else:
+            aggs.append(at(F.floor(where)).alias(f"_lo_{name}"))
+            aggs.append(at(F.ceil(where)).alias(f"_hi_{name}"))
+            outs.append((lo + (hi - lo) * (where - F.floor(where))).alias(name))
     grouped = pos.groupBy(*by).agg(*aggs) if by else pos.agg(*aggs)
     return grouped.select(*by, *outs)
 

@@ -150,7 +150,7 @@ def scored_cases(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).join(lines, "case_id").select(
         "case_id", "cls", "owner", "filed", "year", "status", "registered", "amount", "n_terms",
         r(F.col("_q") / F.col("n_terms") / 10).alias("kl_past"),
-        r(F.col("_d") / F.col("n_terms") / 2 + F.col("amount") / 1e6).alias("kl_future"),
+        r(F.col("_d") / F.col("n_terms") / 2 + F.col("amount") / 1234567.0).alias("kl_future"),
         "hit",
     ).withColumn("lead", r(F.col("kl_past") - F.col("kl_future"))).withColumn(
         "level", r((F.col("kl_past") + F.col("kl_future")) / 2)
@@ -164,7 +164,7 @@ view(
       bool_or(l_returnflag = 'R') AS hit FROM lineitem GROUP BY 1),
     s AS (SELECT c.*, l.n_terms, l.hit,
       round(l.q / l.n_terms / 10, 6) + CAST(0 AS DOUBLE) AS kl_past,
-      round(CAST(l.dd AS DOUBLE) / l.n_terms / 2 + c.amount / CAST(1e6 AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS kl_future
+      round(CAST(l.dd AS DOUBLE) / l.n_terms / 2 + c.amount / CAST(1234567 AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS kl_future
       FROM v_cases c JOIN l USING (case_id))
     SELECT *, round(kl_past - kl_future, 6) + CAST(0 AS DOUBLE) AS lead,
       round((kl_past + kl_future) / 2, 6) + CAST(0 AS DOUBLE) AS level FROM s""",

@@ -306,7 +306,7 @@ PHRASES = {"and_the": "and the", "in_the": "in the", "de_la": "de la"}
 
 @query(
     "phrase_filter",
-    "SELECT doc_id FROM v_corpus WHERE regexp_matches(body, '(?i)\\band\\s+the\\b')",
+    "SELECT doc_id FROM v_corpus WHERE regexp_matches(regexp_replace(lower(body), '[\\x{C0}-\\x{24F}]', '0', 'g'), '(?i)\\band\\s+the\\b')",
 )
 def phrase_filter(spark, d):
     return b.corpus(spark, d).filter(tx.has_phrase("body", "and the")).select("doc_id")
@@ -316,7 +316,7 @@ def phrase_filter(spark, d):
     "phrase_trajectory",
     "WITH f AS (SELECT year, count(*) AS n_docs, "
     + ", ".join(
-        f"count(*) FILTER (WHERE regexp_matches(body, '{tx.phrase_pattern(p)}')) AS {k}"
+        f"count(*) FILTER (WHERE regexp_matches({_ASCII}, '{tx.phrase_pattern(p)}')) AS {k}"
         for k, p in PHRASES.items()
     )
     + " FROM v_corpus GROUP BY year HAVING count(*) >= 10), u AS ("
