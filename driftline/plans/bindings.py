@@ -149,11 +149,11 @@ def scored_cases(spark: SparkSession, d: str) -> DataFrame:
     )
     return cases(spark, d).join(lines, "case_id").select(
         "case_id", "cls", "owner", "filed", "year", "status", "registered", "amount", "n_terms",
-        r(F.col("_q") / F.col("n_terms") / 10).alias("kl_past"),
-        r(F.col("_d") / F.col("n_terms") / 2 + F.col("amount") / 1234567.0).alias("kl_future"),
+        r(F.col("_q") / F.col("n_terms") / 10 + F.col("amount") / 7654321.0, 9).alias("kl_past"),
+        r(F.col("_d") / F.col("n_terms") / 2 + F.col("amount") / 1234567.0, 9).alias("kl_future"),
         "hit",
-    ).withColumn("lead", r(F.col("kl_past") - F.col("kl_future"))).withColumn(
-        "level", r((F.col("kl_past") + F.col("kl_future")) / 2)
+    ).withColumn("lead", r(F.col("kl_past") - F.col("kl_future"), 9)).withColumn(
+        "level", r((F.col("kl_past") + F.col("kl_future")) / 2, 9)
     )
 
 
@@ -163,11 +163,11 @@ view(
       CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS dd,
       bool_or(l_returnflag = 'R') AS hit FROM lineitem GROUP BY 1),
     s AS (SELECT c.*, l.n_terms, l.hit,
-      round(l.q / l.n_terms / 10, 6) + CAST(0 AS DOUBLE) AS kl_past,
-      round(CAST(l.dd AS DOUBLE) / l.n_terms / 2 + c.amount / CAST(1234567 AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS kl_future
+      round(l.q / l.n_terms / 10 + c.amount / CAST(7654321 AS DOUBLE), 9) + CAST(0 AS DOUBLE) AS kl_past,
+      round(CAST(l.dd AS DOUBLE) / l.n_terms / 2 + c.amount / CAST(1234567 AS DOUBLE), 9) + CAST(0 AS DOUBLE) AS kl_future
       FROM v_cases c JOIN l USING (case_id))
-    SELECT *, round(kl_past - kl_future, 6) + CAST(0 AS DOUBLE) AS lead,
-      round((kl_past + kl_future) / 2, 6) + CAST(0 AS DOUBLE) AS level FROM s""",
+    SELECT *, round(kl_past - kl_future, 9) + CAST(0 AS DOUBLE) AS lead,
+      round((kl_past + kl_future) / 2, 9) + CAST(0 AS DOUBLE) AS level FROM s""",
 )
 
 
@@ -263,7 +263,7 @@ def scores_sql(parts: str) -> str:
 def R_(e: str) -> str:
     from .registry import R
 
-    return R(e)
+    return R(e, 9)
 
 
 view("v_ref", year_refs_sql(WINDOW))
@@ -273,12 +273,12 @@ view("v_scores", scores_sql("v_parts"))
 
 
 def scores(spark: SparkSession, d: str, window: int = WINDOW) -> DataFrame:
-    """Document scores rounded to 6 digits, so ties stay ties downstream."""
+    """Document scores rounded to 9 digits, so ties stay ties downstream."""
     docs = corpus(spark, d)
     terms = doc_terms(spark, d, docs)
     v = vocabulary.build_vocabulary(docs, terms, MIN_DF, 0.5)
     return rounded(
-        surprise.year_window(docs, terms, v, window, ALPHA), "kl_past", "kl_future"
+        surprise.year_window(docs, terms, v, window, ALPHA), "kl_past", "kl_future", digits=9
     )
 
 
@@ -286,8 +286,8 @@ def scores(spark: SparkSession, d: str, window: int = WINDOW) -> DataFrame:
 CLEAN = {"min_past": 20, "min_future": 20, "min_terms": 3}
 view(
     "v_clean",
-    """SELECT *, round(kl_past - kl_future, 6) + CAST(0 AS DOUBLE) AS lead,
-    round((kl_past + kl_future) / 2, 6) + CAST(0 AS DOUBLE) AS level
+    """SELECT *, round(kl_past - kl_future, 9) + CAST(0 AS DOUBLE) AS lead,
+    round((kl_past + kl_future) / 2, 9) + CAST(0 AS DOUBLE) AS level
     FROM v_scores WHERE n_past >= 20 AND n_future >= 20 AND n_terms >= 3
     AND kl_past IS NOT NULL AND kl_future IS NOT NULL""",
 )
@@ -295,4 +295,4 @@ view(
 
 def clean_scores(spark: SparkSession, d: str) -> DataFrame:
     kept = surprise.clean(scores(spark, d), **CLEAN)
-    return rounded(surprise.axes(kept), "lead", "level").drop("abs_lead")
+    return rounded(surprise.axes(kept), "lead", "level", digits=9).drop("abs_lead")

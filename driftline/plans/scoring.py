@@ -9,9 +9,12 @@ from . import bindings as b
 from .registry import R, query, r, rounded
 
 
-@query("kl_year_window", "SELECT * FROM v_scores")
+@query(
+    "kl_year_window",
+    f"SELECT * REPLACE ({R('kl_past')} AS kl_past, {R('kl_future')} AS kl_future) FROM v_scores",
+)
 def kl_year_window(spark, d):
-    return b.scores(spark, d)
+    return rounded(b.scores(spark, d), "kl_past", "kl_future")
 
 
 @query(
