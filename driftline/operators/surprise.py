@@ -31,12 +31,6 @@ def period_totals(docs: DataFrame, doc_terms: DataFrame, period: str = "year"):
     return tf, n
 
 
-def _frames(over: Sequence[str], period: str, window: int) -> dict[str, Window]:
-    # at most one row per period reaches these windows
-    w = Window.partitionBy(*over).orderBy(period)
-    return {"past": w.rangeBetween(-window, -1), "future": w.rangeBetween(1, window)}
-
-
 def vocabulary_size(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("cls").agg(F.count(F.lit(1)).alias("v_size"))
 
@@ -57,56 +51,77 @@ def _divergence(side: str, total: Column) -> Column:
 
 
 def window_references(
-    docs: DataFrame, doc_terms: DataFrame, vocab: DataFrame, window: int, period: str = "year"
+    docs: DataFrame,
+    doc_terms: DataFrame,
+    vocab: DataFrame,
+    spans: dict[str, tuple[int, int]],
+    period: str = "year",
 ):
-    """Reference counts per (class, term, period) and totals per (class, period)."""
+    """Reference counts per (class, term, period) and totals per (class, period).
+
+    ``spans`` names each reference and gives its range of relative periods, so
+    any number of references share one pass over the terms.  The windows see at
+    most one row per period.
+    """
     tf, n = period_totals(docs, doc_terms, period)
     tf = tf.join(vocab.select("cls", "term"), ["cls", "term"], "left_semi")
-    by_term = _frames(["cls", "term"], period, window)
-    by_cls = _frames(["cls"], period, window)
+    by_term = Window.partitionBy("cls", "term").orderBy(period)
+    by_cls = Window.partitionBy("cls").orderBy(period)
+
+    def over(column: str, w, span, out: str) -> Column:
+        return F.coalesce(F.sum(column).over(w.rangeBetween(*span)), F.lit(0)).alias(out)
+
     refs = tf.select(
-        "cls",
-        "term",
-        period,
-        *[F.coalesce(F.sum("tf").over(by_term[s]), F.lit(0)).alias(f"tf_{s}") for s in SIDES],
+        "cls", "term", period, *[over("tf", by_term, sp, f"tf_{s}") for s, sp in spans.items()]
     )
     mass = tf.groupBy("cls", period).agg(F.sum("tf").alias("_m"))
     totals = n.join(mass, ["cls", period], "left").join(vocabulary_size(vocab), "cls", "left")
-    for s in SIDES:
-        totals = totals.withColumn(
-            f"n_{s}", F.coalesce(F.sum("n_docs").over(by_cls[s]), F.lit(0))
-        ).withColumn(f"total_{s}", F.coalesce(F.sum("_m").over(by_cls[s]), F.lit(0)))
-    return refs, totals.drop("_m", "n_docs")
+    totals = totals.select(
+        "cls", period, "v_size",
+        *[over("n_docs", by_cls, sp, f"n_{s}") for s, sp in spans.items()],
+        *[over("_m", by_cls, sp, f"total_{s}") for s, sp in spans.items()],
+    )
+    return refs, totals
 
 
-def year_window(
+def span_scores(
     docs: DataFrame,
     doc_terms: DataFrame,
     vocab: DataFrame,
-    window: int = 5,
+    spans: dict[str, tuple[int, int]],
+    period: str = "year",
     alpha: float = 1.0,
 ) -> DataFrame:
-    """Scores against the ``window`` calendar years before and after.
-
-    A side without any document scores NULL; documents without a vocabulary
-    term keep ``n_terms = 0`` and NULL scores.
-    """
+    """``kl_<span>`` and ``n_<span>`` for every span; a span without any document
+    scores NULL, and documents without a vocabulary term have ``n_terms = 0``."""
     docs = with_text(docs)
-    refs, totals = window_references(docs, doc_terms, vocab, window)
-    logs = {s: F.log(F.col(f"tf_{s}") + alpha) for s in SIDES}
-    sums = _doc_sums(doc_terms.join(refs, ["cls", "term", "year"]), logs)
-    out = docs.drop("body").join(sums, "doc_id", "left").join(totals, ["cls", "year"], "left")
+    refs, totals = window_references(docs, doc_terms, vocab, spans, period)
+    logs = {s: F.log(F.col(f"tf_{s}") + alpha) for s in spans}
+    sums = _doc_sums(doc_terms.join(refs, ["cls", "term", period]), logs)
+    out = docs.drop("body").join(sums, "doc_id", "left").join(totals, ["cls", period], "left")
+    keep = [c for c in docs.columns if c != "body"]
     scored = F.col("n_terms") > 0
-    for s in SIDES:
+    cols = []
+    for s in spans:
         total = F.col(f"total_{s}") + alpha * F.col("v_size")
-        out = out.withColumn(f"kl_{s}", F.when(F.col(f"n_{s}") > 0, _divergence(s, total)))
-        out = out.withColumn(
-            f"n_{s}", F.when(scored, F.col(f"n_{s}")).otherwise(0).cast("long")
-        )
-    keep = [c for c in docs.columns if c != "body"]
-    return out.withColumn("n_terms", F.coalesce("n_terms", F.lit(0))).select(
-        *keep, "n_terms", "kl_past", "n_past", "kl_future", "n_future"
-    )
+        cols += [
+            F.when(F.col(f"n_{s}") > 0, _divergence(s, total)).alias(f"kl_{s}"),
+            F.when(scored, F.col(f"n_{s}")).otherwise(0).cast("long").alias(f"n_{s}"),
+        ]
+    tokens = F.coalesce("_t", F.lit(0)).alias("n_tokens")
+    return out.select(*keep, F.coalesce("n_terms", F.lit(0)).alias("n_terms"), tokens, *cols)
+
+
+def year_window(
+    docs: DataFrame,
+    doc_terms: DataFrame,
+    vocab: DataFrame,
+    window: int = 5,
+    alpha: float = 1.0,
+) -> DataFrame:
+    """Scores against the ``window`` calendar years before and after."""
+    spans = {"past": (-window, -1), "future": (1, window)}
+    return span_scores(docs, doc_terms, vocab, spans, "year", alpha).drop("n_tokens")
 
 
 def term_contributions(
@@ -114,7 +129,8 @@ def term_contributions(
 ) -> DataFrame:
     """Per (document, term) share of both scores, before summing over terms."""
     docs = with_text(docs)
-    refs, totals = window_references(docs, doc_terms, vocab, window)
+    spans = {"past": (-window, -1), "future": (1, window)}
+    refs, totals = window_references(docs, doc_terms, vocab, spans)
     joined = doc_terms.join(refs, ["cls", "term", "year"])
     size = F.sum("cnt").over(Window.partitionBy("doc_id"))
     joined = joined.withColumn("_p", F.col("cnt") / size).join(totals, ["cls", "year"])
@@ -233,42 +249,13 @@ def monthly_freshness(
     Scored from ``-far[0]`` months after the class's first month on.
     """
     month = F.year("filed") * 12 + F.month("filed") - 1
-    docs = with_text(docs).withColumn("month", month)
+    docs = docs.withColumn("month", month)
     terms = doc_terms.withColumn("month", month)
-    tf, n = period_totals(docs, terms, "month")
-    tf = tf.join(vocab.select("cls", "term"), ["cls", "term"], "left_semi")
-    wt, wc = (Window.partitionBy(*k).orderBy("month") for k in (["cls", "term"], ["cls"]))
     spans = {"near": near, "far": far}
-    refs = tf.select(
-        "cls",
-        "term",
-        "month",
-        *[
-            F.coalesce(F.sum("tf").over(wt.rangeBetween(*span)), F.lit(0)).alias(f"tf_{s}")
-            for s, span in spans.items()
-        ],
-    )
-    mass = tf.groupBy("cls", "month").agg(F.sum("tf").alias("_m"))
-    totals = n.join(mass, ["cls", "month"], "left").join(vocabulary_size(vocab), "cls")
-    first = F.min("month").over(Window.partitionBy("cls"))
-    totals = totals.select(
-        "cls",
-        "month",
-        "v_size",
-        first.alias("_first"),
-        *[
-            F.coalesce(F.sum("_m").over(wc.rangeBetween(*span)), F.lit(0)).alias(f"total_{s}")
-            for s, span in spans.items()
-        ],
-    )
-    logs = {s: F.log(F.col(f"tf_{s}") + alpha) for s in spans}
-    sums = _doc_sums(terms.join(refs, ["cls", "term", "month"]), logs)
-    out = docs.select("doc_id", "cls", "month").join(sums, "doc_id").join(totals, ["cls", "month"])
-    ok = (F.col("_t") >= min_tokens) & (F.col("month") - F.col("_first") >= -far[0])
-    out = out.filter(ok)
-    for s in spans:
-        total = F.col(f"total_{s}") + alpha * F.col("v_size")
-        out = out.withColumn(f"kl_{s}", _divergence(s, total))
+    out = span_scores(docs, terms, vocab, spans, "month", alpha)
+    first = with_text(docs).groupBy("cls").agg(F.min("month").alias("_first"))
+    late = F.col("month") - F.col("_first") >= -far[0]
+    out = out.join(first, "cls").filter((F.col("n_tokens") >= min_tokens) & late)
     return out.select(
         "doc_id",
         "cls",
@@ -380,3 +367,94 @@ def clean_audit(scores: DataFrame, min_past: int, min_future: int, min_terms: in
     return wide.selectExpr(
         "n_rows", f"stack({len(names)}, {rows}) as (clause, alone, cumulative, left_out)"
     )
+
+
+def turnover(docs: DataFrame, doc_terms: DataFrame, window: int = 5) -> DataFrame:
+    """Share of a class-year's term types unseen in the prior ``window`` years,
+    and growth of volume over the mean of those years."""
+    types = doc_terms.select("cls", "term", "year").distinct()
+    w = Window.partitionBy("cls", "term").orderBy("year")
+    prev = F.lag("year").over(w)
+    fresh = prev.isNull() | (F.col("year") - prev > window)
+    t = types.withColumn("_new", fresh).groupBy("cls", "year").agg(
+        F.count(F.lit(1)).alias("n_types"), F.avg(F.col("_new").cast("double")).alias("turnover")
+    )
+    n = with_text(docs).groupBy("cls", "year").agg(F.count(F.lit(1)).alias("n_docs"))
+    back = Window.partitionBy("cls").orderBy("year").rangeBetween(-window, -1)
+    prior = F.coalesce(F.sum("n_docs").over(back), F.lit(0))
+    n = n.withColumn("growth", F.log1p("n_docs") - F.log1p(prior / F.lit(window)))
+    return n.join(t, ["cls", "year"], "left")
+
+
+def burnin_end(
+    scores: DataFrame, stable: tuple[int, int], floor: float = 0.02, run: int = 3,
+    min_docs: int = 200, min_stable: int = 6,
+) -> DataFrame:
+    """First year from which ``run`` consecutive yearly mean leads stay within
+    ``max(floor, 3 sd)`` of the median of the stable years."""
+    lead = F.col("kl_past") - F.col("kl_future")
+    yearly = scores.groupBy("cls", "year").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(lead).alias("m")
+    ).filter(F.col("n") >= min_docs)
+    inside = F.when(F.col("year").between(*stable), F.col("m"))
+    # one row per class and year: a class holds a few dozen rows at most
+    band = yearly.groupBy("cls").agg(
+        F.median(inside).alias("ref_level"),
+        F.greatest(F.lit(floor), 3 * F.stddev_pop(inside)).alias("band"),
+        F.count(inside).alias("_k"),
+        F.min("year").alias("first_year"),
+    ).filter(F.col("_k") >= min_stable)
+    w = Window.partitionBy("cls").orderBy("year")
+    ok = F.abs(F.col("m") - F.col("ref_level")) <= F.col("band")
+    j = yearly.join(band, "cls").withColumn("_ok", ok)
+    good = F.col("_ok")
+    for k in range(1, run):
+        good = good & F.coalesce(
+            F.lead("_ok", k).over(w) & (F.lead("year", k).over(w) == F.col("year") + k),
+            F.lit(False),
+        )
+    j = j.withColumn("_run", good)
+    return j.groupBy("cls", "first_year", "ref_level", "band").agg(
+        F.min(F.when(F.col("_run"), F.col("year"))).alias("burnin_end")
+    )
+
+
+def forward_coverage(counts: DataFrame, years: int = 5) -> DataFrame:
+    """Observed share of each class-year's forward window, weighted by volume.
+
+    ``counts``: (cls, year, n).  Years after the last complete one run at its
+    rate; the last year is partial when it has under half of the year before.
+    """
+    edge = counts.groupBy("cls").agg(
+        F.max("year").alias("_y1"), F.max_by("n", "year").alias("_n1")
+    )
+    before = counts.select("cls", (F.col("year") + 1).alias("_y1"), F.col("n").alias("_n0"))
+    edge = edge.join(before, ["cls", "_y1"], "left")
+    partial = F.col("_n1") < 0.5 * F.col("_n0")
+    edge = edge.select(
+        "cls",
+        F.when(partial, F.col("_y1") - 1).otherwise(F.col("_y1")).alias("_last"),
+        F.when(partial, F.col("_n0")).otherwise(F.col("_n1")).alias("_rate"),
+    )
+    ahead = counts.select("cls", "year", F.explode(F.sequence(F.lit(1), F.lit(years))).alias("_j"))
+    seen = counts.select("cls", (F.col("year")).alias("_yj"), F.col("n").alias("_nj"))
+    j = ahead.withColumn("_yj", F.col("year") + F.col("_j")).join(seen, ["cls", "_yj"], "left")
+    j = j.join(edge, "cls")
+    full = F.when(F.col("_yj") <= F.col("_last"), F.coalesce("_nj", F.col("_rate")))
+    return j.groupBy("cls", "year").agg(
+        (F.sum(F.coalesce("_nj", F.lit(0))) / F.sum(full.otherwise(F.col("_rate")))).alias(
+            "coverage"
+        )
+    )
+
+
+def novel_share(doc_terms: DataFrame, vocab: DataFrame, recent: int = 3) -> DataFrame:
+    """Share of a document's term mass whose term first appeared in the class
+    within the last ``recent`` years."""
+    kept = doc_terms.join(vocab.select("cls", "term"), ["cls", "term"], "left_semi")
+    first = kept.groupBy("cls", "term").agg(F.min("year").alias("_y0"))
+    j = kept.join(first, ["cls", "term"])
+    fresh = F.when(F.col("_y0") >= F.col("year") - recent, F.col("cnt")).otherwise(0)
+    return j.groupBy("doc_id").agg(
+        F.sum("cnt").alias("n_tokens"), (F.sum(fresh) / F.sum("cnt")).alias("novel_share")
+    )

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import surprise, vocabulary
+from ..operators import surprise, topics, vocabulary
+from ..sources.staging import stage
 from .registry import r, rounded, sql_list, view
 
 # A short function-word list; the operators take any list.
@@ -294,5 +295,77 @@ view(
 
 
 def clean_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Clean document scores as a stage table (its readers pass over it often)."""
     kept = surprise.clean(scores(spark, d), **CLEAN)
-    return rounded(surprise.axes(kept), "lead", "level", digits=9).drop("abs_lead")
+    return stage(rounded(surprise.axes(kept), "lead", "level", digits=9).drop("abs_lead"), "scores")
+
+
+TOPICS = 5
+
+
+def theta(spark: SparkSession, d: str) -> DataFrame:
+    """Deterministic pseudo-topics: share of a document's terms by length modulo 5."""
+    docs = surprise.with_text(corpus(spark, d))
+    terms = doc_terms(spark, d, docs)
+    k = F.length("term") % TOPICS
+    mass = terms.groupBy("doc_id").agg(
+        F.sum("cnt").alias("_t"), *[F.sum(F.when(k == i, F.col("cnt"))).alias(f"_c{i}") for i in range(TOPICS)]
+    )
+    wide = docs.select("doc_id", "cls", "filed", "year").join(mass, "doc_id", "left")
+    cells = ", ".join(f"{i}, _c{i}" for i in range(TOPICS))
+    long = wide.selectExpr("doc_id", "cls", "filed", "year", "_t", f"stack({TOPICS}, {cells}) as (k, c)")
+    part = F.coalesce(F.col("c") / F.col("_t"), F.lit(0.0))
+    return topics.normalised(
+        long.select("doc_id", "cls", "filed", "year", "k", (part + 0.001).alias("theta"))
+    )
+
+
+view(
+    "v_theta",
+    """WITH m AS (SELECT doc_id, length(term) % 5 AS k, sum(cnt) AS c FROM v_terms GROUP BY ALL),
+    t AS (SELECT doc_id, sum(cnt) AS t FROM v_terms GROUP BY ALL)
+    SELECT doc_id, cls, filed, year, k, z / sum(z) OVER (PARTITION BY doc_id) AS theta FROM (SELECT c.doc_id, c.cls, c.filed, c.year,
+    CAST(ks.k AS INTEGER) AS k, coalesce(CAST(m.c AS DOUBLE) / t.t, 0) + CAST(0.001 AS DOUBLE) AS z
+    FROM v_corpus c CROSS JOIN (SELECT unnest(range(5)) AS k) ks
+    LEFT JOIN m ON m.doc_id = c.doc_id AND m.k = ks.k LEFT JOIN t ON t.doc_id = c.doc_id WHERE length(c.body) > 0)""",
+)
+
+
+def rolling_sql(w: int) -> str:
+    side = lambda n, cond: f"""SELECT a.cls, a.filed, b.k, sum(b.theta) / sum(1.0) AS m, count(*) AS n
+      FROM (SELECT DISTINCT cls, filed FROM v_theta) a JOIN v_theta b ON b.cls = a.cls AND {cond} GROUP BY ALL"""
+    return f"""WITH p AS ({side('p', f'b.filed >= a.filed - {w} AND b.filed < a.filed')}),
+    f AS ({side('f', f'b.filed > a.filed AND b.filed <= a.filed + {w}')}),
+    pq AS (SELECT *, m / sum(m) OVER (PARTITION BY cls, filed) AS q FROM p), fq AS (SELECT *, m / sum(m) OVER (PARTITION BY cls, filed) AS q FROM f)
+    SELECT t.doc_id, t.cls, t.filed, t.year, sum(t.theta * (ln(t.theta) - ln(pq.q))) AS kl_past, coalesce(max(pq.n), 0) AS n_past,
+    sum(t.theta * (ln(t.theta) - ln(fq.q))) AS kl_future, coalesce(max(fq.n), 0) AS n_future
+    FROM v_theta t LEFT JOIN pq ON pq.cls = t.cls AND pq.filed = t.filed AND pq.k = t.k
+    LEFT JOIN fq ON fq.cls = t.cls AND fq.filed = t.filed AND fq.k = t.k GROUP BY 1, 2, 3, 4"""
+
+
+view("v_rolling", rolling_sql(365))
+MASK_SQL = (
+    "n_past >= 20 AND n_future >= 20 AND filed - 365 >= min(filed) OVER (PARTITION BY cls) "
+    "AND filed + 365 <= max(filed) OVER (PARTITION BY cls) AND year BETWEEN 1996 AND 2000"
+)
+view(
+    "v_masked",
+    f"""SELECT *, CASE WHEN scored THEN round(a - z, 9) + CAST(0 AS DOUBLE) END AS lead, CASE WHEN scored THEN a END AS kl_past,
+    CASE WHEN scored THEN z END AS kl_future FROM (SELECT doc_id, cls, filed, year, n_past, n_future, {MASK_SQL} AS scored,
+    round(kl_past, 9) + CAST(0 AS DOUBLE) AS a, round(kl_future, 9) + CAST(0 AS DOUBLE) AS z FROM v_rolling)""",
+)
+
+
+def rolling(spark: SparkSession, d: str, days: int = 365) -> DataFrame:
+    return topics.rolling_scores(theta(spark, d), days)
+
+
+def masked(spark: SparkSession, d: str) -> DataFrame:
+    """Masked rolling topic scores (a stage table, rounded to 9 digits)."""
+    m = topics.quality_mask(rolling(spark, d), 365, 20, (1996, 2000))
+    m = rounded(m, "kl_past", "kl_future", digits=9)
+    return stage(m.withColumn("lead", r(F.col("kl_past") - F.col("kl_future"), 9)), "rolling")
+
+
+def quality(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))

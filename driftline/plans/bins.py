@@ -259,16 +259,16 @@ def scalar_date(spark, d):
 
 @query(
     "scalar_math",
-    f"""SELECT case_id, {R('ln(amount)')} AS a, {R('ln(1 + amount)')} AS b, {R('log10(amount)')} AS c, {R('exp(-lead)')} AS e, {R('abs(lead)')} AS f,
-    CAST(sign(lead) AS INTEGER) AS g, {R('pow(lead, 2)')} AS h, {R('greatest(-0.5, least(0.5, lead))')} AS i, CAST(case_id // 7 AS BIGINT) AS j FROM v_scored""",
+    f"""SELECT case_id, {R('ln(amount)')} AS a, {R('ln(1 + amount)')} AS b, {R('log10(amount)')} AS c, {R('exp(-lead)')} AS e, abs(lead) + CAST(0 AS DOUBLE) AS f,
+    CAST(sign(lead) AS INTEGER) AS g, {R('pow(lead, 2)')} AS h, greatest(CAST(-0.5 AS DOUBLE), least(CAST(0.5 AS DOUBLE), lead)) AS i, CAST(case_id // 7 AS BIGINT) AS j FROM v_scored""",
 )
 def scalar_math(spark, d):
     x = F.col("lead")
     return b.scored_cases(spark, d).select(
         "case_id", r(F.ln("amount")).alias("a"), r(F.log1p("amount")).alias("b"),
-        r(F.log10("amount")).alias("c"), r(F.exp(-x)).alias("e"), r(F.abs(x)).alias("f"),
+        r(F.log10("amount")).alias("c"), r(F.exp(-x)).alias("e"), F.abs(x).alias("f"),
         F.signum(x).cast("int").alias("g"), r(F.pow(x, F.lit(2))).alias("h"),
-        r(clip(x, -0.5, 0.5)).alias("i"), F.expr("case_id div 7").alias("j"),
+        clip(x, -0.5, 0.5).alias("i"), F.expr("case_id div 7").alias("j"),
     )
 
 
@@ -307,19 +307,19 @@ def scalar_array(spark, d):
 
 @query(
     "scalar_winsorise",
-    f"""SELECT case_id, {R('greatest(lo, least(hi, lead))')} AS lead_w FROM v_scored,
+    f"""SELECT case_id, {R('greatest(lo, least(hi, lead))', 9)} AS lead_w FROM v_scored,
     (SELECT quantile_cont(lead, 0.01) AS lo, quantile_cont(lead, 0.99) AS hi FROM v_scored)""",
 )
 def scalar_winsorise(spark, d):
     out = binning.winsorise(b.scored_cases(spark, d), "lead", out="lead_w")
-    return out.select("case_id", r("lead_w").alias("lead_w"))
+    return out.select("case_id", r("lead_w", 9).alias("lead_w"))
 
 
 @query(
     "scalar_ratio_guards",
-    f"SELECT l_orderkey, l_linenumber, {R('l_extendedprice / nullif(l_discount * 100, 0)', 3)} AS ratio FROM lineitem WHERE l_extendedprice / nullif(l_discount * 100, 0) BETWEEN 1 AND 20000",
+    f"SELECT l_orderkey, l_linenumber, {R('l_extendedprice / nullif(l_discount * 100, 0)', 6)} AS ratio FROM lineitem WHERE l_extendedprice / nullif(l_discount * 100, 0) BETWEEN 1 AND 20000",
 )
 def scalar_ratio_guards(spark, d):
     x = ratio(F.col("l_extendedprice"), F.col("l_discount") * 100)
     lines = b.table(spark, d, "lineitem").filter(x.between(1, 20000))
-    return lines.select("l_orderkey", "l_linenumber", r(x, 3).alias("ratio"))
+    return lines.select("l_orderkey", "l_linenumber", r(x, 6).alias("ratio"))
