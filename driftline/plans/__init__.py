@@ -4,7 +4,7 @@ import importlib
 
 from .registry import QUERIES, oracle_statements
 
-for _name in ("texts", "lifecycle", "relational", "bins", "scoring"):
+for _name in ("texts", "lifecycle", "relational", "bins", "scoring", "adoption"):
     importlib.import_module(f"{__name__}.{_name}")
 
 ORACLE_SQL = oracle_statements()
