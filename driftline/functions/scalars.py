@@ -27,6 +27,13 @@ def ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation; NULL instead of an ANSI error when a side is constant."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def share(flag: Column) -> Column:
     """Mean of a boolean (NULL flags do not count)."""
     return F.avg(flag.cast("double"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import share
+from ..functions.scalars import correlation, share
 from . import ranking
 
 
@@ -18,7 +18,7 @@ def summary(scores: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
         F.stddev_samp(value).alias("sd"),
         share(F.col(value) > 0).alias("share_positive"),
         F.avg(F.abs(value)).alias("mean_abs"),
-        F.corr("kl_past", "kl_future").alias("corr_sides"),
+        correlation("kl_past", "kl_future").alias("corr_sides"),
     ]
     q = ranking.quantiles(scores, value, [0.1, 0.5, 0.9], by, ["p10", "p50", "p90"])
     if by:
@@ -93,7 +93,7 @@ def compare_scorings(a: DataFrame, b: DataFrame, value: str = "lead", key: str =
     j = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key)
     j = j.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     stats = j.agg(
-        F.corr("a", "b").alias("pearson"),
+        correlation("a", "b").alias("pearson"),
         F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"),
         F.stddev_samp("a").alias("sd_a"), F.stddev_samp("b").alias("sd_b"),
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import share, wilson_bounds
+from ..functions.scalars import ratio, share, wilson_bounds
 from . import ranking
 
 
@@ -94,7 +94,7 @@ def curve_shape(bins: DataFrame, x: str, y: str, by: Sequence[str] = (), min_bin
         F.count(F.lit(1)).alias("n_bins"),
         F.max("y_max").alias("y_max"),
         F.max("_px").alias("argmax"),
-        F.max((p - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))).alias("argmax_pos"),
+        F.max(ratio(p - F.col("_x0"), F.col("_x1") - F.col("_x0"))).alias("argmax_pos"),
         F.min_by(y, x).alias("y_at_low"),
         F.max_by(y, x).alias("y_at_high"),
         F.coalesce(
@@ -111,7 +111,7 @@ def curve_shape(bins: DataFrame, x: str, y: str, by: Sequence[str] = (), min_bin
     t0, t1, t2 = (F.col(f"_t{i}") for i in range(3))
     det = n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)
     num = n * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s3 * t0) + s2 * (s1 * t1 - s2 * t0)
-    out = out.withColumn("curvature", num / det).filter(n >= min_bins)
+    out = out.withColumn("curvature", ratio(num, det)).filter(n >= min_bins)
     return out.drop(*[f"_s{i}" for i in range(1, 5)], *[f"_t{i}" for i in range(3)])
 
 
@@ -125,7 +125,7 @@ def grid(df: DataFrame, x: str, y: str, outcome: str, k: int = 36) -> DataFrame:
     )
 
     def cell(v, lo, hi):
-        raw = F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * k)
+        raw = F.floor(ratio(F.col(v) - F.col(lo), F.col(hi) - F.col(lo)) * k)
         return F.least(raw, F.lit(k - 1)).cast("int")
 
     binned = cut.filter(inside).select(

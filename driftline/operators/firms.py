@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import ratio, share
+from ..functions.scalars import correlation, ratio, share
 from . import ranking
 from .regression import demean
 
@@ -50,8 +50,8 @@ def level_and_growth_corr(series: DataFrame) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("year")
     d = series.withColumn("_dn", F.col("n") - F.lag("n").over(w)).withColumn("_de", F.col("ext") - F.lag("ext").over(w))
     return d.agg(
-        F.count(F.lit(1)).alias("n_years"), F.corr(F.col("n").cast("double"), F.col("ext").cast("double")).alias("corr_level"),
-        F.corr(F.col("_dn").cast("double"), F.col("_de").cast("double")).alias("corr_growth"),
+        F.count(F.lit(1)).alias("n_years"), correlation(F.col("n").cast("double"), F.col("ext").cast("double")).alias("corr_level"),
+        correlation(F.col("_dn").cast("double"), F.col("_de").cast("double")).alias("corr_growth"),
     )
 
 
@@ -86,8 +86,8 @@ def membership_contrast(firms: DataFrame, value: str, listed: Column) -> DataFra
         F.stddev_samp(off).alias("_sd"),
     )
     gap = F.col("mean_on") - F.col("mean_off")
-    return s.select("n_on", "n_off", "mean_on", "mean_off", (gap / F.col("_sd")).alias("gap_sd"),
-                    (gap / (F.col("_sd") / F.sqrt("n_on"))).alias("z"))
+    return s.select("n_on", "n_off", "mean_on", "mean_off", ratio(gap, F.col("_sd")).alias("gap_sd"),
+                    ratio(gap * F.sqrt("n_on"), F.col("_sd")).alias("z"))
 
 
 def finance_rollup(panel: DataFrame, entity: str, value: str, margin: str, min_years: int) -> DataFrame:
@@ -102,8 +102,8 @@ def within_between(panel: DataFrame, x: str, y: str, entity: str) -> DataFrame:
     """Correlation of entity means, and of what is left after entity and year means."""
     m = panel.groupBy(entity).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"))
     left = demean(demean(panel.select(entity, "year", x, y), [x, y], entity), [x, y], "year")
-    return m.agg(F.count(F.lit(1)).alias("n_entities"), F.corr("_x", "_y").alias("between")).withColumn(
-        "within", left.agg(F.corr(x, y)).scalar()
+    return m.agg(F.count(F.lit(1)).alias("n_entities"), correlation("_x", "_y").alias("between")).withColumn(
+        "within", left.agg(correlation(x, y)).scalar()
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import clip
+from ..functions.scalars import clip, ratio
 from . import ranking
 
 
@@ -39,8 +39,8 @@ def rank_sum(df: DataFrame, value: str, group: str) -> DataFrame:
     n, na = F.col("_n").cast("double"), F.col("n_a").cast("double")
     nb = n - na
     s = s.withColumn("n_b", F.col("_n") - F.col("n_a")).withColumn("u", F.col("_r") - na * (na + 1) / 2)
-    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
-    return s.withColumn("z", (F.col("u") - na * nb / 2) / sd).select("n_a", "n_b", "u", "z")
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.coalesce(ratio(F.col("_ties"), n * (n - 1)), F.lit(0.0))))
+    return s.withColumn("z", ratio(F.col("u") - na * nb / 2, sd)).select("n_a", "n_b", "u", "z")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str, q: float = 0.05) -> DataFrame:
@@ -60,7 +60,7 @@ def shrink_rates(cells: DataFrame, n: str = "n", hits: str = "hits") -> DataFram
     ss = total.agg(F.sum(nn * (r - m) * (r - m))).scalar()
     out = total.withColumn("_ss", ss)
     num = F.col("_ss") - m * (1 - m) * (F.col("_K") - 1)
-    s2 = F.greatest(num / (F.col("_N") - F.col("_q") / F.col("_N")), F.lit(1e-12))
+    s2 = F.greatest(ratio(num, F.col("_N") - F.col("_q") / F.col("_N")), F.lit(1e-12))
     nu = m * (1 - m) / s2 - 1
     return out.select(
         *cells.columns, m.alias("prior_mean"), nu.alias("prior_n"),
@@ -82,9 +82,9 @@ def intraclass(df: DataFrame, group: str, value: str) -> DataFrame:
     )
     N, G = F.col("_N"), F.col("_G")
     ssb = F.col("_sgg") - F.col("_sy") * F.col("_sy") / N
-    msb, msw = ssb / (G - 1), F.col("_ssw") / (N - G)
-    m0 = (N - F.col("_cc") / N) / (G - 1)
-    rho = (msb - msw) / (msb + (m0 - 1) * msw)
+    msb, msw = ratio(ssb, G - 1), ratio(F.col("_ssw"), N - G)
+    m0 = ratio(N - F.col("_cc") / N, G - 1)
+    rho = ratio(msb - msw, msb + (m0 - 1) * msw)
     return s.select(N.cast("long").alias("n"), G.alias("n_groups"), clip(rho, 0.0, 1.0).alias("icc"))
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import clip
+from ..functions.scalars import clip, correlation
 
 SPLITS = 64
 SAMPLE = 960  # below spark.sql.optimizer.windowGroupLimitThreshold, so the limit is pushed down
@@ -258,7 +258,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "
     """Rank correlation per group, with the number of pairs."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     ranked = average_rank(average_rank(pairs, x, by, "_rx"), y, by, "_ry")
-    aggs = [F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias(out)]
+    aggs = [F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias(out)]
     return ranked.groupBy(*by).agg(*aggs) if by else ranked.agg(*aggs)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import names
-from ..functions.scalars import share, wilson_bounds
+from ..functions.scalars import correlation, share, wilson_bounds
 from ..operators import binning, entities, firms, inference, outcomes, panels, ranking
 from . import bindings as b
 from .bins import curve_out, curve_sql, linear_sql, n_rows
@@ -361,8 +361,8 @@ def item_panel(spark, d):
 def patent_firm_year(spark, d):
     j = item_panel(spark, d)
     f = j.groupBy("firm").agg(F.avg("lead").alias("l"), F.avg("n_items").alias("n"))
-    out = j.agg(n_rows().alias("n"), F.corr("lead", F.col("n_items").cast("double")).alias("corr_raw"), F.corr("lead", F.log1p("n_items")).alias("corr_log"))
-    out = out.withColumn("corr_firm", f.agg(F.corr("l", "n")).scalar())
+    out = j.agg(n_rows().alias("n"), correlation("lead", F.col("n_items").cast("double")).alias("corr_raw"), correlation("lead", F.log1p("n_items")).alias("corr_log"))
+    out = out.withColumn("corr_firm", f.agg(correlation("l", "n")).scalar())
     return rounded(out, "corr_raw", "corr_log", "corr_firm")
 
 
@@ -430,7 +430,7 @@ def class_vs_finance(spark, d):
     s = b.scored_cases(spark, d)
     cell = s.groupBy("cls", "year").agg(F.avg("lead").alias("m"))
     cell = b.stage(cell.join(ranking.quantiles(s, "amount", [0.5], ["cls", "year"], ["f"]), ["cls", "year"]), "cells")
-    out = ranking.spearman(cell, "m", "f", out="spearman").withColumn("pearson", cell.agg(F.corr("m", "f")).scalar())
+    out = ranking.spearman(cell, "m", "f", out="spearman").withColumn("pearson", cell.agg(correlation("m", "f")).scalar())
     return rounded(out, "pearson", "spearman")
 
 
@@ -445,7 +445,7 @@ def portfolio_size_vs_value(spark, d):
     p = b.scored_cases(spark, d).groupBy("owner").agg(F.log10(n_rows()).alias("log_n"), F.log10(F.max("amount")).alias("log_value"))
     p = b.stage(p, "portfolio")
     g = ranking.quantile_bin(p, "log_value", 10).groupBy("bin").agg(n_rows().alias("n"), r(F.avg("log_n")).alias("mean_size"))
-    return g.withColumn("rho", r(p.agg(F.corr("log_n", "log_value")).scalar()))
+    return g.withColumn("rho", r(p.agg(correlation("log_n", "log_value")).scalar()))
 
 
 view("v_own_lead", "SELECT owner, avg(lead) AS m, max(amount) > 450000 AS listed FROM v_scored GROUP BY owner HAVING count(*) >= 3")
@@ -542,12 +542,12 @@ def topic_vs_token_outcomes(spark, d):
 
 @query(
     "owner_year_score_panel",
-    f"SELECT owner, year, cls, count(*) AS n_rows, count(*) FILTER (WHERE n_terms >= 3) AS n_scored, {R('avg(lead) FILTER (WHERE n_terms >= 3)', 10)} AS mean_lead FROM v_scored GROUP BY 1, 2, 3",
+    f"SELECT owner, year, cls, count(*) AS n_rows, count(*) FILTER (WHERE n_terms >= 3) AS n_scored, {R('avg(lead) FILTER (WHERE n_terms >= 3)', 11)} AS mean_lead FROM v_scored GROUP BY 1, 2, 3",
 )
 def owner_year_score_panel(spark, d):
     ok = F.col("n_terms") >= 3
     return b.scored_cases(spark, d).groupBy("owner", "year", "cls").agg(
-        n_rows().alias("n_rows"), F.count_if(ok).alias("n_scored"), r(F.avg(F.when(ok, F.col("lead"))), 10).alias("mean_lead")
+        n_rows().alias("n_rows"), F.count_if(ok).alias("n_scored"), r(F.avg(F.when(ok, F.col("lead"))), 11).alias("mean_lead")
     )
 
 
@@ -579,13 +579,13 @@ def excess(spark, d):
 
 @query(
     "returns_panel",
-    f"""SELECT s.owner, s.year, {R('s.lead', 10)} AS lead, {R('e.ret', 5)} AS ret, {R('e.excess', 5)} AS excess, s.year = d.y0 AS debut_year FROM (SELECT owner, year, avg(lead) AS lead FROM v_scored GROUP BY 1, 2) s
+    f"""SELECT s.owner, s.year, {R('s.lead', 11)} AS lead, {R('e.ret', 5)} AS ret, {R('e.excess', 5)} AS excess, s.year = d.y0 AS debut_year FROM (SELECT owner, year, avg(lead) AS lead FROM v_scored GROUP BY 1, 2) s
     JOIN v_excess e USING (owner, year) JOIN (SELECT owner, min(year) AS y0 FROM v_scored GROUP BY 1) d USING (owner)""",
 )
 def returns_panel(spark, d):
     s = b.scored_cases(spark, d).groupBy("owner", "year").agg(F.avg("lead").alias("lead"))
     j = ranking.with_stats(s, ["owner"], y0=F.min("year")).join(excess(spark, d), ["owner", "year"])
-    return j.select("owner", "year", r("lead", 10).alias("lead"), r("ret", 5).alias("ret"), r("excess", 5).alias("excess"), (F.col("year") == F.col("y0")).alias("debut_year"))
+    return j.select("owner", "year", r("lead", 11).alias("lead"), r("ret", 5).alias("ret"), r("excess", 5).alias("excess"), (F.col("year") == F.col("y0")).alias("debut_year"))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions.scalars import ladder, ratio, two_rate_se, wilson_bounds
+from ..functions.scalars import correlation, ladder, ratio, two_rate_se, wilson_bounds
 from ..operators import aggregates, ranking
 from . import bindings as b
 from .lifecycle import obin_sql
@@ -323,7 +323,7 @@ def agg_coalesce_tags(spark, d):
 )
 def agg_corr_pearson(spark, d):
     s = b.scored_cases(spark, d)
-    aggs = [N().alias("n"), r(F.corr("kl_past", "kl_future")).alias("rho")]
+    aggs = [N().alias("n"), r(correlation("kl_past", "kl_future")).alias("rho")]
     pooled = s.agg(*aggs).select(F.lit("all").alias("cls"), "n", "rho")
     return s.groupBy("cls").agg(*aggs).unionByName(pooled)
 
@@ -440,13 +440,13 @@ def win_count_over(spark, d):
 
 @query(
     "win_zscore",
-    f"SELECT case_id, {R('(lead - avg(lead) OVER w) / stddev_samp(lead) OVER w', 5)} AS z FROM v_scored WINDOW w AS (PARTITION BY cls, year)",
+    f"SELECT case_id, {R('(lead - avg(lead) OVER w) / nullif(stddev_samp(lead) OVER w, 0)', 5)} AS z FROM v_scored WINDOW w AS (PARTITION BY cls, year)",
 )
 def win_zscore(spark, d):
     s = ranking.with_stats(
         b.scored_cases(spark, d), ["cls", "year"], m=F.avg("lead"), sd=F.stddev_samp("lead")
     )
-    return s.select("case_id", r((F.col("lead") - F.col("m")) / F.col("sd"), 5).alias("z"))
+    return s.select("case_id", r(ratio(F.col("lead") - F.col("m"), F.col("sd")), 5).alias("z"))
 
 
 @query(
@@ -538,7 +538,7 @@ def win_autocorr(spark, d):
     s = b.scored_cases(spark, d).select("case_id", "owner", "filed", "lead")
     n = ranking.neighbours(s, ["owner"], ["filed", "case_id"], ["lead"])
     n = n.filter(F.col("prev_lead").isNotNull())
-    out = n.groupBy("owner").agg(N().alias("n_pairs"), r(F.corr("lead", "prev_lead")).alias("ar1"))
+    out = n.groupBy("owner").agg(N().alias("n_pairs"), r(correlation("lead", "prev_lead")).alias("ar1"))
     return out.filter(F.col("n_pairs") >= 4)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import share
+from ..functions.scalars import correlation, share
 from ..operators import audits, outcomes, ranking, surprise, topics, vocabulary
 from . import bindings as b
 from .bins import n_rows
@@ -120,8 +120,8 @@ def kl_halflife_sweep(spark, d):
     lead, good = F.col("kl_past") - F.col("kl_future"), F.col("good").cast("double")
     j = out.filter(lead.isNotNull()).join(y, "doc_id")
     return j.groupBy("halflife").agg(
-        n_rows().alias("n"), r(F.corr(lead, good), 5).alias("corr_lead"),
-        r(F.corr("kl_past", good), 5).alias("corr_past"), r(F.stddev_samp(lead), 5).alias("sd_lead"),
+        n_rows().alias("n"), r(correlation(lead, good), 5).alias("corr_lead"),
+        r(correlation("kl_past", good), 5).alias("corr_past"), r(F.stddev_samp(lead), 5).alias("sd_lead"),
     )
 
 
