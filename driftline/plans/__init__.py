@@ -4,7 +4,7 @@ import importlib
 
 from .registry import QUERIES, oracle_statements
 
-for _name in ("texts", "lifecycle", "relational", "bins", "scoring", "adoption", "fits", "entities", "topic_plans"):
+for _name in ("texts", "lifecycle", "relational", "bins", "scoring", "adoption", "fits", "entities", "topic_plans", "io_plans"):
     importlib.import_module(f"{__name__}.{_name}")
 
 ORACLE_SQL = oracle_statements()
