@@ -133,6 +133,22 @@ def interaction(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, F.col(a).cast("double") * F.col(b).cast("double"))
 
 
+def staged(
+    df: DataFrame, stages: dict[str, tuple[str, str, tuple[int, int]]], xs: Sequence[str], cell: str, cluster: str
+) -> DataFrame:
+    """One specification on every stage of a funnel, each conditional on its
+    prerequisite and bounded to the cohorts whose window has elapsed.
+
+    ``stages``: name -> (condition, outcome, first and last cohort year).
+    """
+    out = None
+    for name, (condition, y, (lo, hi)) in stages.items():
+        rows = df.filter(F.expr(condition) & F.col("year").between(lo, hi))
+        m = fit(rows, y, xs, cluster=cluster, absorb=cell).withColumn("stage", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 def logit(df: DataFrame, y: str, xs: Sequence[str], label: str | None = None) -> DataFrame:
     """Binomial GLM with a logit link; coefficients, standard errors, pseudo R2."""
     from pyspark.ml.feature import VectorAssembler

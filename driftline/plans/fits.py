@@ -229,6 +229,32 @@ def reg_panel_changes(spark, d):
     return res(regression.two_way(b.stage(t, "changes"), "d_single", ["d_mid_lag"], "cls"))
 
 
+FUNNEL = {
+    # stage: (condition, outcome, cohort years)
+    "reached": ("true", "reg", (1995, 2001)),
+    "passed gate": ("registered", "passed", (1995, 1999)),
+    "hit after gate": ("registered AND passed = 1", "hit", (1995, 1998)),
+    "large": ("registered", "large", (1996, 2001)),
+}
+view(
+    "v_funnel",
+    "SELECT *, CAST(registered AS DOUBLE) AS reg, CAST(NOT failed AS DOUBLE) AS passed, CAST(hit AS DOUBLE) AS hit1, CAST(amount > 300000 AS DOUBLE) AS large FROM v_frame",
+)
+
+
+@query(
+    "staged_funnel",
+    " UNION ALL ".join(
+        f"""SELECT '{stage}' AS stage, * FROM ({one_sql(f"(SELECT * FROM v_funnel WHERE {cond} AND year BETWEEN {lo} AND {hi})", 'hit1' if y == 'hit' else y, 'level', 'level', 'cell', 'owner')})"""
+        for stage, (cond, y, (lo, hi)) in FUNNEL.items()
+    ),
+)
+def staged_funnel(spark, d):
+    f = frame(spark, d).withColumn("registered", F.col("reg") == 1).withColumn("passed", 1 - F.col("failed"))
+    f = f.withColumn("large", (F.col("amount") > 300000).cast("double"))
+    return res(regression.staged(f, FUNNEL, ["level"], "cell", "owner"))
+
+
 view(
     "v_sides",
     "SELECT CASE WHEN lead < 0 THEN 'neg' ELSE 'pos' END AS side, abs(lead) AS mag, CAST(hit AS DOUBLE) AS y FROM v_scored WHERE lead <> 0",

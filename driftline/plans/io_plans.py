@@ -167,7 +167,7 @@ def case_xml(spark, d):
 )
 def src_xml_records(spark, d):
     rec = files.case_records(case_xml(spark, d))
-    return rec.withColumn("classes", F.array_join("nice_classes", "|")).drop("nice_classes", "registration_date")
+    return rec.withColumn("classes", F.array_join("nice_classes", "|")).drop("nice_classes", "us_classes", "registration_date")
 
 
 @query(

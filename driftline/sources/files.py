@@ -67,17 +67,23 @@ def case_records(raw: DataFrame) -> DataFrame:
     """One row per case: first owner, sorted distinct class codes, statement texts
     whose type starts with GS joined by a blank."""
     h, st = F.col("case-file-header"), F.col("case-file-statements.case-file-statement")
-    codes = F.flatten(F.col("classifications.classification.international-code"))
+    entries = F.col("classifications.classification")
+
+    def codes(field: str):
+        kept = F.flatten(F.filter(F.transform(entries, lambda c: c[field]), lambda x: x.isNotNull()))
+        kept = F.filter(F.transform(kept, lambda c: F.trim(c)), lambda c: c != "")
+        return F.coalesce(F.array_sort(F.array_distinct(kept)), F.array().cast("array<string>"))
+
     goods = F.filter(st, lambda s: s["type-code"].startswith("GS") & (F.length(s["text"]) > 0))
     owner = F.try_element_at("case-file-owners.case-file-owner", F.lit(1))
-    nice = F.array_sort(F.array_distinct(F.filter(F.transform(codes, F.trim), lambda c: c != "")))
     return raw.select(
         F.col("serial-number").alias("serial"),
         h["filing-date"].alias("filing_date"),
         h["registration-date"].alias("registration_date"),
         h["status-code"].alias("status_code"),
         h["mark-identification"].alias("mark"),
-        F.coalesce(nice, F.array().cast("array<string>")).alias("nice_classes"),
+        codes("international-code").alias("nice_classes"),
+        codes("us-code").alias("us_classes"),
         owner["party-name"].alias("owner_name"),
         F.coalesce(F.array_join(F.transform(goods, lambda s: s["text"]), " "), F.lit("")).alias("goods_services"),
     )
