@@ -308,7 +308,7 @@ view(
     tc AS (SELECT a.year, sum(x.m) AS tc FROM yy a LEFT JOIN yy x ON x.year BETWEEN a.year - 2 AND a.year - 1 GROUP BY a.year),
     j AS (SELECT t.doc_id, t.cls, t.year, t.cnt / CAST(sum(t.cnt) OVER (PARTITION BY t.doc_id) AS DOUBLE) AS p, rw, rc, CAST(tw AS DOUBLE) AS tw, CAST(tc AS DOUBLE) AS tc,
       (SELECT count(*) FROM v_vocab_all) AS vs FROM v_terms t JOIN ow USING (cls, year, term) JOIN cr USING (year, term) JOIN tw USING (cls, year) JOIN tc USING (year))
-    SELECT doc_id, cls, year, n_terms, kw AS kl_within, kc AS kl_cross, kw - kc AS gap FROM (
+    SELECT doc_id, cls, year, n_terms, kw AS kl_within, kc AS kl_cross, round(kw - kc, 9) AS gap FROM (
     SELECT doc_id, cls, year, count(*) AS n_terms, round(sum(p * (ln(p) - ln((rw + 1) / (tw + vs)))), 9) AS kw,
     round(sum(p * (ln(p) - ln((rc + 1) / (tc + vs)))), 9) AS kc FROM j GROUP BY 1, 2, 3)""",
 )
@@ -320,7 +320,7 @@ def borrowed(spark, d):
     v = vocabulary.build_vocabulary(docs, terms, b.MIN_DF, 0.5, by=())
     out = surprise.borrowed_novelty(docs, terms, v, b.WINDOW)
     out = rounded(out, "kl_within", "kl_cross", digits=9)
-    return out.withColumn("gap", F.col("kl_within") - F.col("kl_cross"))
+    return out.withColumn("gap", F.round(F.col("kl_within") - F.col("kl_cross"), 9))
 
 
 @query(
@@ -335,7 +335,7 @@ def kl_borrowed_novelty(spark, d):
     "borrowed_quadrants",
     f"""WITH s AS (SELECT * FROM v_borrowed WHERE kl_within IS NOT NULL AND kl_cross IS NOT NULL), m AS (SELECT median(kl_within) AS w, median(kl_cross) AS c FROM s)
     SELECT cls, count(*) AS n, {R('avg(CAST(kl_within > w AND kl_cross <= c AS DOUBLE))')} AS borrowed, {R('avg(CAST(kl_within > w AND kl_cross > c AS DOUBLE))')} AS born_new,
-    {R('avg(gap)')} AS mean_gap, arg_max(doc_id, gap) FILTER (WHERE kl_cross <= c AND n_terms >= 10) AS top_doc FROM s, m GROUP BY cls""",
+    {R('avg(gap)')} AS mean_gap, arg_min(doc_id, (-gap, doc_id)) FILTER (WHERE kl_cross <= c AND n_terms >= 10) AS top_doc FROM s, m GROUP BY cls""",
 )
 def borrowed_quadrants(spark, d):
     s = borrowed(spark, d).filter(F.col("kl_within").isNotNull() & F.col("kl_cross").isNotNull())
@@ -343,7 +343,7 @@ def borrowed_quadrants(spark, d):
     for c, n in (("kl_within", "_w"), ("kl_cross", "_c")):
         s = ranking.with_quantiles(s, c, [0.5], [n])
     high, low = F.col("kl_within") > F.col("_w"), F.col("kl_cross") <= F.col("_c")
-    top = F.max_by("doc_id", F.when(low & (F.col("n_terms") >= 10), F.col("gap")))
+    top = F.min(F.when(low & (F.col("n_terms") >= 10), F.struct((-F.col("gap")).alias("g"), "doc_id"))).doc_id
     return s.groupBy("cls").agg(
         n_rows().alias("n"), r(share(high & low)).alias("borrowed"), r(share(high & ~low)).alias("born_new"),
         r(F.avg("gap")).alias("mean_gap"), top.alias("top_doc"),
