@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftline.functions import names, text as tx
 from driftline.functions.scalars import correlation, parse_compact_date, wilson_bounds
 from driftline.operators import (
-    aggregates, inference, outcomes, ranking, regression, similarity, surprise, themes, topics, vocabulary,
+    aggregates, binning, inference, outcomes, ranking, regression, similarity, surprise, themes, topics, vocabulary,
 )
 from driftline.sources import files
 
@@ -240,3 +240,14 @@ def test_benjamini_hochberg(spark):
     df = spark.createDataFrame(list(enumerate(p)), "k int, p double")
     got = {r["k"]: r["rejected"] for r in inference.benjamini_hochberg(df, "p", "k", 0.05).collect()}
     assert got == {0: True, 1: True, 2: True, 3: True, 4: False}
+
+
+def test_bootstrap_interval(spark):
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=800)
+    df = spark.createDataFrame([(i, 0, float(v)) for i, v in enumerate(y)], "k long, bin int, y double")
+    r = binning.bin_means(df, "y", ["bin"], 30, draws=100, key="k").first()
+    again = binning.bin_means(df.repartition(5), "y", ["bin"], 30, draws=100, key="k").first()
+    half = 1.96 * y.std() / math.sqrt(len(y))
+    assert r["lo"] < r["mean"] < r["hi"] and r["hi"] - r["lo"] == pytest.approx(2 * half, rel=0.35)
+    assert again["lo"] == pytest.approx(r["lo"]) and again["hi"] == pytest.approx(r["hi"])
