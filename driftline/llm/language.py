@@ -150,13 +150,18 @@ def code_lengths(model: ContextModel, texts: list[bytes], segment: int = 512, la
 
 def training_sample(docs: DataFrame, usable: Column, per_language: int, max_chars: int) -> dict[str, list[bytes]]:
     """At most ``per_language`` labelled rows of each language, the first by a hash of
-    their key, at most ``max_chars`` of each.  The rank limit is applied before the
-    shuffle, so a language with most of the rows moves no more than any other."""
+    their key, at most ``max_chars`` of each.  Languages are counted first, so that a hash
+    threshold lets through a few times the wanted rows, however many a language has."""
+    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string")).alias("_order")
+    )
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))
+    place = F.pmod(F.col("_order"), F.lit(1 << 30)) / float(1 << 30)
     w = Window.partitionBy("lang").orderBy("_order", "text")
     rows = (
-        docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, max_chars).alias("text"),
-                F.xxhash64(F.col("doc_id").cast("string")).alias("_order"))
+        rows.join(sizes, "lang")
+        .filter(place * F.col("_of") <= 4 * per_language)
+        .withColumn("text", F.substring("text", 1, max_chars))
         .withColumn("_n", F.row_number().over(w))
         .filter(F.col("_n") <= per_language)
         .select("lang", "text")

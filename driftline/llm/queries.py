@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language, simhash
+from . import language, mixing, packing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,3 +34,42 @@ def op4_simhash_tiles(spark: SparkSession, d: str) -> DataFrame:
     return simhash.groups(table(spark, d, "documents")).select(
         "doc_id", simhash.as_hex().alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op9_secret_structure(spark: SparkSession, d: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, d, "documents"), keep=["doc_id"])
+    n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.joined("secrets", secrets.BASE_KINDS)
+    return found.select(
+        "doc_id", *map(n, secrets.BASE_KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secrets.joined("secrets").alias("spans"),
+    )
+
+
+# The mix: a domain is a range of source numbers; targets are parts of the parent's budget.
+DOMAINS = {"web": range(0, 5), "forum": range(5, 10), "books": range(10, 15), "reference": range(15, 20)}
+MIX_WEIGHTS = ({"web": 4, "forum": 2, "books": 2, "reference": 2}, {"en": 5, "de": 2, "fr": 2, "es": 1}, {})
+
+
+def mix_levels() -> dict[str, Column]:
+    domain = F.lit("other")
+    for name, numbers in DOMAINS.items():
+        domain = F.when(F.col("source").isin([f"src{i}" for i in numbers]), name).otherwise(domain)
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+@query
+def op7_mix_budget(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS).select(
+        "doc_id", "domain", "lang", "source", "epoch", "n_tokens", "tokens_taken"
+    )
+
+
+@query
+def op10_pack_configurations(spark: SparkSession, d: str) -> DataFrame:
+    cut = packing.pieces(table(spark, d, "documents"), keep=["doc_id"])
+    # only digests of the ids are shuffled
+    cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(cut)
