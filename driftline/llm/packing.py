@@ -114,11 +114,12 @@ def best_configuration(value: np.ndarray, capacity: int) -> tuple[Counter, float
     return found, float(gain[capacity])
 
 
-def fractional(need: np.ndarray, capacity: int, step: float = 0.1, rate: float = 10.0) -> list[tuple[Counter, float]]:
+def fractional(need: np.ndarray, capacity: int, step: float = 0.02, rate: float = 50.0, waste: float = 0.0005) -> list[tuple[Counter, float]]:
     """Configurations and amounts that cover ``need`` by multiplicative weights.
 
     A length's weight is its size times ``exp(-rate * covered share)``, so that coverage
-    grows evenly and scarce fillers are not spent early.
+    grows evenly and scarce fillers are not spent early.  Ends early at a configuration
+    that wastes more than ``waste`` of a sequence.
     """
     lengths = np.nonzero(need)[0]
     share = np.zeros(len(need))
@@ -130,6 +131,8 @@ def fractional(need: np.ndarray, capacity: int, step: float = 0.1, rate: float =
         value = np.full(len(need), -1.0)
         value[open_] = open_ * np.exp(-rate * (share[open_] - share[open_].min()))
         config, _ = best_configuration(value, capacity)
+        if plan and sum(x * n for x, n in config.items()) < (1 - waste) * capacity:
+            return plan  # what is left is solved afresh, with even shares
         amount = min(need[x] * min(step, 1 - share[x] + 1e-9) / n for x, n in config.items())
         for x, n in config.items():
             share[x] += n * amount / need[x]
@@ -164,7 +167,7 @@ def best_fit(need: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
         made.append((config, times))
 
 
-def configurations(histogram: dict[int, int], capacity: int, phases: int = 3) -> list[tuple[Counter, int]]:
+def configurations(histogram: dict[int, int], capacity: int, phases: int = 4) -> list[tuple[Counter, int]]:
     """Whole numbers of configurations that use every piece of the histogram exactly once."""
     left = np.zeros(capacity + 1, np.int64)
     for x, n in histogram.items():
@@ -182,7 +185,7 @@ def configurations(histogram: dict[int, int], capacity: int, phases: int = 3) ->
                 for x, n in config.items():
                     left[x] -= times * n
                 made.append((config, times))
-        if left.sum() > before / 2:
+        if left.sum() > 0.9 * before:
             break
     return made + best_fit(left, capacity)
 

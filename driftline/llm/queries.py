@@ -67,6 +67,60 @@ def op7_mix_budget(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def mix_sql(weights, total=(1, 2), max_epochs=2, seed=7) -> str:
+    """The mix as plain SQL: the same whole-token budgets, level by level, and a running sum over
+    each leaf's documents in the order of its last epoch."""
+    levels = ["domain", "lang", "source"]
+    case = " ".join(
+        f"WHEN source IN ({', '.join(f"'src{i}'" for i in numbers)}) THEN '{name}'" for name, numbers in DOMAINS.items()
+    )
+    words = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
+    steps = [f"""WITH docs AS (
+        SELECT doc_id, CASE {case} ELSE 'other' END AS domain, lang, source,
+            CAST(coalesce({words}, 0) AS BIGINT) AS n_tokens FROM documents),
+    leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM docs GROUP BY ALL)"""]
+    for i, level in enumerate(levels):
+        path = ", ".join(levels[: i + 1])
+        up = " AND ".join(f"n.{x} IS NOT DISTINCT FROM u.{x}" for x in levels[:i])
+        part = f"PARTITION BY {', '.join(levels[:i])}" if i else ""
+        weight = f"CASE {' '.join(f"WHEN {level} = '{k}' THEN {w}" for k, w in weights[i].items())} ELSE 1 END" if weights[i] else "1"
+        nodes = f"""SELECT {path}, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {max_epochs} AS BIGINT) AS capacity,
+            CAST({weight} AS DOUBLE) AS weight FROM leaves GROUP BY {path}"""
+        budget = (
+            f"(SELECT n.*, u.budget AS parent FROM ({nodes}) n JOIN level{i - 1} u ON {up})" if i else
+            f"(SELECT n.*, CAST(floor(sum(tokens) OVER () * {total[0]} / {total[1]}) AS BIGINT) AS parent FROM ({nodes}) n)"
+        )
+        order = f"{part} ORDER BY CASE WHEN weight > 0 THEN capacity / weight END ASC NULLS LAST, {level} ASC NULLS FIRST"
+        steps.append(f"""level{i} AS (
+        SELECT {path}, tokens, CASE WHEN filled THEN capacity ELSE least(capacity,
+            coalesce(CAST(floor(weight * ((parent - used) / nullif(rest, 0))) AS BIGINT), 0)) END AS budget FROM (
+        SELECT *, coalesce(sum(CASE WHEN filled THEN capacity END) OVER ({part}), 0) AS used,
+            sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({part}) AS rest FROM (
+        SELECT *, coalesce(CASE WHEN weight > 0 THEN capacity / weight END <=
+            (parent - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / nullif(sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0), false) AS filled
+        FROM {budget})))""")
+    same = " AND ".join(f"d.{x} IS NOT DISTINCT FROM l.{x}" for x in levels)
+    steps.append(f"""placed AS (
+        SELECT d.*, l.budget, CAST(coalesce(l.budget // nullif(l.tokens, 0), 0) AS INTEGER) AS epochs,
+            l.budget - coalesce(l.budget // nullif(l.tokens, 0), 0) * l.tokens AS rest,
+            md5('{seed}:' || coalesce(l.budget // nullif(l.tokens, 0), 0) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+        FROM docs d JOIN level2 l ON {same}),
+    summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k
+            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+            sum(n_tokens) OVER (PARTITION BY domain, lang, source, k) AS own FROM placed)
+    SELECT doc_id, domain, lang, source, CAST(e AS INTEGER) AS epoch, n_tokens, n_tokens AS tokens_taken
+    FROM placed, unnest(range(epochs)) AS t(e)
+    UNION ALL
+    SELECT doc_id, domain, lang, source, epochs, n_tokens,
+        CAST(CASE WHEN upto < rest THEN n_tokens ELSE least(n_tokens, rest - upto + own) END AS BIGINT)
+    FROM summed WHERE rest > 0 AND upto - own < rest""")
+    return ",\n".join(steps[:-1]) + ",\n" + steps[-1]
+
+
+ORACLE_SQL["op7_mix_budget"] = mix_sql(MIX_WEIGHTS)
+
+
 @query
 def op10_pack_configurations(spark: SparkSession, d: str) -> DataFrame:
     cut = packing.pieces(table(spark, d, "documents"), keep=["doc_id"])
