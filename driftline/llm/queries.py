@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language, mixing, packing, secrets, simhash
+from . import language, mixing, packing, pages, secrets, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,3 +127,19 @@ def op10_pack_configurations(spark: SparkSession, d: str) -> DataFrame:
     # only digests of the ids are shuffled
     cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(cut)
+
+
+@query
+def op8_html_template(spark: SparkSession, d: str) -> DataFrame:
+    found = pages.main_text(table(spark, d, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op2_warc_members(spark: SparkSession, d: str) -> DataFrame:
+    return warc.digests(*warc.archive_pages(table(spark, d, "pages")))
+
+
+@query
+def op6_one_bit_codes(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
