@@ -155,7 +155,8 @@ def training_sample(docs: DataFrame, usable: Column, per_language: int, max_char
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string")).alias("_order")
     )
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))
+    # a row a label; the model has a column for each label, so their number is small by design
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_of")))
     place = F.pmod(F.col("_order"), F.lit(1 << 30)) / float(1 << 30)
     w = Window.partitionBy("lang").orderBy("_order", "text")
     rows = (
