@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language, mixing, packing, pages, secrets, simhash, vectors, warc
+from . import language, lines, mixing, packing, pages, secrets, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -143,3 +143,9 @@ def op2_warc_members(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op6_one_bit_codes(spark: SparkSession, d: str) -> DataFrame:
     return vectors.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op3_line_field(spark: SparkSession, d: str) -> DataFrame:
+    found = lines.assess(table(spark, d, "documents"), table(spark, d, "labels"), keep=["doc_id"])
+    return found.select("doc_id", *lines.COUNTS, "base_failed", "kept")
