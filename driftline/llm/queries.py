@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language, lines, mixing, packing, pages, secrets, simhash, vectors, warc
+from ..sources.staging import stage
+from . import counting, language, lines, mixing, packing, pages, secrets, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,3 +150,12 @@ def op6_one_bit_codes(spark: SparkSession, d: str) -> DataFrame:
 def op3_line_field(spark: SparkSession, d: str) -> DataFrame:
     found = lines.assess(table(spark, d, "documents"), table(spark, d, "labels"), keep=["doc_id"])
     return found.select("doc_id", *lines.COUNTS, "base_failed", "kept")
+
+
+@query
+def op1_edit_counts(spark: SparkSession, d: str) -> DataFrame:
+    counted = counting.count_tokens(table(spark, d, "documents"), keep=["doc_id", "text"])
+    counted = stage(counted.withColumnRenamed("n_tokens", "tokens_before"), "counted")
+    counted = counted.withColumn("n_tokens", F.col("tokens_before"))
+    edited = counting.recount(counting.with_cleaning(counted), keep=["doc_id", "tokens_before"])
+    return edited.select("doc_id", "tokens_before", "n_edits", "n_encoded", "n_tokens")
