@@ -12,17 +12,17 @@ from .scalars import col
 CHUNK_SEPARATORS = r'[;,.()\[\]{}"]+'
 WORD_PATTERN = r"\b[a-z][a-z'-]{1,}\b"
 PLAIN_PATTERN = r"\b[a-z][a-z\-]{2,}\b"
-# Letters outside ASCII act as word characters, as they do for a Unicode-aware
-# word boundary; mapping them to a digit keeps that without Unicode flags.
-FOREIGN_LETTERS = r"[\x{C0}-\x{24F}]"
+# Letters and digits outside ASCII act as word characters, as they do for a
+# Unicode-aware word boundary; mapping them to a digit keeps that without Unicode flags.
+FOREIGN_LETTERS = r"[\p{L}\p{N}&&[^\x00-\x7F]]"
 
 # Drafting boilerplate that carries no information.
 BOILERPLATE_WORDS = (
-    "namely viz ie eg et al consisting comprising comprised containing including includes "
-    "included also use used uses using various general certain providing provided provides "
-    "made make makes form forms kind kinds sort sorts type types class classes thereof therein "
-    "therewith wherein whereby such may shall would could should etc"
-).split()
+    "namely", "viz", "ie", "eg", "et", "al", "consisting", "comprising", "comprised", "containing", "including", "includes",
+    "included", "also", "use", "used", "uses", "using", "various", "general", "certain", "providing", "provided", "provides",
+    "made", "make", "makes", "form", "forms", "kind", "kinds", "sort", "sorts", "type", "types", "class", "classes", "thereof",
+    "therein", "therewith", "wherein", "whereby", "such", "may", "shall", "would", "could", "should", "etc",
+)
 
 
 def default_stopwords(spark: SparkSession, language: str = "english") -> list[str]:
@@ -102,7 +102,7 @@ def phrase_pattern(phrase: str) -> str:
 
 
 def has_phrase(text: str | Column, phrase: str) -> Column:
-    return col(text).rlike(phrase_pattern(phrase))
+    return col(text).rlike("(?U)" + phrase_pattern(phrase))
 
 
 def theme_flags(text: str | Column, patterns: dict[str, str]) -> list[Column]:

@@ -19,7 +19,7 @@ from .registry import r, rounded, sql_list, view
 STOPWORDS = (
     "the and of to in is for with that by on are as at be this it from or an "
     "le la les de des du un une et est en dans que qui pour der die das und ist ein el los las"
-).split() + tx.BOILERPLATE_WORDS
+).split() + list(tx.BOILERPLATE_WORDS)
 WINDOW = 2
 ALPHA = 1.0
 MIN_DF = 5
@@ -30,10 +30,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a table stored in fewer splits than there are cores, so that
-    CPU-heavy expressions use all of them.  A no-op on large tables."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Redistribute a small table that is stored in fewer splits than there are cores, so
+    that CPU-heavy expressions use all of them.  A large table has splits enough."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +185,7 @@ def vocab(spark: SparkSession, d: str, min_df: int = MIN_DF, by=("cls",)) -> Dat
 
 
 _CHUNKS = (
-    "regexp_split_to_array(regexp_replace(lower(body), '[\\x{C0}-\\x{24F}]', '0', 'g'), "
+    "regexp_split_to_array(regexp_replace(lower(body), '[^\\x00-\\x7F\\PL]|[^\\x00-\\x7F\\PN]', '0', 'g'), "
     "'[;,.()\\[\\]{}\"]+')"
 )
 _GRAMS = "list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i+1]))"

@@ -12,7 +12,7 @@ from .bins import curve_out, curve_sql, linear_sql, n_rows
 from .lifecycle import gated, lift_out, lift_sql, qbin_sql
 from .registry import R, query, r, rounded, view
 from .relational import mid_rank_sql, owner_year
-from .texts import owner_names, strong_sql, wilson_sql
+from .texts import SUFFIX_SQL, owner_names, strong_sql, wilson_sql
 
 
 def owners(spark, d):
@@ -68,7 +68,7 @@ def crosswalk_unmatched(spark, d):
 
 @query(
     "match_rate_by_formality",
-    f"""SELECT regexp_matches(upper(name), '{names.STRONG_SUFFIX}') AS formal, count(*) AS n_owners, {R('avg(CAST(name IN (SELECT name FROM v_xwalk) AS DOUBLE))')} AS match_rate
+    f"""SELECT regexp_matches(upper(name), '{SUFFIX_SQL}') AS formal, count(*) AS n_owners, {R('avg(CAST(name IN (SELECT name FROM v_xwalk) AS DOUBLE))')} AS match_rate
     FROM v_owners GROUP BY 1""",
 )
 def match_rate_by_formality(spark, d):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import vocabulary
+from ..operators import entities, vocabulary
 from ..session import shared_folder
 from ..sources import files
 from ..streaming import jobs
@@ -59,18 +59,27 @@ def src_tsv(spark, d):
     return files.delimited(spark, path, "l_orderkey long, l_linenumber int, l_quantity double", "\t", drop_bad=True, header=False)
 
 
-def zipped(df, members):
-    """Archives (path, content) packed from table rows, one per Arrow batch."""
+def zipped(spark, df, members, label):
+    """Archives in a shared folder, one per Arrow batch of table rows, read back from disk.
+
+    ``members`` gives each member's header and its column of lines, in the archive's own
+    layout: other columns stand between the wanted ones.
+    """
 
     def pack(batches):
+        from pyspark import TaskContext
+
         for i, pdf in enumerate(batches):
             buf = io.BytesIO()
             with zipfile.ZipFile(buf, "w") as z:
-                for name in members:
-                    z.writestr(f"q/{name}", "header\n" + "\n".join("\n".join(x) for x in pdf[members[name]] if len(x)) + "\n")
-            yield pd.DataFrame({"path": [f"part-{i}.zip"], "content": [buf.getvalue()]})
+                for name, (header, column) in members.items():
+                    rows = "".join(f"{line}\n" for lines in pdf[column] for line in lines)
+                    z.writestr(f"q/{name}", f"{header}\n{rows}too\tshort\n")
+            yield pd.DataFrame({"path": [f"part-{TaskContext.get().partitionId()}-{i}.zip"], "content": [buf.getvalue()]})
 
-    return df.mapInPandas(pack, "path string, content binary")
+    path = shared_folder(spark, label)
+    files.write_archives(df.mapInPandas(pack, "path string, content binary"), path)
+    return files.archives(spark, f"{path}/*.zip")
 
 
 def tab(*cells):
@@ -79,43 +88,67 @@ def tab(*cells):
 
 @query(
     "src_tsv_zip_financials",
-    f"""SELECT CAST(case_id AS VARCHAR) AS adsh, owner AS cik, CASE status WHEN '710' THEN '10-K' ELSE '10-Q' END AS form, year AS fy, tag, {R('value', 2)} AS value FROM (
+    f"""SELECT CAST(case_id AS VARCHAR) AS adsh, owner AS cik, CASE status WHEN '710' THEN '10-K' ELSE '10-Q' END AS form, year AS fy, 'FY' AS fp,
+    strftime(filed, '%Y%m%d') AS filed, '20001231' AS ddate, 4 AS qtrs, tag, {R('value', 2)} AS value FROM (
     SELECT *, 'Revenues' AS tag, amount AS value FROM v_cases UNION ALL SELECT *, 'CostOfRevenue', 100.0 FROM v_cases WHERE case_id % 3 <> 0) WHERE status <> '700'""",
 )
 def src_tsv_zip_financials(spark, d):
     c = b.cases(spark, d)
-    key = F.col("case_id").cast("string")
+    key, ymd = F.col("case_id").cast("string"), F.date_format("filed", "yyyyMMdd")
     form = F.when(F.col("status") == "700", "8-K").when(F.col("status") == "710", "10-K").otherwise("10-Q")
-    sub = F.array(tab(key, F.col("owner").cast("string"), "name", "1000", form, F.col("year").cast("string")))
+    sub = F.array(tab(key, F.col("owner").cast("string"), "name", "1000", "US", ymd, form, "20001231", F.col("year").cast("string"), "FY"))
     seg = F.when(F.col("case_id") % 3 == 0, "Region=X").otherwise("")
-    num = F.array(
-        tab(key, "Revenues", "", "4", F.col("amount").cast("string")), tab(key, "CostOfRevenue", seg, "4", "100.0"), tab(key, "Other", "", "4", "1")
-    )
-    packed = zipped(c.select(sub.alias("s"), num.alias("n")), {"sub.txt": "s", "num.txt": "n"})
+    num = F.array(*[
+        tab(key, tag, "us-gaap", "20001231", "4", "USD", segment, value)
+        for tag, segment, value in (("Revenues", "", F.col("amount").cast("string")), ("CostOfRevenue", seg, "100.0"), ("Other", "", "1"))
+    ])
+    packed = zipped(spark, c.select(sub.alias("s"), num.alias("n")), {
+        "sub.txt": ("adsh\tcik\tname\tsic\tcountryba\tfiled\tform\tperiod\tfy\tfp", "s"),
+        "num.txt": ("adsh\ttag\tversion\tddate\tqtrs\tuom\tsegments\tvalue", "n"),
+    }, "financials")
     out = files.financial_facts(packed, ["Revenues", "CostOfRevenue"])
-    return rounded(out, "value", digits=2).select("adsh", "cik", "form", "fy", "tag", "value")
+    return rounded(out, "value", digits=2).select("adsh", "cik", "form", "fy", "fp", "filed", "ddate", "qtrs", "tag", "value")
 
 
 @query(
     "src_tsv_zip_offerings",
-    """SELECT CAST(case_id AS VARCHAR) AS accession, owner AS cik, filed, CASE WHEN case_id % 4 = 0 THEN filed - 30 ELSE filed END AS round_date,
-    cls = '5-LOW' AS is_pooled, registered AS is_amend, amount AS total_sold FROM v_cases WHERE case_id % 5 <> 0""",
+    """WITH o AS (SELECT CAST(case_id AS VARCHAR) AS accession, owner AS cik, 'ISSUER ' || (owner % 120) AS norm, filed,
+      CASE WHEN case_id % 4 = 0 THEN filed - 30 ELSE filed END AS round_date, cls = '5-LOW' AS is_pooled,
+      cls = '4-NOT SPECIFIED' AS is_amend, registered AS is_primary, amount AS total_sold FROM v_cases WHERE case_id % 5 <> 0),
+    a AS (SELECT norm FROM o WHERE NOT is_pooled AND is_primary GROUP BY 1 HAVING count(DISTINCT cik) > 1),
+    f AS (SELECT norm, count(*) AS n_rounds, min(round_date) AS first_round FROM o WHERE NOT is_pooled AND is_primary AND NOT is_amend
+      AND norm NOT IN (SELECT norm FROM a) GROUP BY 1)
+    SELECT o.*, f.n_rounds, f.first_round FROM o LEFT JOIN f USING (norm)""",
 )
 def src_tsv_zip_offerings(spark, d):
     c = b.cases(spark, d)
     key, ymd = F.col("case_id").cast("string"), lambda x: F.date_format(x, "yyyyMMdd")
     days = F.when(F.col("case_id") % 4 == 0, -30).when(F.col("case_id") % 4 == 1, 10).otherwise(-2000)
     live = F.when(F.col("case_id") % 5 == 0, "TEST").otherwise("Live")
-    sub = F.array(tab(key, ymd("filed"), live))
-    off = F.array(
-        tab(key, (F.col("cls") == "5-LOW").cast("string"), F.col("registered").cast("string"), ymd(F.date_add("filed", days)), F.col("amount").cast("string"))
+    name = F.concat(F.lit("Issuer "), (F.col("owner") % 120).cast("string"), F.lit(", Inc."))
+    flag = lambda x: x.cast("string")
+    sub = F.array(tab("x", key, live, ymd("filed"), "D", "1000"))
+    off = F.array(tab(
+        "Other", key, flag(F.col("cls") == "5-LOW"), "", flag(F.col("cls") == "4-NOT SPECIFIED"),
+        ymd(F.date_add("filed", days)), "1.0", F.col("amount").cast("string"), "None",
+    ))
+    iss = F.array(tab(key, F.when(F.col("registered"), "YES").otherwise("NO"), "1", F.col("owner").cast("string"), name, "DE", "Corporation", "1999"))
+    packed = zipped(spark, c.select(sub.alias("s"), off.alias("o"), iss.alias("i")), {
+        "FORMDSUBMISSION.tsv": ("FILE_NUM\tACCESSIONNUMBER\tTESTORLIVE\tFILING_DATE\tSUBMISSIONTYPE\tSIC_CODE", "s"),
+        "OFFERING.tsv": (
+            "INDUSTRYGROUPTYPE\tACCESSIONNUMBER\tISPOOLEDINVESTMENTFUNDTYPE\tINVESTMENTFUNDTYPE\tISAMENDMENT\tSALE_DATE\t"
+            "TOTALOFFERINGAMOUNT\tTOTALAMOUNTSOLD\tREVENUERANGE", "o",
+        ),
+        "ISSUERS.tsv": (
+            "ACCESSIONNUMBER\tIS_PRIMARYISSUER_FLAG\tISSUER_SEQ_KEY\tCIK\tENTITYNAME\tSTATEORCOUNTRY\tENTITYTYPE\t"
+            "YEAROFINC_VALUE_ENTERED", "i",
+        ),
+    }, "offerings")
+    rounds = b.stage(files.offering_rounds(packed), "rounds")
+    first = entities.operating_issuers(rounds).select("norm", "n_rounds", "first_round")
+    return rounds.join(first, "norm", "left").select(
+        "accession", "cik", "norm", "filed", "round_date", "is_pooled", "is_amend", "is_primary", "total_sold", "n_rounds", "first_round"
     )
-    iss = F.array(tab(key, F.col("owner").cast("string"), "entity"))
-    packed = zipped(
-        c.select(sub.alias("s"), off.alias("o"), iss.alias("i")),
-        {"FORMDSUBMISSION.tsv": "s", "OFFERING.tsv": "o", "ISSUERS.tsv": "i"},
-    )
-    return files.offering_rounds(packed).drop("entity_name")
 
 
 def case_xml(spark, d):
@@ -192,14 +225,12 @@ def src_json_lookup(spark, d):
         F.lit('"'), F.col("s_suppkey").cast("string"), F.lit('": '),
         F.to_json(F.struct(F.col("s_suppkey").alias("cik_str"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("title"))),
     )
-    s = b.table(spark, d, "supplier").select((F.col("s_suppkey") % 8).alias("f"), entry.alias("e"))
-    # one object per bucket of suppliers, the way such a lookup is shipped in parts
-    doc = s.groupBy("f").agg(F.concat(F.lit("{"), F.concat_ws(", ", F.collect_list("e")), F.lit("}")).alias("j"))
+    s = b.table(spark, d, "supplier").select(F.floor(F.col("s_suppkey") / 500).alias("part"), entry.alias("e"))
+    # the lookup is shipped in parts of at most 500 entries, one object a file
+    doc = s.groupBy("part").agg(F.concat(F.lit("{"), F.concat_ws(", ", F.collect_list("e")), F.lit("}")).alias("value"))
     path = shared_folder(spark, "json")
-    doc.select("j").repartition(8, "j").write.text(path)
-    text = spark.read.text(path)
-    entries = F.from_json("value", "map<string, struct<cik_str: bigint, ticker: string, title: string>>")
-    return text.select(F.explode(entries).alias("key", "v")).select("key", "v.*")
+    doc.write.partitionBy("part").text(path)
+    return files.json_lookup(spark, f"{path}/part=*", "cik_str: bigint, ticker: string, title: string")
 
 
 def records(spark, d):
@@ -304,12 +335,13 @@ def stream_kl_past(spark, d):
     docs, terms, vocab = parts(spark, d)
     vocab = b.stage(vocab, "vocab")
     path = shared_folder(spark, "stream")
-    # three arrival files in time order; the last day of one may continue in the next
     slim = docs.select("doc_id", "cls", "filed", "year", "body")
-    for lo, hi in ((1900, 1996), (1997, 1999), (2000, 2100)):
-        slim.filter(F.col("year").between(lo, hi)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     online = jobs.OnlineSurprise(
         spark, vocab, lambda x: vocabulary.document_terms(x, tx.chunked_terms("body", b.STOPWORDS)), path, 1.0, b.ALPHA
     )
-    return rounded(online.run(stream).drop("batch"), "kl_past", digits=5)
+    # three arrivals in time order, each written by as many tasks as it has parts and then
+    # streamed until it is used up; the checkpoint carries on from one to the next
+    for lo, hi in ((1900, 1996), (1997, 1999), (2000, 2100)):
+        slim.filter(F.col("year").between(lo, hi)).write.mode("append").parquet(f"{path}/in")
+        scores = online.run(spark.readStream.schema(slim.schema).parquet(f"{path}/in"))
+    return rounded(scores.drop("batch"), "kl_past", digits=5)

@@ -6,7 +6,11 @@ and the bench.  Nothing in the package changes settings of a running session.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,15 +39,36 @@ def local_session(cores: int | str = "*", name: str = "driftline", **extra: str)
     return spark
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder that every executor can reach.
+    """A fresh folder that every executor can reach, removed when the driver ends.
 
-    It lies under ``spark.checkpoint.dir`` when the cluster names one; only
-    without that setting (tests, local mode) a temporary folder is used.
+    It lies under ``spark.checkpoint.dir`` when the cluster names one.  Only a local
+    master, whose tasks all run on this machine, may do without: elsewhere each executor
+    would write its own disk and reads would miss what the others wrote.
     """
-    import uuid
-
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"spark-{label}-", dir="/tmp") + "/data"
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(remove_made)
+    _made.append((spark, path))
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove_made() -> None:
+    """Delete the folders of :func:`shared_folder`; tables read from them are gone then."""
+    while _made:
+        spark, path = _made.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            remove_folder(spark, path)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.names import strong_key
 from ..functions.scalars import parse_compact_date
 
 
@@ -36,7 +38,8 @@ def delimited(
 
 
 def json_lookup(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """A JSON object of objects, one row per entry with its key."""
+    """JSON objects of objects, one row per entry with its key.  A file is one object over
+    any number of lines; a lookup that ships in parts is read part by part."""
     text = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", f"map<string, struct<{value_schema}>>")
     return text.select(F.explode(entries).alias("key", "_v")).select("key", "_v.*")
@@ -124,12 +127,32 @@ def archives(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "content")
 
 
-def archive_lines(files: DataFrame, members: Sequence[str]) -> DataFrame:
-    """Lines of the named members of every archive, header line excluded.
+def write_archives(files: DataFrame, folder: str) -> None:
+    """Write ``(path, content)`` rows as files of a folder that all executors share."""
 
-    Unzipping is the only Python step; lines leave it in bounded batches.
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        plain = folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:")
+        store, root = (fs.LocalFileSystem(), plain) if "://" not in plain else fs.FileSystem.from_uri(plain)
+        store.create_dir(root, recursive=True)
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pdf[["path"]]
+
+    files.select("path", "content").mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()
+
+
+def archive_tables(files: DataFrame, members: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``(path, member, cells)``: the named columns of the named tab-separated members.
+
+    Columns are found by each member's own header line, wherever they stand; one that an
+    archive lacks is NULL, and lines shorter than the header are dropped.  Unzipping is the
+    only Python step; rows leave it in bounded batches.
     """
-    wanted = tuple(members)
+    wanted = {m: tuple(names) for m, names in members.items()}
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -140,62 +163,75 @@ def archive_lines(files: DataFrame, members: Sequence[str]) -> DataFrame:
                         if base not in wanted:
                             continue
                         with z.open(name) as fh:
-                            lines = io.TextIOWrapper(fh, encoding="utf-8", errors="replace")
-                            next(lines, None)
-                            buf: list[str] = []
-                            for line in lines:
-                                buf.append(line.rstrip("\r\n"))
-                                if len(buf) == 10_000:
-                                    yield pd.DataFrame({"path": path, "member": base, "line": buf})
-                                    buf = []
-                            if buf:
-                                yield pd.DataFrame({"path": path, "member": base, "line": buf})
+                            rows = (x.rstrip("\r\n").split("\t") for x in io.TextIOWrapper(fh, encoding="utf-8-sig", errors="replace"))
+                            header = next(rows, [])
+                            at = [header.index(n) if n in header else None for n in wanted[base]]
+                            full = (x for x in rows if len(x) >= len(header))
+                            while cells := [[None if i is None else x[i] for i in at] for x in islice(full, 10_000)]:
+                                yield pd.DataFrame({"path": path, "member": base, "cells": cells})
 
-    return files.select("path", "content").mapInPandas(unzip, "path string, member string, line string")
+    return files.select("path", "content").mapInPandas(unzip, "path string, member string, cells array<string>")
 
 
-def member_table(lines: DataFrame, member: str, names: Sequence[str]) -> DataFrame:
-    """Columns of one tab-separated member; short lines are dropped."""
-    cells = F.split("line", "\t", -1)
-    rows = lines.filter(F.col("member") == member).select(cells.alias("_c"))
-    rows = rows.filter(F.size("_c") >= len(names))
-    return rows.select(*[F.col("_c")[i].alias(n) for i, n in enumerate(names)])
+def member_table(tables: DataFrame, member: str, names: Sequence[str]) -> DataFrame:
+    """One member's rows with their archive and named columns."""
+    rows = tables.filter(F.col("member") == member)
+    return rows.select("path", *[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
 
 
-SUB = ("adsh", "cik", "name", "sic", "form", "fy")
-NUM = ("adsh", "tag", "segments", "qtrs", "value")
+# Column names of the published archives.
+SUB = ("adsh", "cik", "name", "sic", "form", "fy", "fp", "period", "filed")
+NUM = ("adsh", "tag", "ddate", "qtrs", "segments", "value")
+SUBMISSION = ("ACCESSIONNUMBER", "FILING_DATE", "SUBMISSIONTYPE", "SIC_CODE", "TESTORLIVE")
+OFFERING = (
+    "ACCESSIONNUMBER", "INDUSTRYGROUPTYPE", "ISPOOLEDINVESTMENTFUNDTYPE", "INVESTMENTFUNDTYPE", "ISAMENDMENT", "SALE_DATE",
+    "TOTALOFFERINGAMOUNT", "TOTALAMOUNTSOLD", "REVENUERANGE",
+)
+ISSUERS = (
+    "ACCESSIONNUMBER", "CIK", "ENTITYNAME", "STATEORCOUNTRY", "ENTITYTYPE", "YEAROFINC_VALUE_ENTERED", "IS_PRIMARYISSUER_FLAG",
+)
 
 
 def financial_facts(files: DataFrame, tags: Sequence[str], forms: str = "^10-[KQ]") -> DataFrame:
-    """Facts of annual and quarterly forms: wanted tags, no segment, joined on accession."""
-    lines = archive_lines(files, ["sub.txt", "num.txt"])
-    sub = member_table(lines, "sub.txt", SUB).filter(F.col("form").rlike(forms))
-    sub = sub.withColumn("cik", F.col("cik").try_cast("long")).filter(F.col("cik").isNotNull())
-    num = member_table(lines, "num.txt", NUM).filter(F.col("tag").isin(*tags) & (F.col("segments") == ""))
-    j = num.join(sub, "adsh")
-    return j.select(
-        "adsh", "cik", "name", "sic", "form", F.col("fy").try_cast("int").alias("fy"), "tag",
-        F.col("qtrs").try_cast("int").alias("qtrs"), F.col("value").try_cast("double").alias("value"),
+    """Facts of annual and quarterly forms: wanted tags, no segment, joined on accession
+    within each archive."""
+    tables = archive_tables(files, {"sub.txt": SUB, "num.txt": NUM})
+    sub = member_table(tables, "sub.txt", SUB).filter(F.col("form").rlike(forms))
+    year = F.trim("fy")
+    sub = sub.withColumn("cik", F.trim("cik").try_cast("long")).filter(
+        F.col("cik").isNotNull() & ((year == "") | year.try_cast("int").isNotNull())
+    )
+    num = member_table(tables, "num.txt", NUM).filter(F.col("tag").isin(*tags) & (F.col("segments") == ""))
+    number = F.col("value").try_cast("double")
+    num = num.filter((F.col("value") == "") | number.isNotNull())
+    return num.join(sub, ["path", "adsh"]).select(
+        "adsh", "cik", "name", "sic", "form", year.try_cast("int").alias("fy"), "fp", "period", "filed", "ddate", "tag",
+        F.col("qtrs").try_cast("int").alias("qtrs"), number.alias("value"),
     )
 
 
 def offering_rounds(files: DataFrame, max_days: int = 1095) -> DataFrame:
-    """Live offerings: submission, offering and issuer members joined; the first-sale
-    date is trusted only up to ``max_days`` before the filing."""
+    """Live offerings: submission, offering and issuer members joined within each archive; the
+    first-sale date is trusted only up to ``max_days`` before the filing.  Has the columns
+    that :func:`entities.operating_issuers` asks for."""
     names = ("FORMDSUBMISSION.tsv", "OFFERING.tsv", "ISSUERS.tsv")
-    lines = archive_lines(files, names)
-    sub = member_table(lines, names[0], ("accession", "filing_date", "test_or_live"))
-    sub = sub.filter(F.upper("test_or_live") == "LIVE")
-    off = member_table(lines, names[1], ("accession", "is_pooled", "is_amend", "sale_date", "total_sold"))
-    iss = member_table(lines, names[2], ("accession", "cik", "entity_name")).filter(F.trim("cik").rlike("^[0-9]+$"))
-    j = iss.join(sub, "accession").join(off, "accession")
-    filed, sold = parse_compact_date("filing_date"), parse_compact_date("sale_date")
+    tables = archive_tables(files, dict(zip(names, (SUBMISSION, OFFERING, ISSUERS))))
+    sub = member_table(tables, names[0], SUBMISSION).filter(F.upper("TESTORLIVE") == "LIVE")
+    off = member_table(tables, names[1], OFFERING)
+    iss = member_table(tables, names[2], ISSUERS).filter(F.trim("CIK").rlike("^[0-9]+$"))
+    j = iss.join(sub, ["path", "ACCESSIONNUMBER"]).join(off, ["path", "ACCESSIONNUMBER"])
+    filed, sold = parse_compact_date("FILING_DATE"), parse_compact_date("SALE_DATE")
     sane = F.when((sold <= filed) & (F.datediff(filed, sold) <= max_days), sold)
+    flag = lambda c, yes: F.lower(F.coalesce(F.col(c), F.lit(""))) == yes
     return j.select(
-        "accession", F.trim("cik").cast("long").alias("cik"), "entity_name", filed.alias("filed"),
-        F.coalesce(sane, filed).alias("round_date"),
-        (F.lower("is_pooled") == "true").alias("is_pooled"), (F.lower("is_amend") == "true").alias("is_amend"),
-        F.col("total_sold").try_cast("double").alias("total_sold"),
+        F.col("ACCESSIONNUMBER").alias("accession"), F.trim("CIK").cast("long").alias("cik"), F.col("ENTITYNAME").alias("entity_name"),
+        strong_key("ENTITYNAME").alias("norm"), F.col("STATEORCOUNTRY").alias("state"), F.col("ENTITYTYPE").alias("entity_type"),
+        F.col("YEAROFINC_VALUE_ENTERED").alias("year_inc"), flag("IS_PRIMARYISSUER_FLAG", "yes").alias("is_primary"),
+        filed.alias("filed"), F.coalesce(sane, filed).alias("round_date"), F.col("SUBMISSIONTYPE").alias("submission_type"),
+        F.col("SIC_CODE").alias("sic"), F.col("INDUSTRYGROUPTYPE").alias("industry"),
+        flag("ISPOOLEDINVESTMENTFUNDTYPE", "true").alias("is_pooled"), F.col("INVESTMENTFUNDTYPE").alias("fund_type"),
+        flag("ISAMENDMENT", "true").alias("is_amend"), F.col("TOTALOFFERINGAMOUNT").try_cast("double").alias("total_offering"),
+        F.col("TOTALAMOUNTSOLD").try_cast("double").alias("total_sold"), F.col("REVENUERANGE").alias("revenue_range"),
     )
 
 

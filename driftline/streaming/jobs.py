@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.surprise import _decay_sums, _divergence, _doc_sums, vocabulary_size
+from ..session import remove_folder
 
 
 def windowed_counts(
@@ -71,7 +72,10 @@ class OnlineSurprise:
         tot = tot0.unionByName(n.join(m, ["cls", "day"], "left").na.fill(0.0, ["m"]))
         tot = tot.groupBy("cls", "day").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
         span = tot.agg(F.min("day"), F.max("day")).first()
-        if span[1] is None:
+        if span[1] is None:  # nothing has arrived yet: the next batch still finds a state
+            self._keep(batch, tf0, tot0)
+            nothing = docs.select("doc_id", "cls", F.lit(0).cast("long").alias("n_terms"), F.lit(0.0).alias("kl_past"))
+            nothing.limit(0).write.mode("overwrite").parquet(f"{self.root}/scores/batch={batch}")
             return
         years = (F.col("day") - F.lit(span[0])) / F.lit(365.25)
         tf, tot = tf.withColumn("_t_years", years), tot.withColumn("_t_years", years)
@@ -91,11 +95,20 @@ class OnlineSurprise:
         top = span[1]
         fade = F.when(F.col("day") < top, F.exp(F.lit(-self.rate) * (F.lit(top - 1) - F.col("day")) / F.lit(365.25))).otherwise(1.0)
         kept = F.when(F.col("day") < top, F.lit(top - 1)).otherwise(F.col("day")).alias("day")
-        base = f"{self.root}/state/{batch}"
-        tf.groupBy("cls", "term", kept).agg(F.sum(F.col("tf") * fade).alias("tf")).write.mode("overwrite").parquet(f"{base}/terms")
-        tot.groupBy("cls", kept).agg(
-            F.sum(F.col("m") * fade).alias("m"), F.sum(F.col("n") * fade).alias("n")
-        ).write.mode("overwrite").parquet(f"{base}/totals")
+        self._keep(
+            batch,
+            tf.groupBy("cls", "term", kept).agg(F.sum(F.col("tf") * fade).alias("tf")),
+            tot.groupBy("cls", kept).agg(F.sum(F.col("m") * fade).alias("m"), F.sum(F.col("n") * fade).alias("n")),
+        )
+
+    def _keep(self, batch: int, terms: DataFrame, totals: DataFrame) -> None:
+        """Write this batch's state, then drop the version that no replay can ask for:
+        only the last batch may run again, and it starts from the one before it."""
+        base = f"{self.root}/state"
+        terms.write.mode("overwrite").parquet(f"{base}/{batch}/terms")
+        totals.write.mode("overwrite").parquet(f"{base}/{batch}/totals")
+        if batch >= 2:
+            remove_folder(self.spark, f"{base}/{batch - 2}")
 
     def run(self, stream: DataFrame) -> DataFrame:
         q = (
