@@ -74,41 +74,32 @@ def bounds(
     return estimate, norm * (epsilon * spread * length + rounding + 1e-5 * length) + 1e-9
 
 
-def exact(queries: np.ndarray, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of the pairs ``queries[a], rows[b]`` in double precision."""
-    out = np.empty(len(a))
-    for i in range(0, len(a), 1 << 16):
-        s = slice(i, i + (1 << 16))
-        out[s] = (queries[a[s]] * rows[b[s]]).sum(1)
-    return out
-
-
 def nearest(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, code, center, turn, k: int, epsilon: float,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query index, row index, score)``: each query's ``k`` nearest rows of other ids in one
     block, ties to the smaller id."""
     found = []
+    n = min(k, len(ids))
     for i in range(0, len(queries), STRIP):
         part = queries[i : i + STRIP]
         estimate, error = bounds(part, *code, center, turn, epsilon)
         own = query_ids[i : i + STRIP, None] == ids[None, :]
-        low = np.where(own, -np.inf, estimate - error)
-        high = np.where(own, -np.inf, estimate + error)
-        n = min(k, len(ids))
-        # the k most promising rows give an exact score that the k-th nearest reaches
-        first = np.argpartition(-np.where(own, -np.inf, estimate), n - 1, axis=1)[:, :n]
-        a = np.repeat(np.arange(len(part)), n)
-        proven = exact(part, rows, a, first.ravel()).reshape(-1, n)
-        proven = np.where(np.take_along_axis(own, first, 1), -np.inf, proven).min(1)
-        kth = np.partition(low, len(ids) - n, axis=1)[:, len(ids) - n]
-        a, b = np.nonzero((high >= np.maximum(proven, kth)[:, None]) & ~own)
-        score = exact(part, rows, a, b)
-        order = np.lexsort((ids[b], -score, a))
-        a, b, score = a[order], b[order], score[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        top = rank < k
-        found.append((a[top] + i, b[top], score[top]))
+        estimate[own] = -np.inf
+        # the most promising rows prove a score that the k-th nearest reaches
+        first = np.argpartition(-estimate, n - 1, axis=1)[:, :n]
+        estimate += error
+        for j, q in enumerate(part):
+            picked = first[j][~own[j, first[j]]]
+            proven = (rows[picked] @ q).min() if len(picked) == k else -np.inf
+            chosen = np.nonzero((estimate[j] >= proven) & ~own[j])[0]
+            quick = rows[chosen] @ q
+            if len(chosen) > k:  # what is at least about the k-th
+                chosen = chosen[quick >= np.partition(quick, len(quick) - k)[len(quick) - k] - 1e-9 * (1 + abs(proven))]
+            # equal vectors have equal sums here, wherever they stand in the block
+            score = (rows[chosen] * q).sum(1)
+            order = np.lexsort((ids[chosen], -score))[:k]
+            found.append((np.full(len(order), i + j), chosen[order], score[order]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -123,7 +114,7 @@ def _matrix(values, dim: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", epsilon: float = 3.0, seed: int = 11,
+    vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", epsilon: float = 2.0, seed: int = 11,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for every row that
     ``is_query`` holds for, by inner product, ties to the smaller key.
