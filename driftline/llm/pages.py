@@ -293,6 +293,8 @@ def main_text(
         .groupBy("host", "_page").agg(F.collect_set("subtree").alias("_gone"))
         .withColumnRenamed("host", "_on").withColumnRenamed("_page", "_of")
     )
+    # a written table has a known size: Spark broadcasts it if it is small, and the texts stay put
+    on_page = stage(on_page, "pages-templates")
     rows = parsed.join(on_page, (parsed["_host"] == on_page["_on"]) & (parsed["_page"] == on_page["_of"]), "left")
     left = F.filter("_blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("_gone")), F.lit(False)))
     return rows.withColumn("_left", left).select(
