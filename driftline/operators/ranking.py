@@ -3,9 +3,10 @@
 A plain window sorts a whole group in one task, and ``percentile`` keeps all
 distinct values of a group in one buffer.  Both are used only after the largest
 group was counted and found to have at most ``split_rows`` rows.  Beyond that a
-group is cut at *splitters* (a bounded hash sample of its own rows), each slice
-is ordered on its own, and the slice totals (at most ``SPLITS`` + 1 per group)
-are prefixed and joined back.  Splitters steer the balance, never the result.
+group is cut at *splitters* (a hash sample of its own rows, a few for each slice),
+each slice is ordered on its own, and the slice totals are prefixed and joined back.
+The number of slices follows the largest group, so that a slice stays near
+``split_rows`` rows however many there are.  Splitters steer the balance, never the result.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import clip, correlation
 
-SPLITS = 64
-SAMPLE = 960  # below spark.sql.optimizer.windowGroupLimitThreshold, so the limit is pushed down
+SPLITS = 64  # slices of a large group, at least
+DRAWS = 15  # sampled rows a slice
 SPLIT_ROWS = 1_000_000
 
 
@@ -65,8 +66,9 @@ def running_total(
     weight = F.lit(1).cast("long") if weight is None else weight
     lit_key = not by
     by = _keys(by)
+    largest = largest_group(df, by) if small is None or not small else 0
     if small is None:
-        small = largest_group(df, by) <= split_rows
+        small = largest <= split_rows
     if small:
         before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
         before = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -76,14 +78,11 @@ def running_total(
         src, by = src.withColumn("_all", F.lit(1)), ["_all"]
     hot = src.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > split_rows)
     hot = hot.select(*by)
-    spread = Window.partitionBy(*by).orderBy(F.xxhash64(*order), *order)
-    sample = (
-        src.select(*by, *order)
-        .join(hot, by, "left_semi")
-        .withColumn("_r", F.row_number().over(spread))
-        .filter(F.col("_r") <= SAMPLE)
-    )
-    step = SAMPLE // SPLITS
+    slices_wanted = max(SPLITS, -(-largest // split_rows))
+    size, step = slices_wanted * DRAWS, DRAWS
+    # a hash threshold draws the sample; a group as large as the largest gives ``size`` rows
+    place = F.pmod(F.xxhash64(*order), F.lit(1 << 40)) / float(1 << 40)
+    sample = src.select(*by, *order).join(hot, by, "left_semi").filter(place * largest <= size)
     cuts = sample.groupBy(*by).agg(
         F.filter(
             F.array_sort(F.collect_list(F.struct(*order))),
@@ -223,7 +222,8 @@ def ordinal_bin(
 ) -> DataFrame:
     """Bin 0..k-1 = floor((rank - 1) * k / n) inside the group.
 
-    ``ordinal`` breaks ties by ``key``; ``min`` keeps tied rows together.
+    ``ordinal`` breaks ties by ``key``; ``min`` keeps tied rows together.  A row without
+    a value (``min``) or group has a NULL bin.
     """
     sized = with_stats(df, by, _n=F.count(F.lit(1)))
     if ties == "ordinal":
@@ -231,7 +231,7 @@ def ordinal_bin(
     else:
         pos = value_positions(df, value, by, split_rows)
         pos = pos.select(*by, value, F.col("below").alias("_before"))
-        ranked = sized.join(pos, [*by, value])
+        ranked = sized.join(pos, [*by, value], "left")  # rows without a value or group keep a NULL bin
     return ranked.withColumn(out, F.floor(F.col("_before") * k / F.col("_n")).cast("int")).drop(
         "_before", "_n"
     )
@@ -248,10 +248,10 @@ def percent_bin(
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Mid-rank of each row (ties share the mean position)."""
+    """Mid-rank of each row (ties share the mean position); NULL without a value or group."""
     pos = value_positions(df, value, by)
     pos = pos.select(*by, value, (F.col("below") + (F.col("cnt") + 1) / 2).alias(out))
-    return df.join(pos, [*by, value])
+    return df.join(pos, [*by, value], "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "rho") -> DataFrame:

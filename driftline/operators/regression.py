@@ -62,7 +62,8 @@ def fit(
 
     With ``absorb`` the variables are demeaned by that cell first.  The small
     sample factor is n / (n - k), or (G / (G - 1)) ((n - 1) / (n - k)) when
-    clustered; k counts the intercept only without absorption.
+    clustered; k counts the intercept only without absorption.  Without a spare row, or
+    with a single cluster, the errors are NULL.
     """
     keys = [cluster] if cluster else []
     cells = [] if absorb is None else [absorb] if isinstance(absorb, str) else list(absorb)
@@ -96,13 +97,14 @@ def fit(
         scores = scores.groupBy("g").agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)])
     row = scores.agg(F.count(F.lit(1)), *_cross(cols)).first()
     groups, meat = row[0], _matrix(row, k, 1)
-    adj = groups / (groups - 1) * (n - 1) / dof if cluster else n / dof
+    known = dof > 0 and (not cluster or groups > 1)
+    adj = (groups / (groups - 1) * (n - 1) / dof if cluster else n / dof) if known else 0.0
     se = np.sqrt(np.maximum(np.diag(adj * inv @ meat @ inv), 0))
     r2 = float(b @ xty / yy) if yy > 0 else None
     out = []
     for i, x in enumerate(xs):
-        bi, si = float(b[i]), float(se[i])
-        t = bi / si if si > 0 else None
+        bi, si = float(b[i]), float(se[i]) if known else None
+        t = bi / si if si else None
         out.append((x, bi, si, t, int(n), int(groups) if cluster else None, r2))
     if with_const:
         const = float(means[0] - sum(bi * m for bi, m in zip(b, means[1:])))
@@ -196,7 +198,7 @@ def quadratic_logits(
         current = spark.createDataFrame(
             [(*k, *map(float, beta[k])) for k in live], f"{kinds}, _b0 double, _b1 double, _b2 double"
         )
-        j = rows.join(F.broadcast(current), list(by))  # bounded by the number of cells
+        j = rows.join(current, list(by))  # a row a cell: Spark broadcasts it by its size
         x = [F.lit(1.0), F.col("_z"), F.col("_z") * F.col("_z")]
         p = 1 / (1 + F.exp(-(F.col("_b0") + F.col("_b1") * x[1] + F.col("_b2") * x[2])))
         w = p * (1 - p)

@@ -16,17 +16,15 @@ from .scoring import parts
 TAU, FLOOR = 0.22, 10
 
 
-def doc_vectors(spark, d, n=100):
-    docs = b.corpus(spark, d).select("doc_id", "cls", "year", "body")
-    sample = tm.stratified_sample(docs, ["cls"], "doc_id", n)
-    return docs, *tm.count_vectors(sample, tx.chunked_terms("body", b.STOPWORDS), 5000, 5.0)
-
-
 def fitted(spark, d):
-    docs, counter, vectors = doc_vectors(spark, d)
-    vectors = b.stage(vectors.drop("body"), "vectors")
-    model = tm.fit_lda(vectors, b.TOPICS, vectors.count(), passes=4, batch=128)
-    return docs, counter, vectors, model
+    """LDA over all documents and their whole vocabulary; a step of the online optimizer
+    reads a fraction of the corpus, so its cost does not follow the corpus."""
+    docs = b.corpus(spark, d).select("doc_id", "cls", "year", "body")
+    words = b.stage(docs.select("doc_id", "cls", "year", tx.chunked_terms("body", b.STOPWORDS).alias("words")), "words")
+    counter, vectors = tm.count_vectors(words, F.col("words"), 5.0)
+    vectors = b.stage(vectors.drop("words"), "vectors")
+    model = tm.fit_lda(vectors, b.TOPICS, vectors.count(), passes=2, batch=2048)
+    return counter, vectors, model
 
 
 @query("sample_stratified")
@@ -37,21 +35,20 @@ def sample_stratified(spark, d):
 
 @query("lda_fit")
 def lda_fit(spark, d):
-    _, counter, _, model = fitted(spark, d)
-    return tm.topic_words(model, counter.vocabulary, 3).groupBy("topic").agg(F.count("word").alias("n_words"))
+    _, vectors, model = fitted(spark, d)
+    return rounded(tm.topic_sizes(model, vectors), "tokens", "share", digits=4)
 
 
 @query("lda_transform")
 def lda_transform(spark, d):
-    docs, counter, _, model = fitted(spark, d)
-    every = counter.transform(docs.withColumn("terms", tx.chunked_terms("body", b.STOPWORDS)))
-    t = tm.theta_table(model, every, ["doc_id", "cls", "year"])
+    _, vectors, model = fitted(spark, d)
+    t = tm.theta_table(model, vectors, ["doc_id", "cls", "year"])
     return t.select("doc_id", "cls", "year", F.size("theta").alias("k"), r(F.array_max("theta"), 4).alias("top_weight"))
 
 
 @query("topic_top_words")
 def topic_top_words(spark, d):
-    _, counter, _, model = fitted(spark, d)
+    counter, _, model = fitted(spark, d)
     return rounded(tm.topic_words(model, counter.vocabulary, 10), "weight")
 
 
