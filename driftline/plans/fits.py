@@ -10,6 +10,7 @@ from .bins import n_rows
 from .lifecycle import gated, qbin_sql
 from .registry import R, query, r, rounded, view
 from .relational import owner_year
+from .fit_sql import logit as logit_sql, logits as logits_sql, ols, two_way as two_way_sql
 
 
 def frame(spark, d):
@@ -55,9 +56,16 @@ def only(df, term):
     return res(df.filter(F.col("term") == term))
 
 
-@query("reg_ols", one_sql("v_frame", "lead", "log_amount", "log_amount"))
+OLS_TERMS = {"log_amount": "log_amount", "n_terms": "n_terms", "t": "(year - 1995)", "t2": "(year - 1995) * (year - 1995)"}
+
+
+@query("reg_ols", ols("v_frame", "lead", OLS_TERMS))
 def reg_ols(spark, d):
-    return only(regression.fit(frame(spark, d), "lead", ["log_amount"]), "log_amount")
+    """Lead on size and length with a quadratic year control."""
+    t = F.col("year") - 1995
+    f = frame(spark, d).withColumn("t", t.cast("double")).withColumn("t2", (t * t).cast("double"))
+    out = regression.fit(f, "lead", list(OLS_TERMS))
+    return res(out.filter(F.col("term") != "intercept"))
 
 
 @query("reg_fe_lpm", one_sql("v_frame", "y", "lead", "lead", "cell"))
@@ -79,24 +87,52 @@ def panel(spark, d):
     return b.stage(p, "panel")
 
 
-@query("reg_twoway_fe")
+view(
+    "v_ownpanel",
+    """SELECT owner, year, count(*) AS n, avg(lead) AS lead, avg(level) AS level, ln(sum(amount)) AS log_total FROM v_scored GROUP BY 1, 2""",
+)
+view(
+    "v_leadlag",
+    """SELECT p.*, a.lead AS lag1, z.lead AS lead1 FROM v_ownpanel p LEFT JOIN v_ownpanel a ON a.owner = p.owner AND a.year = p.year - 1
+    LEFT JOIN v_ownpanel z ON z.owner = p.owner AND z.year = p.year + 1""",
+)
+
+
+@query("reg_twoway_fe", two_way_sql("v_ownpanel", "log_total", {"lead": "lead", "level": "level"}, "owner"))
 def reg_twoway_fe(spark, d):
     return res(regression.two_way(panel(spark, d), "log_total", ["lead", "level"], "owner"))
 
 
-@query("reg_leadlag_fe")
+@query("reg_leadlag_fe", two_way_sql("v_leadlag", "log_total", {"lead_lag1": "lag1", "lead": "lead", "lead_lead1": "lead1"}, "owner"))
 def reg_leadlag_fe(spark, d):
     p = panels.consecutive_shift(panel(spark, d), "owner", "lead")
     p = b.stage(p, "leadlag")
     return res(regression.two_way(p, "log_total", ["lead_lag1", "lead", "lead_lead1"], "owner"))
 
 
-@query("reg_interaction_fe")
+view("v_high", "SELECT *, CAST(level > (SELECT median(level) FROM v_ownpanel) AS DOUBLE) AS high FROM v_ownpanel")
+
+
+@query(
+    "reg_interaction_fe",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS sample, * FROM ({two_way_sql('v_high', 'log_total', xs, 'owner', where=where)})"
+        for name, xs, where in (
+            ("interaction", {"lead": "lead", "high": "high", "lead_high": "lead * high"}, "true"),
+            ("low half", {"lead": "lead"}, "high = 0"), ("high half", {"lead": "lead"}, "high = 1"),
+        )
+    ),
+)
 def reg_interaction_fe(spark, d):
+    """The interaction on the whole panel, and the slope in each half by itself."""
     p = panel(spark, d)
     p = ranking.with_quantiles(p, "level", [0.5], ["_m"]).withColumn("high", (F.col("level") > F.col("_m")).cast("double"))
-    p = regression.interaction(p, "lead", "high", "lead_high")
-    return res(regression.two_way(p, "log_total", ["lead", "high", "lead_high"], "owner"))
+    p = b.stage(regression.interaction(p, "lead", "high", "lead_high"), "halves")
+    out = regression.two_way(p, "log_total", ["lead", "high", "lead_high"], "owner").withColumn("sample", F.lit("interaction"))
+    for name, v in (("low half", 0), ("high half", 1)):
+        one = regression.two_way(p.filter(F.col("high") == v), "log_total", ["lead"], "owner")
+        out = out.unionByName(one.withColumn("sample", F.lit(name)))
+    return res(out)
 
 
 def logit_out(df):
@@ -116,7 +152,16 @@ def reg_logit_quadratic(spark, d):
     return out
 
 
-@query("reg_logit_outcomes")
+_LEADS = {"lead": {"lead": "lead"}, "kl_past+kl_future": {"kl_past": "kl_past", "kl_future": "kl_future"}}
+
+
+@query(
+    "reg_logit_outcomes",
+    logits_sql([
+        logit_sql("v_frame", y, {**xs, "log_amount": "log_amount"}, f"{name} on {label}")
+        for name, y in (("reg", "CAST(registered AS DOUBLE)"), ("hit", "CAST(hit AS DOUBLE)")) for label, xs in _LEADS.items()
+    ]),
+)
 def reg_logit_outcomes(spark, d):
     f, out = frame(spark, d), None
     for y in ("reg", "hit"):
@@ -126,14 +171,38 @@ def reg_logit_outcomes(spark, d):
     return logit_out(out)
 
 
-@query("reg_mediation")
+@query(
+    "reg_mediation",
+    logits_sql([
+        logit_sql("v_frame", "CAST(hit AS DOUBLE)", {"lead": "lead"}, "total"),
+        logit_sql("v_frame", "CAST(hit AS DOUBLE)", {"lead": "lead", "n_terms": "n_terms"}, "direct"),
+    ]),
+)
 def reg_mediation(spark, d):
     f = frame(spark, d)
     total = regression.logit(f, "hit", ["lead"], "total")
     return logit_out(total.unionByName(regression.logit(f, "hit", ["lead", "n_terms"], "direct")))
 
 
-@query("reg_alternatives")
+view(
+    "v_cuts",
+    """SELECT f.*, case_id = min(case_id) OVER (PARTITION BY owner) AS first_case,
+    1 + CAST(n_terms > quantile_cont(n_terms, 0.25) OVER () AS INTEGER) + CAST(n_terms > quantile_cont(n_terms, 0.5) OVER () AS INTEGER)
+      + CAST(n_terms > quantile_cont(n_terms, 0.75) OVER () AS INTEGER) AS len_q,
+    lead BETWEEN quantile_cont(lead, 0.01) OVER () AND quantile_cont(lead, 0.99) OVER () AS inner_lead FROM v_frame f""",
+)
+
+
+@query(
+    "reg_alternatives",
+    logits_sql([
+        logit_sql("v_cuts", "CAST(hit AS DOUBLE)", {"lead": "lead", "lead2": "lead * lead"}, name, where)
+        for name, where in (
+            ("all", "true"), ("first", "first_case"), ("recurring", "NOT first_case"), ("shortest quartile", "len_q = 1"),
+            ("longest quartile", "len_q = 4"), ("trimmed", "inner_lead"),
+        )
+    ]),
+)
 def reg_alternatives(spark, d):
     f = ranking.with_quantiles(frame(spark, d), "lead", [0.01, 0.99], ["_lo", "_hi"])
     f = ranking.quantile_bin(f, "n_terms", 4, out="len_q")
@@ -163,7 +232,14 @@ def reg_financial_panel(spark, d):
     return only(regression.fit(p, "log_total", ["lead3"], cluster="owner"), "lead3")
 
 
-@query("reg_demand_pull")
+view(
+    "v_pull",
+    """SELECT cls, year, ln(n) - ln(lag(n) OVER (PARTITION BY cls ORDER BY year)) AS inflow, lag(med) OVER (PARTITION BY cls ORDER BY year) AS med_lag FROM (
+    SELECT cls, year, count(*) AS n, median(lead) AS med FROM v_scored GROUP BY 1, 2)""",
+)
+
+
+@query("reg_demand_pull", two_way_sql("v_pull", "inflow", {"med_lag": "med_lag"}, "cls"))
 def reg_demand_pull(spark, d):
     s = b.scored_cases(spark, d)
     cy = s.groupBy("cls", "year").agg(n_rows().alias("n"), F.avg("amount").alias("m"))
@@ -174,7 +250,17 @@ def reg_demand_pull(spark, d):
     return res(regression.two_way(cy, "inflow", ["med_lag"], "cls"))
 
 
-@query("reg_firm_outcomes_lag")
+@query(
+    "reg_firm_outcomes_lag",
+    " UNION ALL ".join(
+        f"SELECT CAST({k} AS INTEGER) AS lag, * FROM ({ols(source, 'log_total', {'lead': 'lead'}, cluster=cluster)})"
+        for k, source, cluster in (
+            (0, "v_ownpanel", "owner"),
+            *((k, f"(SELECT a.owner, a.year, a.log_total, z.lead FROM v_ownpanel a JOIN v_ownpanel z ON z.owner = a.owner AND z.year = a.year - {k})", "owner") for k in (1, 2)),
+            (-1, "(SELECT owner, avg(log_total) AS log_total, avg(lead) AS lead FROM v_ownpanel GROUP BY 1)", ""),
+        )
+    ),
+)
 def reg_firm_outcomes_lag(spark, d):
     p, out = panel(spark, d), None
     for k in (0, 1, 2):
@@ -185,7 +271,7 @@ def reg_firm_outcomes_lag(spark, d):
         out = m if out is None else out.unionByName(m)
     firm = p.groupBy("owner").agg(F.avg("log_total").alias("log_total"), F.avg("lead").alias("lead"))
     cross = regression.fit(firm, "log_total", ["lead"]).withColumn("lag", F.lit(-1))
-    return res(out.unionByName(cross))
+    return res(out.unionByName(cross).filter(F.col("term") == "lead"))
 
 
 @query("reg_funding_outcomes", one_sql("(SELECT *, CAST(registered AS DOUBLE) AS rg FROM v_frame)", "y", "rg", "reg", "cell"))
@@ -211,7 +297,7 @@ def study(spark, d):
     return panels.expand_events(ev, p, "owner", -3, 3)
 
 
-@query("reg_event_study_post")
+@query("reg_event_study_post", two_way_sql("v_study", "n", {"post": "CAST(rel > 0 AS DOUBLE)"}, "owner"))
 def reg_event_study_post(spark, d):
     s = b.stage(study(spark, d).withColumn("post", (F.col("rel") > 0).cast("double")), "study")
     return res(regression.two_way(s, "n", ["post"], "owner"))
