@@ -88,6 +88,18 @@ def residualise(
     return out.drop("_rows")
 
 
+def compare_by(a: DataFrame, b: DataFrame, by: Column, value: str = "lead", key: str = "doc_id") -> DataFrame:
+    """Means, sds and, from three rows on, the correlation of two scorings per period of ``a``."""
+    j = a.select(key, by, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key)
+    j = j.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    period = [c for c in j.columns if c not in (key, "a", "b")]
+    out = j.groupBy(*period).agg(
+        F.count(F.lit(1)).alias("n"), correlation("a", "b").alias("pearson"), F.avg("a").alias("mean_a"),
+        F.avg("b").alias("mean_b"), F.stddev_samp("a").alias("sd_a"), F.stddev_samp("b").alias("sd_b"),
+    )
+    return out.withColumn("pearson", F.when(F.col("n") > 2, F.col("pearson")))
+
+
 def compare_scorings(a: DataFrame, b: DataFrame, value: str = "lead", key: str = "doc_id"):
     """Pearson, Spearman, means and sds of two scorings on identical rows."""
     j = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key)

@@ -111,14 +111,26 @@ def distinct_items_per_year(rows: DataFrame, entity: str, item: str) -> DataFram
     return rows.groupBy(entity, "year").agg(F.countDistinct(item).alias("n_items"))
 
 
-def class_summary(rows: DataFrame, outcome: Column, by: Sequence[str] = ("cls",)) -> DataFrame:
-    """Size, owners, span, means, outcome and the largest owner per class."""
+def class_summary(
+    rows: DataFrame, outcome: Column, by: Sequence[str] = ("cls",), key: str = "case_id", value: str = "lead", k: int = 3
+) -> DataFrame:
+    """Size, owners, span, means and outcome per class, with its ``k`` largest owners and the
+    rows with the highest and lowest value as examples."""
     by = list(by)
     base = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("owner").alias("n_owners"),
         F.min("year").alias("first_year"), F.max("year").alias("last_year"),
         F.avg("lead").alias("mean_lead"), F.avg("level").alias("mean_level"), share(outcome).alias("rate"),
     )
+
+    def best(df: DataFrame, order: Sequence[Column], item: str, out: str) -> DataFrame:
+        """The first ``k`` items of each class as one string."""
+        w = Window.partitionBy(*by).orderBy(*order)
+        top = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+        items = F.array_sort(F.collect_list(F.struct("_r", F.col(item).cast("string").alias("v"))))
+        return top.groupBy(*by).agg(F.array_join(F.transform(items, lambda x: x["v"]), ",").alias(out))
+
     per = rows.groupBy(*by, "owner").agg(F.count(F.lit(1)).alias("_k"))
-    top = per.groupBy(*by).agg(F.min(F.struct((-F.col("_k")).alias("m"), "owner")).alias("_t"))
-    return base.join(top.select(*by, F.col("_t.owner").alias("top_owner")), by)
+    out = base.join(best(per, [F.desc("_k"), F.col("owner")], "owner", "top_owners"), by)
+    out = out.join(best(rows, [F.desc(value), F.col(key)], key, "highest"), by)
+    return out.join(best(rows, [F.asc(value), F.col(key)], key, "lowest"), by)

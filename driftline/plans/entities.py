@@ -411,9 +411,11 @@ def named_entity_profile(spark, d):
 
 @query(
     "class_summary",
-    f"""WITH t AS (SELECT cls, owner FROM (SELECT cls, owner, row_number() OVER (PARTITION BY cls ORDER BY count(*) DESC, owner) AS rn FROM v_scored GROUP BY 1, 2) WHERE rn = 1)
+    f"""WITH t AS (SELECT cls, string_agg(CAST(owner AS VARCHAR), ',' ORDER BY rn) AS top_owners FROM (SELECT cls, owner, row_number() OVER (PARTITION BY cls ORDER BY count(*) DESC, owner) AS rn FROM v_scored GROUP BY 1, 2) WHERE rn <= 3 GROUP BY 1),
+    x AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY lead DESC, case_id) AS hi, row_number() OVER (PARTITION BY cls ORDER BY lead, case_id) AS lo FROM v_scored)
     SELECT s.cls, count(*) AS n, count(DISTINCT s.owner) AS n_owners, min(year) AS first_year, max(year) AS last_year, {R('avg(lead)')} AS mean_lead, {R('avg(level)')} AS mean_level,
-    {R('avg(CAST(hit AS DOUBLE))')} AS rate, max(t.owner) AS top_owner FROM v_scored s JOIN t ON t.cls = s.cls GROUP BY 1""",
+    {R('avg(CAST(hit AS DOUBLE))')} AS rate, max(t.top_owners) AS top_owners, string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY hi) FILTER (WHERE hi <= 3) AS highest,
+    string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY lo) FILTER (WHERE lo <= 3) AS lowest FROM x s JOIN t ON t.cls = s.cls GROUP BY 1""",
 )
 def class_summary(spark, d):
     return rounded(firms.class_summary(b.scored_cases(spark, d), F.col("hit")), "mean_lead", "mean_level", "rate")

@@ -105,5 +105,29 @@ def logit(source: str, y: str, xs: dict[str, str], label: str, where: str = "tru
     z AS (SELECT fin.*, n, 1 - ll / (n * (r * ln(r) + (1 - r) * ln(1 - r))) AS pseudo FROM fin, dev) {rows})"""
 
 
+def cell_logits(source: str, y: str, x: str, cell: str, min_rows: int, steps: int = 25) -> str:
+    """Rows ``cell, n, b1, b2, shape`` of a quadratic logit in every cell with enough rows of both outcomes."""
+    k, beta = 3, "b0, b1, b2"
+    sums = ", ".join(
+        [f"sum(p * (1 - p) * x{i} * x{j}) AS m{i}_{j}" for i in range(k) for j in range(k)] + [f"sum((y - p) * x{i}) AS m{i}_{k}" for i in range(k)]
+        + [f"CAST({int(i == j)} AS DOUBLE) AS m{i}_{k + 1 + j}" for i in range(k) for j in range(k)]
+    )
+    solved = f"(SELECT i, g, {beta}, {sums} FROM (SELECT it.*, d.* EXCLUDE (g), 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM it JOIN d USING (g)) GROUP BY i, g, {beta})"
+    for c in range(k):
+        out = [
+            f"m{i}_{j} / m{c}_{c} AS m{i}_{j}" if i == c else f"m{i}_{j} - m{i}_{c} * m{c}_{j} / m{c}_{c} AS m{i}_{j}"
+            for i in range(k) for j in range(2 * k + 1)
+        ]
+        solved = f"(SELECT i, g, {beta}, {', '.join(out)} FROM {solved})"
+    return f"""(WITH RECURSIVE a AS (SELECT {cell} AS g, CAST({y} AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS x0, CAST({x} AS DOUBLE) AS x1 FROM {source} WHERE ({x}) IS NOT NULL),
+    c AS (SELECT g, count(*) AS n, avg(y) AS r FROM a GROUP BY g HAVING count(*) >= {min_rows} AND avg(y) BETWEEN 0.001 AND 0.999),
+    d AS (SELECT a.*, x1 * x1 AS x2 FROM a JOIN c USING (g)),
+    it AS (SELECT 0 AS i, g, ln(r / (1 - r)) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM c
+      UNION ALL SELECT i + 1, g, b0 + m0_3, b1 + m1_3, b2 + m2_3 FROM {solved} WHERE i < {steps}),
+    last AS (SELECT * FROM it WHERE i = {steps})
+    SELECT CAST(g AS VARCHAR) AS cell, n, {R('b1', 4)} AS b1, {R('b2', 4)} AS b2, CASE WHEN abs(b2 / sqrt(m2_6)) < 1.96 THEN 'flat' WHEN b2 > 0 THEN 'U' ELSE 'inverted' END AS shape
+    FROM {solved.replace(' FROM it JOIN d', ' FROM last AS it JOIN d')} JOIN c USING (g))"""
+
+
 def logits(models: Sequence[str]) -> str:
     return " UNION ALL ".join(f"SELECT * FROM {m}" for m in models)

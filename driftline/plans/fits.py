@@ -10,7 +10,7 @@ from .bins import n_rows
 from .lifecycle import gated, qbin_sql
 from .registry import R, query, r, rounded, view
 from .relational import owner_year
-from .fit_sql import logit as logit_sql, logits as logits_sql, ols, two_way as two_way_sql
+from .fit_sql import cell_logits, logit as logit_sql, logits as logits_sql, ols, two_way as two_way_sql
 
 
 def frame(spark, d):
@@ -139,7 +139,13 @@ def logit_out(df):
     return rounded(df, "b", "se", "t", "pseudo_r2", digits=4)
 
 
-@query("reg_logit_quadratic")
+@query(
+    "reg_logit_quadratic",
+    " UNION ALL ".join(
+        f"SELECT '{split}' AS split, * FROM {cell_logits('(SELECT *, (lead - avg(lead) OVER ()) / stddev_samp(lead) OVER () AS z FROM v_frame)', 'CAST(hit AS DOUBLE)', 'z', cell, 30)}"
+        for split, cell in (("cls", "cls"), ("year", "year"), ("cls x year", "cls || ' ' || year"))
+    ),
+)
 def reg_logit_quadratic(spark, d):
     f = ranking.with_stats(frame(spark, d), [], m=F.avg("lead"), sd=F.stddev_samp("lead"))
     f = b.stage(f.withColumn("z", (F.col("lead") - F.col("m")) / F.col("sd")), "z")
@@ -274,9 +280,42 @@ def reg_firm_outcomes_lag(spark, d):
     return res(out.unionByName(cross).filter(F.col("term") == "lead"))
 
 
-@query("reg_funding_outcomes", one_sql("(SELECT *, CAST(registered AS DOUBLE) AS rg FROM v_frame)", "y", "rg", "reg", "cell"))
+view(
+    "v_funded_cases",
+    f"""SELECT f.*, CAST(registered AS DOUBLE) AS reg, CAST(hit AS DOUBLE) AS listed, case_id = min(case_id) OVER (PARTITION BY owner) AS first_case
+    FROM ({qbin_sql('v_frame', 'lead', 5, '', 'q')}) f""",
+)
+# stage or cut -> (outcome, regressor, SQL condition)
+FUNDING = {
+    "score to funded": ("reg", "lead", "true"),
+    "funded to listed": ("listed", "reg", "true"),
+    "score to listed, funded": ("listed", "lead", "reg = 1"),
+    **{f"score to funded, quintile {i}": ("reg", "lead", f"q = {i}") for i in range(1, 6)},
+    "first filings": ("reg", "lead", "first_case"),
+    "repeat filings": ("reg", "lead", "NOT first_case"),
+    "early years": ("reg", "lead", "year <= 1995"),
+    "late years": ("reg", "lead", "year > 1995"),
+}
+
+
+@query(
+    "reg_funding_outcomes",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS sample, * FROM ({ols('v_funded_cases', y, {x: x}, cell='cell', cluster='owner', where=where)})"
+        for name, (y, x, where) in FUNDING.items()
+    ),
+)
 def reg_funding_outcomes(spark, d):
-    return res(regression.fit(frame(spark, d), "failed", ["reg"], absorb="cell"))
+    """Score to funding, funding to listing, the slope in each score quintile and in cuts of the
+    sample; cell effects, errors clustered by owner."""
+    f = ranking.quantile_bin(frame(spark, d), "lead", 5, out="q")
+    f = ranking.with_stats(f, ["owner"], _first=F.min("case_id"))
+    f = f.withColumn("first_case", F.col("case_id") == F.col("_first")).withColumn("listed", F.col("hit"))
+    f, out = b.stage(f, "funding"), None
+    for name, (y, x, where) in FUNDING.items():
+        m = regression.fit(f.filter(where), y, [x], cluster="owner", absorb="cell").withColumn("sample", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return res(out)
 
 
 view(
@@ -286,9 +325,47 @@ view(
 )
 
 
-@query("reg_event_study", f"SELECT rel, count(*) AS n_rows, {R('avg(n)')} AS mean FROM v_study GROUP BY rel")
+view(
+    "v_groups",
+    """WITH g AS (SELECT owner % 40 AS grp, year, CAST(sum(n) AS DOUBLE) AS n FROM v_oy GROUP BY 1, 2),
+    e AS (SELECT grp, arg_min(year, (-n, year)) AS y0 FROM g GROUP BY 1)
+    SELECT g.*, CAST(g.year - y0 AS INTEGER) AS rel, CAST(g.year > y0 AS DOUBLE) AS post, CAST(least(g.year - y0, 0) AS DOUBLE) AS before,
+      CAST(greatest(g.year - y0, 0) AS DOUBLE) AS after FROM g JOIN e USING (grp)""",
+)
+_NO_FIT = "CAST(NULL AS VARCHAR) AS term, CAST(NULL AS DOUBLE) AS se, CAST(NULL AS BIGINT) AS n_clusters"
+
+
+@query(
+    "reg_event_study",
+    f"""SELECT 'mean' AS part, rel, {_NO_FIT}, count(*) AS n, {R('avg(n)', 5)} AS b FROM v_study GROUP BY rel
+    UNION ALL SELECT 'post', CAST(NULL AS INTEGER), term, se, n_clusters, n, b FROM ({two_way_sql('v_groups', 'n', {'post': 'post'}, 'grp')})
+    UNION ALL SELECT 'slopes', CAST(NULL AS INTEGER), term, se, n_clusters, n, b FROM ({ols('v_groups', 'n', {'before': 'before', 'after': 'after'}, cell='grp', cluster='grp')})""",
+)
 def reg_event_study(spark, d):
-    return study(spark, d).groupBy("rel").agg(n_rows().alias("n_rows"), r(F.avg("n")).alias("mean"))
+    """Means by year from the event, the effect after it with group and year effects and errors
+    clustered by group, and separate slopes before and after."""
+    means = study(spark, d).groupBy("rel").agg(n_rows().alias("n"), r(F.avg("n"), 5).alias("b")).select(
+        F.lit("mean").alias("part"), "rel", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("se"),
+        F.lit(None).cast("long").alias("n_clusters"), "n", "b",
+    )
+    g = owner_year(spark, d).groupBy((F.col("owner") % 40).alias("grp"), "year").agg(F.sum("n").cast("double").alias("n"))
+    g = b.stage(g, "groups")
+    start = g.groupBy("grp").agg(F.min_by("year", F.struct(-F.col("n"), "year")).alias("y0"))
+    rel = F.col("year") - F.col("y0")
+    g = g.join(start, "grp").withColumn("post", (rel > 0).cast("double")).withColumn(
+        "before", F.least(rel, F.lit(0)).cast("double")
+    ).withColumn("after", F.greatest(rel, F.lit(0)).cast("double"))
+    g, out = b.stage(g, "event-groups"), means
+    fits = {
+        "post": regression.two_way(g, "n", ["post"], "grp"),
+        # together the slopes are the calendar year, so year effects would take their place
+        "slopes": regression.fit(g, "n", ["before", "after"], cluster="grp", absorb="grp"),
+    }
+    for part, m in fits.items():
+        out = out.unionByName(res(m).select(
+            F.lit(part).alias("part"), F.lit(None).cast("int").alias("rel"), "term", "se", "n_clusters", "n", "b"
+        ))
+    return out
 
 
 def study(spark, d):
@@ -303,7 +380,17 @@ def reg_event_study_post(spark, d):
     return res(regression.two_way(s, "n", ["post"], "owner"))
 
 
-@query("reg_panel_changes")
+view(
+    "v_changes",
+    """WITH o AS (SELECT cls, year, owner, count(*) AS n FROM v_cases GROUP BY ALL),
+    t AS (SELECT cls, year, sum(n) FILTER (WHERE n = 1) AS one, sum(n) FILTER (WHERE n BETWEEN 2 AND 9) AS mid, sum(n) AS n FROM o GROUP BY 1, 2),
+    s AS (SELECT cls, year, coalesce(one, 0) / n AS single, coalesce(mid, 0) / n AS middle FROM t),
+    e AS (SELECT cls, year, single - lag(single) OVER w AS d_single, middle - lag(middle) OVER w AS d_mid FROM s WINDOW w AS (PARTITION BY cls ORDER BY year))
+    SELECT *, lag(d_mid) OVER (PARTITION BY cls ORDER BY year) AS d_mid_lag FROM e""",
+)
+
+
+@query("reg_panel_changes", two_way_sql("v_changes", "d_single", {"d_mid_lag": "d_mid_lag"}, "cls"))
 def reg_panel_changes(spark, d):
     from ..operators.aggregates import tier_shares
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import share
+from ..functions.scalars import correlation, share
 from ..operators import outcomes, ranking
 from . import bindings as b
 from .registry import R, query, r, rounded, view
@@ -314,11 +314,21 @@ def obin_sql(source: str, value: str, key: str, k: int, by: str = "", out: str =
     )
     + f""" UNION ALL SELECT 'lead in level ' || aq, 10, bin, count(*), {R('avg(CAST(registered AS DOUBLE))')}
     FROM ({obin_sql('(' + obin_sql('v_scored', 'level', 'case_id', 5, '', 'aq') + ')', 'lead', 'case_id', 10, 'aq')})
-    GROUP BY aq, bin""",
+    GROUP BY aq, bin
+    UNION ALL SELECT 'ties in lead', 0, NULL, count(*), {R('avg(CAST(k > 1 AS DOUBLE))')} FROM (SELECT count(*) OVER (PARTITION BY lead) AS k FROM v_scored)
+    UNION ALL SELECT 'corr of abs lead and level', 0, NULL, count(*), {R('corr(abs(lead), level)')} FROM v_scored""",
 )
 def registration_shape(spark, d):
-    s = b.scored_cases(spark, d)
+    """Rates by bins of both axes at three grains and of lead within level, the share of rows
+    that tie in lead, and the correlation of its size with the level."""
+    s = b.stage(b.scored_cases(spark, d), "shape")
+    ties = s.groupBy("lead").agg(F.count(F.lit(1)).alias("k"))
+    ties = ties.agg(F.sum("k").alias("n"), (F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)) / F.sum("k")).alias("rate"))
+    both = s.agg(F.count(F.lit(1)).alias("n"), correlation(F.abs("lead"), F.col("level")).alias("rate"))
     out = None
+    for name, df in (("ties in lead", ties), ("corr of abs lead and level", both)):
+        part = df.select(F.lit(name).alias("axis"), F.lit(0).alias("k"), F.lit(None).cast("int").alias("bin"), "n", r("rate").alias("rate"))
+        out = part if out is None else out.unionByName(part)
     for axis in ("lead", "level"):
         for k in (5, 10, 20):
             part = _rates(ranking.ordinal_bin(s, axis, "case_id", k), ["bin"]).select(

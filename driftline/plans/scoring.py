@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation, share
-from ..operators import audits, outcomes, ranking, surprise, topics, vocabulary
+from ..operators import audits, outcomes, ranking, regression, surprise, topics, vocabulary
 from . import bindings as b
 from .bins import n_rows
 from .lifecycle import lift_out, lift_sql, qbin_sql
+from .fit_sql import logit as logit_sql
 from .registry import R, query, r, rounded, view
 
 
@@ -107,7 +108,9 @@ def kish_neff(spark, d):
     "kl_halflife_sweep",
     " UNION ALL ".join(
         f"""SELECT {R(str(h))} AS halflife, count(*) AS n, {R('corr(kl_past - kl_future, quality)', 5)} AS corr_lead, {R('corr(kl_past, quality)', 5)} AS corr_past,
-        {R('stddev_samp(kl_past - kl_future)', 5)} AS sd_lead FROM v_decay{t} JOIN labels USING (doc_id) WHERE kl_past IS NOT NULL AND kl_future IS NOT NULL"""
+        {R('stddev_samp(kl_past - kl_future)', 5)} AS sd_lead, max(pseudo_r2) AS pseudo_r2
+        FROM v_decay{t} JOIN labels USING (doc_id), (SELECT pseudo_r2 FROM {logit_sql(f"v_decay{t} JOIN labels USING (doc_id)", "quality", {"lead": "kl_past - kl_future"}, "m")} LIMIT 1)
+        WHERE kl_past IS NOT NULL AND kl_future IS NOT NULL"""
         for h, t in ((1.0, ""), (0.5, "2"))
     ),
 )
@@ -118,11 +121,16 @@ def kl_halflife_sweep(spark, d):
         s = surprise.decay(docs, terms, vocab, h, h).withColumn("halflife", F.lit(h))
         out = s if out is None else out.unionByName(s)
     lead, good = F.col("kl_past") - F.col("kl_future"), F.col("good").cast("double")
-    j = out.filter(lead.isNotNull()).join(y, "doc_id")
+    j = out.filter(lead.isNotNull()).join(y, "doc_id").select("halflife", lead.alias("lead"), "kl_past", good.alias("good"))
+    j, fits = b.stage(j, "sweep"), None
+    for h in (1.0, 0.5):
+        one = regression.logit(j.filter(F.col("halflife") == h), "good", ["lead"]).filter(F.col("term") == "lead")
+        one = one.select(F.lit(h).alias("halflife"), r("pseudo_r2", 4).alias("pseudo_r2"))
+        fits = one if fits is None else fits.unionByName(one)
     return j.groupBy("halflife").agg(
-        n_rows().alias("n"), r(correlation(lead, good), 5).alias("corr_lead"),
-        r(correlation("kl_past", good), 5).alias("corr_past"), r(F.stddev_samp(lead), 5).alias("sd_lead"),
-    )
+        n_rows().alias("n"), r(correlation("lead", "good"), 5).alias("corr_lead"),
+        r(correlation("kl_past", "good"), 5).alias("corr_past"), r(F.stddev_samp("lead"), 5).alias("sd_lead"),
+    ).join(fits, "halflife")
 
 
 @query(
@@ -388,14 +396,15 @@ def vocab_forensics(spark, d):
 @query(
     "encoding_exhibit",
     """WITH top AS (SELECT t.doc_id, t.term, t.cnt, v.doc_freq, v.term IS NULL AS oov, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.cnt DESC, t.term) AS rn
-      FROM v_terms t LEFT JOIN v_vocab v USING (cls, term)), k AS (SELECT doc_id, k AS top_topic FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY theta DESC, k) AS rn FROM v_theta) WHERE rn = 1)
-    SELECT doc_id, CAST(rn AS INTEGER) AS rank, term, cnt, doc_freq, oov, top_topic FROM top JOIN k USING (doc_id) WHERE rn <= 5""",
+      FROM v_terms t LEFT JOIN v_vocab v USING (cls, term)), k AS (SELECT doc_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY rn) AS topics, sum(theta) AS topic_share FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(theta, 12) DESC, k) AS rn FROM v_theta) WHERE rn <= 3 GROUP BY 1)
+    SELECT doc_id, CAST(rn AS INTEGER) AS rank, term, cnt, doc_freq, oov, topics, """ + R("topic_share") + """ AS topic_share FROM top JOIN k USING (doc_id) WHERE rn <= 3""",
 )
 def encoding_exhibit(spark, d):
     from ..operators.exhibits import encodings
 
     _, terms, vocab = parts(spark, d)
-    return encodings(terms, vocab, b.theta(spark, d), 5)
+    return rounded(encodings(terms, vocab, b.theta(spark, d), 3), "topic_share")
 
 
 @query(
@@ -460,14 +469,28 @@ def length_reliability(spark, d):
 
 @query(
     "score_summary",
-    f"""SELECT cls, count(*) AS n, {R('avg(lead)')} AS mean, {R('stddev_samp(lead)')} AS sd, {R('avg(CAST(lead > 0 AS DOUBLE))')} AS share_positive,
-    {R('avg(abs(lead))')} AS mean_abs, {R('corr(kl_past, kl_future)')} AS corr_sides, {R('quantile_cont(lead, 0.1)')} AS p10, {R('quantile_cont(lead, 0.5)')} AS p50,
-    {R('quantile_cont(lead, 0.9)')} AS p90, min(doc_id) FILTER (WHERE rk = 1) AS top_doc FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY lead DESC, doc_id) AS rk FROM v_clean) GROUP BY cls""",
+    " UNION ALL ".join(
+        f"""SELECT cls, {year} AS year, count(*) AS n, {R('avg(lead)')} AS mean, {R('stddev_samp(lead)')} AS sd, {R('avg(CAST(lead > 0 AS DOUBLE))')} AS share_positive,
+        {R('avg(abs(lead))')} AS mean_abs, {R('CASE WHEN count(*) > 2 THEN corr(kl_past, kl_future) END')} AS corr_sides, {R('quantile_cont(lead, 0.1)')} AS p10, {R('quantile_cont(lead, 0.5)')} AS p50,
+        {R('quantile_cont(lead, 0.9)')} AS p90, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY hi) FILTER (WHERE hi <= 3) AS highest,
+        string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY lo) FILTER (WHERE lo <= 3) AS lowest
+        FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY lead DESC, doc_id) AS hi, row_number() OVER (PARTITION BY {by} ORDER BY lead, doc_id) AS lo FROM v_clean) GROUP BY {by}"""
+        for year, by in (("CAST(NULL AS INTEGER)", "cls"), ("year", "cls, year"))
+    ),
 )
 def score_summary(spark, d):
-    s = b.clean_scores(spark, d)
-    top = audits.extremes(s, "lead", "doc_id", 1, ["cls"]).filter(F.col("side") == "high")
-    out = audits.summary(s, "lead", ["cls"]).join(top.select("cls", F.col("doc_id").alias("top_doc")), "cls")
+    """Each class as a whole and by year, with its three highest and lowest documents."""
+    s, out = b.clean_scores(spark, d), None
+    for by in (["cls"], ["cls", "year"]):
+        ends = audits.extremes(s, "lead", "doc_id", 3, by)
+        ids = lambda side: F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("rank", "doc_id")))), lambda x: x["doc_id"].cast("string")
+        ), ",")
+        ends = ends.groupBy(*by).agg(ids("high").alias("highest"), ids("low").alias("lowest"))
+        part = audits.summary(s, "lead", by).join(ends, by)
+        part = part.withColumn("corr_sides", F.when(F.col("n") > 2, F.col("corr_sides")))
+        part = part if "year" in by else part.withColumn("year", F.lit(None).cast("int"))
+        out = part if out is None else out.unionByName(part)
     return rounded(out, "mean", "sd", "share_positive", "mean_abs", "corr_sides", "p10", "p50", "p90")
 
 
@@ -476,11 +499,16 @@ from .relational import mid_rank_sql  # noqa: E402
 
 @query(
     "scoring_compare",
-    f"""SELECT count(*) AS n, {R('corr(l1, l2)')} AS pearson, {R('corr(CAST(r1 AS DOUBLE), CAST(r2 AS DOUBLE))')} AS spearman, {R('avg(l1)')} AS mean_a, {R('avg(l2)')} AS mean_b,
-    {R('stddev_samp(l1)')} AS sd_a, {R('stddev_samp(l2)')} AS sd_b FROM (SELECT *, {mid_rank_sql('l1')} AS r1, {mid_rank_sql('l2')} AS r2 FROM v_two)""",
+    f"""SELECT CAST(NULL AS DATE) AS month, count(*) AS n, {R('corr(l1, l2)')} AS pearson, {R('corr(CAST(r1 AS DOUBLE), CAST(r2 AS DOUBLE))')} AS spearman, {R('avg(l1)')} AS mean_a, {R('avg(l2)')} AS mean_b,
+    {R('stddev_samp(l1)')} AS sd_a, {R('stddev_samp(l2)')} AS sd_b FROM (SELECT *, {mid_rank_sql('l1')} AS r1, {mid_rank_sql('l2')} AS r2 FROM v_two)
+    UNION ALL SELECT CAST(date_trunc('month', filed) AS DATE), count(*), {R('CASE WHEN count(*) > 2 THEN corr(l1, l2) END')}, CAST(NULL AS DOUBLE), {R('avg(l1)')}, {R('avg(l2)')}, {R('stddev_samp(l1)')}, {R('stddev_samp(l2)')}
+    FROM v_two GROUP BY 1""",
 )
 def scoring_compare(spark, d):
-    out = audits.compare_scorings(b.clean_scores(spark, d), b.masked(spark, d))
+    """The two scorings over all documents, and month by month."""
+    one, two = b.clean_scores(spark, d), b.masked(spark, d)
+    out = audits.compare_scorings(one, two).withColumn("month", F.lit(None).cast("date"))
+    out = out.unionByName(audits.compare_by(one, two, F.trunc("filed", "month").alias("month")), allowMissingColumns=True)
     return rounded(out, "pearson", "spearman", "mean_a", "mean_b", "sd_a", "sd_b")
 
 
