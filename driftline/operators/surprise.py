@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import DAYS_PER_YEAR
+from ..functions.scalars import DAYS_PER_YEAR, ratio
 
 SIDES = ("past", "future")
 
@@ -174,6 +174,40 @@ def _decay_sums(
     return F.coalesce(grown * F.exp(F.lit(-sign * rate) * t), F.lit(0.0))
 
 
+BLOCK = 300.0  # exponents stay far from the double range
+
+
+def _with_decay_sums(
+    df: DataFrame, over: Sequence[str], items: Sequence[tuple[str, str, float, str]], span_years: float
+) -> DataFrame:
+    """Adds ``(out, value, rate, side)`` decayed sums.
+
+    One prefix sum is enough while the weights over the whole span fit a double.  With a
+    shorter half-life time is cut into blocks of weight ``e^-BLOCK``: prefix sums run inside
+    a block, and the totals of the two blocks before (after) it are carried in by a join.
+    What lies further back weighs less than ``e^-600`` and counts as nothing.
+    """
+    for out, value, rate, side in items:
+        if rate * span_years <= BLOCK:
+            df = df.withColumn(out, _decay_sums(df, over, value, rate, side))
+            continue
+        sign = 1.0 if side == "past" else -1.0
+        place = F.col("_t_years") * rate
+        df = df.withColumn("_block", F.floor(place / BLOCK)).withColumn("_at", place - F.col("_block") * BLOCK)
+        df = df.withColumn("_grown", F.col(value) * F.exp(F.lit(sign) * F.col("_at")))
+        w = Window.partitionBy(*over, "_block").orderBy(F.col("day") if side == "past" else F.col("day").desc())
+        inner = F.coalesce(F.sum("_grown").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        df = df.withColumn("_inner", inner)
+        totals = df.groupBy(*over, "_block").agg(F.sum("_grown").alias("_whole"))
+        for step in (1, 2):
+            moved = totals.withColumn("_block", F.col("_block") + int(sign) * step).withColumnRenamed("_whole", f"_c{step}")
+            df = df.join(moved, [*over, "_block"], "left")
+        carried = sum(F.coalesce(f"_c{s}", F.lit(0.0)) * math.exp(-BLOCK * s) for s in (1, 2))
+        df = df.withColumn(out, (F.col("_inner") + carried) * F.exp(F.lit(-sign) * F.col("_at")))
+        df = df.drop("_block", "_at", "_grown", "_inner", "_c1", "_c2")
+    return df
+
+
 def decay(
     docs: DataFrame,
     doc_terms: DataFrame,
@@ -192,17 +226,15 @@ def decay(
     terms = terms.join(vocab.select("cls", "term"), ["cls", "term"], "left_semi")
     origin = docs.groupBy("cls").agg(F.min("day").alias("_d0"))
     rates = {"past": math.log(2) / halflife_past, "future": math.log(2) / halflife_future}
+    first, last = docs.agg(F.min("day"), F.max("day")).first()
+    span = (last - first) / DAYS_PER_YEAR if last is not None else 0.0
 
     tf, n = period_totals(docs, terms, "day")
     tf = tf.join(origin, "cls").withColumn(
         "_t_years", (F.col("day") - F.col("_d0")) / F.lit(DAYS_PER_YEAR)
     )
-    refs = tf.select(
-        "cls",
-        "term",
-        "day",
-        *[_decay_sums(tf, ["cls", "term"], "tf", rates[s], s).alias(f"tf_{s}") for s in SIDES],
-    )
+    refs = _with_decay_sums(tf, ["cls", "term"], [(f"tf_{s}", "tf", rates[s], s) for s in SIDES], span)
+    refs = refs.select("cls", "term", "day", *[f"tf_{s}" for s in SIDES])
     mass = tf.groupBy("cls", "day").agg(F.sum("tf").alias("_m"))
     days = (
         n.join(mass, ["cls", "day"], "left")
@@ -213,11 +245,8 @@ def decay(
     )
     cols = ["cls", "day", "v_size"]
     for s in SIDES:
-        days = (
-            days.withColumn(f"total_{s}", _decay_sums(days, ["cls"], "_m", rates[s], s))
-            .withColumn(f"w_{s}", _decay_sums(days, ["cls"], "n_docs", rates[s], s))
-            .withColumn(f"w2_{s}", _decay_sums(days, ["cls"], "n_docs", 2 * rates[s], s))
-        )
+        items = [(f"total_{s}", "_m", rates[s], s), (f"w_{s}", "n_docs", rates[s], s), (f"w2_{s}", "n_docs", 2 * rates[s], s)]
+        days = _with_decay_sums(days, ["cls"], items, span)
         cols += [f"total_{s}", f"w_{s}", f"w2_{s}"]
     logs = {s: F.log(F.col(f"tf_{s}") + alpha) for s in SIDES}
     sums = _doc_sums(terms.join(refs, ["cls", "term", "day"]), logs)
@@ -227,7 +256,7 @@ def decay(
         total = F.col(f"total_{s}") + alpha * F.col("v_size")
         ok = (F.col(f"w_{s}") > 0) & (F.col("n_terms") > 0)
         out = out.withColumn(f"kl_{s}", F.when(ok, _divergence(s, total))).withColumn(
-            f"n_eff_{s}", F.when(ok, F.pow(f"w_{s}", F.lit(2)) / F.col(f"w2_{s}"))
+            f"n_eff_{s}", F.when(ok, ratio(F.pow(f"w_{s}", F.lit(2)), F.col(f"w2_{s}")))
         )
     keep = [c for c in docs.columns if c not in ("body", "day")]
     return out.withColumn("n_terms", F.coalesce("n_terms", F.lit(0))).select(

@@ -1,4 +1,11 @@
-"""Topic-distribution scoring over a long theta table ``(doc_id, cls, filed, year, k, theta)``."""
+"""Topic-distribution scoring.
+
+Scorers take one row per document with its distribution as an array,
+``(doc_id, cls, filed, year, theta array<double>)``: the table that is shuffled has as
+many rows as documents, whatever the number of topics.  Sums by topic are partial
+aggregates of exploded arrays, so only (class, period, topic) totals leave a task.
+``long`` gives the rows ``(doc_id, cls, filed, year, k, theta)`` that theme operators read.
+"""
 
 from __future__ import annotations
 
@@ -8,32 +15,52 @@ EPS = 1e-12
 
 
 def normalised(theta: DataFrame) -> DataFrame:
-    """Clip and renormalise each document's distribution (a few rows per document)."""
-    clipped = F.greatest(F.col("theta"), F.lit(EPS))
-    total = F.sum(clipped).over(Window.partitionBy("doc_id"))
-    return theta.withColumn("theta", clipped / total)
+    """Clip and renormalise each document's distribution."""
+    clipped = F.transform("theta", lambda x: F.greatest(x, F.lit(EPS)))
+    theta = theta.withColumn("theta", clipped)
+    total = F.aggregate("theta", F.lit(0.0), lambda a, x: a + x)
+    return theta.withColumn("_z", total).withColumn("theta", F.transform("theta", lambda x: x / F.col("_z"))).drop("_z")
+
+
+def long(theta: DataFrame) -> DataFrame:
+    return theta.select("doc_id", "cls", "filed", "year", F.posexplode("theta").alias("k", "theta"))
 
 
 def _score(theta: DataFrame, refs: DataFrame, on: list[str], sides: list[str]) -> DataFrame:
-    """Join reference means on (period, k) and sum p (ln p - ln q) per document."""
+    """Join each period's reference array and sum p (ln p - ln q)."""
     p = F.col("theta")
     j = theta.join(refs, on)
-    aggs = []
-    for s in sides:
-        q = F.col(f"q_{s}")
-        aggs.append(F.sum(p * (F.log(p) - F.log(q))).alias(f"kl_{s}"))
-        aggs.append(F.max(f"n_{s}").alias(f"n_{s}"))
-    return j.groupBy("doc_id", "cls", "filed", "year").agg(*aggs)
 
+    def divergence(s: str) -> Column:
+        parts = F.zip_with(p, F.col(f"q_{s}"), lambda x, q: x * (F.log(x) - F.log(q)))
+        return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
-def _reference(mean: Column, over: list[str]) -> Column:
-    clipped = F.greatest(mean, F.lit(EPS))
-    return clipped / F.sum(clipped).over(Window.partitionBy(*over))
+    cols = [c for s in sides for c in (divergence(s).alias(f"kl_{s}"), F.col(f"n_{s}"))]
+    return j.select("doc_id", "cls", "filed", "year", *cols)
+
+
+def _references(sums: DataFrame, on: list[str]) -> DataFrame:
+    """One row a period from ``(on, k, m_past, n_past, m_future, n_future)``: the clipped mean
+    distribution of each side as an array, NULL where the side has no mean."""
+    aggs = []
+    for s in ("past", "future"):
+        clipped = F.greatest(F.col(f"m_{s}"), F.lit(EPS))
+        aggs += [
+            F.array_sort(F.collect_list(F.when(F.col(f"m_{s}").isNotNull(), F.struct("k", clipped.alias("q"))))).alias(f"_q_{s}"),
+            F.max(f"n_{s}").alias(f"n_{s}"),
+        ]
+    out = sums.groupBy(*on).agg(*aggs)
+    for s in ("past", "future"):
+        q = F.transform(f"_q_{s}", lambda x: x["q"])
+        out = out.withColumn(f"_t_{s}", F.aggregate(q, F.lit(0.0), lambda a, x: a + x)).withColumn(
+            f"q_{s}", F.when(F.size(f"_q_{s}") > 0, F.transform(q, lambda x: x / F.col(f"_t_{s}")))
+        )
+    return out.select(*on, "n_past", "n_future", "q_past", "q_future")
 
 
 def year_scores(theta: DataFrame, window: int = 5) -> DataFrame:
     """Against the count-weighted mean of exactly ``window`` available years per side."""
-    sums = theta.groupBy("cls", "year", "k").agg(F.sum("theta").alias("_s"), F.count("theta").alias("_n"))
+    sums = long(theta).groupBy("cls", "year", "k").agg(F.sum("theta").alias("_s"), F.count("theta").alias("_n"))
     w = Window.partitionBy("cls", "k").orderBy("year")
     spans = {"past": w.rangeBetween(-window, -1), "future": w.rangeBetween(1, window)}
     refs = sums.select(
@@ -43,12 +70,9 @@ def year_scores(theta: DataFrame, window: int = 5) -> DataFrame:
         *[F.count("_n").over(x).alias(f"_y_{s}") for s, x in spans.items()],
     )
     full = (F.col("_y_past") == window) & (F.col("_y_future") == window)
-    cols = [
-        F.when(full, _reference(F.col(f"_s_{s}") / F.col(f"n_{s}"), ["cls", "year"])).alias(f"q_{s}")
-        for s in spans
-    ]
-    refs = refs.select("cls", "year", "k", "n_past", "n_future", *cols)
-    return _score(theta, refs, ["cls", "year", "k"], ["past", "future"])
+    means = [F.when(full, F.col(f"_s_{s}") / F.col(f"n_{s}")).alias(f"m_{s}") for s in spans]
+    refs = _references(refs.select("cls", "year", "k", "n_past", "n_future", *means), ["cls", "year"])
+    return _score(theta, refs, ["cls", "year"], ["past", "future"])
 
 
 def rolling_scores(theta: DataFrame, days: int = 1826) -> DataFrame:
@@ -60,7 +84,9 @@ def rolling_scores(theta: DataFrame, days: int = 1826) -> DataFrame:
     not grow with the width of the window.
     """
     t = theta.withColumn("day", F.unix_date("filed"))
-    daily = t.groupBy("cls", "k", "day").agg(F.sum("theta").alias("_s"), F.count("theta").alias("_n"))
+    daily = t.select("cls", "day", F.posexplode("theta").alias("k", "theta")).groupBy("cls", "k", "day").agg(
+        F.sum("theta").alias("_s"), F.count("theta").alias("_n")
+    )
     span = daily.groupBy("cls", "k").agg(F.min("day").alias("_a"), F.max("day").alias("_b"))
     calendar = span.select("cls", "k", F.explode(F.sequence("_a", "_b")).alias("day"))
     dense = calendar.join(daily, ["cls", "k", "day"], "left")
@@ -84,13 +110,9 @@ def rolling_scores(theta: DataFrame, days: int = 1826) -> DataFrame:
         (after("_sc", "_sl") - F.col("_sc")).alias("_s_future"),
         (after("_nc", "_nl") - F.col("_nc")).alias("n_future"),
     ).filter(F.col("_seen").isNotNull())
-    cols = []
-    for s in ("past", "future"):
-        mean = F.when(F.col(f"n_{s}") > 0, F.col(f"_s_{s}") / F.col(f"n_{s}"))
-        ref = _reference(mean, ["cls", "day"])
-        cols.append(F.when(F.col(f"n_{s}") > 0, ref).alias(f"q_{s}"))
-    refs = refs.select("cls", "k", "day", "n_past", "n_future", *cols)
-    return _score(t, refs, ["cls", "day", "k"], ["past", "future"])
+    means = [F.when(F.col(f"n_{s}") > 0, F.col(f"_s_{s}") / F.col(f"n_{s}")).alias(f"m_{s}") for s in ("past", "future")]
+    refs = _references(refs.select("cls", "k", "day", "n_past", "n_future", *means), ["cls", "day"])
+    return _score(t, refs, ["cls", "day"], ["past", "future"])
 
 
 def quality_mask(

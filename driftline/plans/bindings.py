@@ -306,7 +306,7 @@ def clean_scores(spark: SparkSession, d: str) -> DataFrame:
 TOPICS = 5
 
 
-def theta(spark: SparkSession, d: str) -> DataFrame:
+def theta_arrays(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic pseudo-topics: share of a document's terms by length modulo 5."""
     docs = surprise.with_text(corpus(spark, d))
     terms = doc_terms(spark, d, docs)
@@ -315,12 +315,13 @@ def theta(spark: SparkSession, d: str) -> DataFrame:
         F.sum("cnt").alias("_t"), *[F.sum(F.when(k == i, F.col("cnt"))).alias(f"_c{i}") for i in range(TOPICS)]
     )
     wide = docs.select("doc_id", "cls", "filed", "year").join(mass, "doc_id", "left")
-    cells = ", ".join(f"{i}, _c{i}" for i in range(TOPICS))
-    long = wide.selectExpr("doc_id", "cls", "filed", "year", "_t", f"stack({TOPICS}, {cells}) as (k, c)")
-    part = F.coalesce(F.col("c") / F.col("_t"), F.lit(0.0))
-    return topics.normalised(
-        long.select("doc_id", "cls", "filed", "year", "k", (part + 0.001).alias("theta"))
-    )
+    parts = [F.coalesce(F.col(f"_c{i}") / F.col("_t"), F.lit(0.0)) + 0.001 for i in range(TOPICS)]
+    return topics.normalised(wide.select("doc_id", "cls", "filed", "year", F.array(*parts).alias("theta")))
+
+
+def theta(spark: SparkSession, d: str) -> DataFrame:
+    """The same, one row per document and topic."""
+    return topics.long(theta_arrays(spark, d))
 
 
 view(
@@ -360,7 +361,7 @@ view(
 
 
 def rolling(spark: SparkSession, d: str, days: int = 365) -> DataFrame:
-    return topics.rolling_scores(theta(spark, d), days)
+    return topics.rolling_scores(theta_arrays(spark, d), days)
 
 
 def masked(spark: SparkSession, d: str) -> DataFrame:

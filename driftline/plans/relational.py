@@ -176,7 +176,8 @@ def join_three_scores(spark, d):
     FROM s GROUP BY 1, 2""",
 )
 def firm_year(spark, d):
-    s = b.scores(spark, d).drop("owner").withColumnRenamed("mark", "owner")
+    # staged, because the ranks count the largest group before they choose a plan
+    s = b.stage(b.scores(spark, d).drop("owner").withColumnRenamed("mark", "owner"), "firm-scores")
     out = aggregates.owner_year(s, high=0.05, **b.CLEAN)
     return rounded(out, "mean_lead", "max_lead", "p90_lead", "mean_past", "mean_future", "share_high")
 

@@ -14,9 +14,9 @@ from .registry import R, query, r, rounded, view
 
 
 def parts(spark, d):
-    """Corpus, its terms and its vocabulary."""
+    """Corpus, its terms as a stage table (texts are tokenised once) and its vocabulary."""
     docs = b.corpus(spark, d)
-    terms = b.doc_terms(spark, d, docs)
+    terms = b.stage(b.doc_terms(spark, d, docs), "terms")
     return docs, terms, vocabulary.build_vocabulary(docs, terms, b.MIN_DF, 0.5)
 
 
@@ -155,7 +155,7 @@ def kl_token_attribution(spark, d):
     FROM v_theta t LEFT JOIN q ON q.cls = t.cls AND q.year = t.year AND q.k = t.k GROUP BY 1, 2, 3""",
 )
 def kl_topic_year(spark, d):
-    out = topics.year_scores(b.theta(spark, d), 2)
+    out = topics.year_scores(b.theta_arrays(spark, d), 2)
     return rounded(out, "kl_past", "kl_future").drop("filed", "n_past", "n_future")
 
 
@@ -240,7 +240,7 @@ view(
 @query("kl_window_sweep", lift_sql(qbin_sql("v_sweep", "lead", 5, "days"), "good", "days"))
 def kl_window_sweep(spark, d):
     y, out = b.quality(spark, d), None
-    theta = b.theta(spark, d)
+    theta = b.stage(b.theta_arrays(spark, d), "theta")
     for w in (180, 365):
         s = rounded(topics.rolling_scores(theta, w), "kl_past", "kl_future", digits=9)
         s = s.select("doc_id", F.lit(w).alias("days"), (F.col("kl_past") - F.col("kl_future")).alias("lead"))

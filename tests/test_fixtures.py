@@ -184,11 +184,11 @@ def test_rolling_windows_against_brute_force(spark):
     for i in range(60):
         t = rng.dirichlet([1, 1, 1])
         f = str(day + int(rng.integers(0, 200)))
-        rows += [(i, "X", f, int(k), float(v)) for k, v in enumerate(t)]
-    df = spark.createDataFrame(rows, "doc_id long, cls string, f string, k int, theta double")
-    df = df.select("doc_id", "cls", F.col("f").cast("date").alias("filed"), F.year(F.col("f").cast("date")).alias("year"), "k", "theta")
+        rows.append((i, "X", f, t.tolist()))
+    df = spark.createDataFrame(rows, "doc_id long, cls string, f string, theta array<double>")
+    df = df.select("doc_id", "cls", F.col("f").cast("date").alias("filed"), F.year(F.col("f").cast("date")).alias("year"), "theta")
     got = {r["doc_id"]: r for r in topics.rolling_scores(df, 40).collect()}
-    th = {i: np.array([r[4] for r in rows if r[0] == i]) for i in range(60)}
+    th = {r[0]: np.array(r[3]) for r in rows}
     at = {r[0]: np.datetime64(r[2]) for r in rows}
     for i in range(60):
         ref = [th[j] for j in th if 0 < (at[i] - at[j]).astype(int) <= 40]

@@ -116,3 +116,33 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         with pytest.raises(ValueError, match="checkpoint"):
             shared_folder(Elsewhere, "x")
+
+
+@pytest.mark.parametrize("halflife", [2.0, 2 / 365.25])
+def test_decay_with_any_half_life(spark, halflife):
+    """A half-life of two days over forty years gives what the definition gives, and no NaN."""
+    import datetime as dt
+    import math
+
+    from driftline.operators import surprise, vocabulary
+
+    rng = np.random.default_rng(8)
+    base, days = dt.date(1980, 1, 1), sorted({0, 1, 3, 14_600, 14_601, *rng.integers(0, 14_600, 40).tolist()})
+    rows = [(i, "a", base + dt.timedelta(days=int(x)), rng.choice(["p", "q", "r"], 6).tolist()) for i, x in enumerate(days * 2)]
+    docs = spark.createDataFrame([(i, c, f, " ".join(w)) for i, c, f, w in rows], "doc_id long, cls string, filed date, body string")
+    docs = docs.withColumn("year", F.year("filed"))
+    terms = docs.select("doc_id", "cls", "filed", "year", F.explode(F.split("body", " ")).alias("term")).groupBy(
+        "doc_id", "cls", "filed", "year", "term").agg(F.count("*").alias("cnt"))
+    vocab = vocabulary.build_vocabulary(docs, terms, 1, 1.0)
+    got = {r.doc_id: r for r in surprise.decay(docs, terms, vocab, halflife, halflife).collect()}
+    rate = math.log(2) / halflife / 365.25
+    for i, _, filed, _ in rows:
+        for side, later in (("past", -1), ("future", 1)):
+            ages = [later * (f - filed).days for _, _, f, _ in rows]
+            w = [math.exp(-rate * a) if a > 0 else 0.0 for a in ages]
+            n_eff = got[i][f"n_eff_{side}"]
+            if sum(w) > 1e-125:  # their squares stay above what is carried
+                assert n_eff == pytest.approx(sum(w) ** 2 / sum(x * x for x in w), rel=1e-6)
+                assert not math.isnan(got[i][f"kl_{side}"])
+            elif sum(w) == 0:
+                assert n_eff is None and got[i][f"kl_{side}"] is None
