@@ -37,9 +37,11 @@ def autocorrelation(series: DataFrame, value: str, min_years: int = 4) -> DataFr
 
 def shuffled(top: DataFrame, seed: int) -> DataFrame:
     """The same documents with their theme labels permuted: the i-th document of
-    one hash order takes the label of the i-th of another."""
-    a = ranking.sequence_number(top.withColumn("_h", F.xxhash64("doc_id", F.lit(seed))), ["_h", "doc_id"])
-    b = ranking.sequence_number(top.withColumn("_h", F.xxhash64("doc_id", F.lit(-seed - 1))), ["_h", "doc_id"])
+    one hash order takes the label of the i-th of another.  The orders are those of the
+    MD5 of ``doc_id:seed``, which other engines have as well."""
+    place = lambda s: F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(s))).cast("binary"))
+    a = ranking.sequence_number(top.withColumn("_h", place(seed)), ["_h", "doc_id"])
+    b = ranking.sequence_number(top.withColumn("_h", place(-seed - 1)), ["_h", "doc_id"])
     labels = b.select("seq", F.col("top_topic").alias("_t"))
     return a.join(labels, "seq").withColumn("top_topic", F.col("_t")).drop("_t", "_h", "seq")
 

@@ -453,7 +453,12 @@ def fit_exp_tails(spark, d):
     return rounded(inference.tail_bins(b.scored_cases(spark, d), "lead", "hit", 20), "x", "y")
 
 
-@query("fit_exp_tails_curve")
+@query(
+    "fit_exp_tails_curve",
+    f"""WITH c AS (SELECT side, y, c, exp(-c * x) AS e FROM ({tails_sql(20)}), (SELECT unnest([{', '.join(repr(0.1 * 1.15**i) + '::DOUBLE' for i in range(50))}]) AS c)),
+    f AS (SELECT side, c, regr_intercept(y, e) AS a, regr_slope(y, e) AS b, regr_r2(y, e) AS r2 FROM c GROUP BY 1, 2)
+    SELECT side, {R('c', 4)} AS c, {R('a', 4)} AS a, {R('b', 4)} AS b, {R('r2', 4)} AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY r2 DESC NULLS LAST, c) AS rn FROM f) WHERE rn = 1""",
+)
 def fit_exp_tails_curve(spark, d):
     bins = inference.tail_bins(b.scored_cases(spark, d), "lead", "hit", 20)
     return rounded(inference.exponential_tails(bins), "a", "b", "c", "r2", digits=4)
@@ -544,7 +549,18 @@ def kernel_surface(spark, d):
     return rounded(rounded(inference.kernel_surface(cells, 1.0, 20), "rate"), "n_eff", digits=3)
 
 
-@query("kernel_surface_bandwidth")
+@query(
+    "kernel_surface_bandwidth",
+    f"""WITH g AS (SELECT CAST(greatest(0, least(19, floor(kl_past / 0.3))) AS INTEGER) AS ix, CAST(greatest(0, least(19, floor(kl_future / 0.3))) AS INTEGER) AS iy,
+      CAST('0x' || substr(md5(owner || ':42'), 1, 8) AS BIGINT) % 3 AS fold, count(*) AS c, sum(CAST(hit AS DOUBLE)) AS s FROM v_scored GROUP BY 1, 2, 3),
+    z AS (SELECT sum(s) / sum(c) AS base FROM g), b AS (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS sigma),
+    t AS (SELECT f.fold, g.ix, g.iy, sum(g.c) AS c, sum(g.s) AS s FROM g, (SELECT DISTINCT fold FROM g) f WHERE g.fold <> f.fold GROUP BY 1, 2, 3),
+    p AS (SELECT h.fold, h.ix, h.iy, h.c, h.s, sigma,
+        sum(exp(-((t.ix - h.ix) ** 2 + (t.iy - h.iy) ** 2) / (2 * sigma * sigma)) * t.s) / sum(exp(-((t.ix - h.ix) ** 2 + (t.iy - h.iy) ** 2) / (2 * sigma * sigma)) * t.c) AS rate
+      FROM g h CROSS JOIN b LEFT JOIN t ON t.fold = h.fold AND abs(t.ix - h.ix) <= floor(5 * sigma + 0.5) AND abs(t.iy - h.iy) <= floor(5 * sigma + 0.5) GROUP BY ALL),
+    q AS (SELECT sigma, c, s, greatest(0.0001, least(0.9999, coalesce(rate, base))) AS r FROM p, z)
+    SELECT sigma, {R('sum(-(s * ln(r) + (c - s) * ln(1 - r))) / sum(c)')} AS deviance FROM q GROUP BY 1""",
+)
 def kernel_surface_bandwidth(spark, d):
     s = b.stage(b.scored_cases(spark, d).select("kl_past", "kl_future", "hit", "owner"), "surface")
     out = inference.bandwidth_scores(s, "kl_past", "kl_future", "hit", "owner", 0.0, 6.0, 20, (0.5, 1.0, 2.0), 3)

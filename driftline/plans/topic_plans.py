@@ -27,7 +27,10 @@ def fitted(spark, d):
     return counter, vectors, model
 
 
-@query("sample_stratified")
+@query(
+    "sample_stratified",
+    """SELECT doc_id, cls, year FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5(doc_id || ':42'), doc_id) AS rn FROM v_corpus) WHERE rn <= 50""",
+)
 def sample_stratified(spark, d):
     docs = b.corpus(spark, d).select("doc_id", "cls", "year")
     return tm.stratified_sample(docs, ["cls"], "doc_id", 50)
@@ -103,7 +106,29 @@ def theme_shuffle_null(spark, d):
     return rounded(themes.autocorrelation(pan(spark, d), "mean_theta"), "ar1", digits=5)
 
 
-@query("theme_shuffle_null_z")
+def top_ar1_sql(source: str) -> str:
+    """Lag-1 autocorrelation of each theme's yearly share of labels."""
+    return f"""SELECT theme, cls, CASE WHEN NOT isnan(a) THEN a END AS ar1 FROM (SELECT theme, cls, corr(v, p) AS a FROM (
+      SELECT *, lag(v) OVER (PARTITION BY theme, cls ORDER BY year) AS p FROM (SELECT h.theme, n.cls, n.year, coalesce(c.c, 0) / CAST(n.n AS DOUBLE) AS v
+        FROM (SELECT DISTINCT top_topic AS theme, cls FROM {source}) h JOIN (SELECT cls, year, count(*) AS n FROM {source} GROUP BY 1, 2 HAVING count(*) >= {FLOOR}) n USING (cls)
+        LEFT JOIN (SELECT top_topic AS theme, cls, year, count(*) AS c FROM {source} GROUP BY 1, 2, 3) c ON c.theme = h.theme AND c.cls = n.cls AND c.year = n.year))
+      WHERE p IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 4)"""
+
+
+for _seed in range(5):
+    view(
+        f"v_shuffle{_seed}",
+        f"""SELECT a.* REPLACE (l.t AS top_topic) FROM (SELECT *, row_number() OVER (ORDER BY md5(doc_id || ':{_seed}'), doc_id) AS seq FROM v_top) a
+        JOIN (SELECT row_number() OVER (ORDER BY md5(doc_id || ':{-_seed - 1}'), doc_id) AS seq, top_topic AS t FROM v_top) l USING (seq)""",
+    )
+
+
+@query(
+    "theme_shuffle_null_z",
+    f"""SELECT CAST(x.theme AS INTEGER) AS theme, x.cls, {R('x.ar1', 4)} AS ar1, {R('(x.ar1 - m) / nullif(s, 0)', 4)} AS z FROM ({top_ar1_sql('v_top')}) x
+    JOIN (SELECT theme, cls, avg(ar1) AS m, stddev_samp(ar1) AS s FROM ({' UNION ALL '.join(top_ar1_sql(f'v_shuffle{i}') for i in range(5))}) GROUP BY 1, 2) n
+    ON n.theme = x.theme AND n.cls = x.cls""",
+)
 def theme_shuffle_null_z(spark, d):
     top = b.stage(theta_top(spark, d)[1], "top")
     real = themes.autocorrelation(themes.top_share_series(top, FLOOR), "share_top").withColumn("draw", F.lit(-1))
@@ -153,7 +178,16 @@ def topic_align_jaccard(spark, d):
     return rounded(themes.word_overlap(pseudo_words(spark, d, False), pseudo_words(spark, d, True)), "jaccard")
 
 
-@query("topic_align_greedy")
+@query(
+    "topic_align_greedy",
+    f"""SELECT * FROM (WITH RECURSIVE s AS (SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(jaccard, 6) AS jaccard,
+      row_number() OVER (ORDER BY round(jaccard, 6) DESC, a, b) AS i FROM ({_JAC})),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS INTEGER[]) AS ua, CAST([] AS INTEGER[]) AS ub, false AS took, -1 AS a, -1 AS b, CAST(0 AS DOUBLE) AS jaccard
+      UNION ALL SELECT s.i, CASE WHEN NOT list_contains(ua, s.a) AND NOT list_contains(ub, s.b) THEN list_append(ua, s.a) ELSE ua END,
+        CASE WHEN NOT list_contains(ua, s.a) AND NOT list_contains(ub, s.b) THEN list_append(ub, s.b) ELSE ub END,
+        NOT list_contains(ua, s.a) AND NOT list_contains(ub, s.b), s.a, s.b, s.jaccard FROM g JOIN s ON s.i = g.i + 1)
+    SELECT a, b, {R('jaccard')} AS jaccard FROM g WHERE took)""",
+)
 def topic_align_greedy(spark, d):
     return rounded(themes.greedy_match(topic_align_jaccard(spark, d)), "jaccard")
 
