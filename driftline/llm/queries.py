@@ -136,6 +136,18 @@ def op8_html_template(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+# Base 32 in SQL: five hex digits at a time give four letters.
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {15 - 5 * j}) & 31 AS INTEGER) + 1, 1)"
+    for g in range(8) for j in range(4)
+)
+ORACLE_SQL["op2_warc_members"] = f"""SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest,
+    CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN first END AS refers_to
+    FROM (SELECT page_id, payload, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first,
+      row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST, url NULLS FIRST) AS nth
+      FROM (SELECT page_id, url, coalesce(html, '') AS payload FROM pages))"""
+
+
 @query
 def op2_warc_members(spark: SparkSession, d: str) -> DataFrame:
     return warc.digests(*warc.archive_pages(table(spark, d, "pages")))

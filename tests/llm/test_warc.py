@@ -9,6 +9,8 @@ import pytest
 
 from driftline.llm import queries, warc
 
+from .oracle import frame_rows, rows_of
+
 SCHEMA = "page_id long, url string, html string"
 
 
@@ -86,5 +88,6 @@ def test_empty_table(spark, tmp_path):
 def test_query_against_brute_force(spark):
     d = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html").collect()]
-    got = Counter(tuple(r) for r in queries.op2_warc_members(spark, d).collect())
-    assert got == slow(rows)
+    frame = queries.op2_warc_members(spark, d)
+    assert Counter(tuple(r) for r in frame.collect()) == slow(rows)
+    assert frame_rows(frame) == rows_of(queries.ORACLE_SQL["op2_warc_members"], d)
