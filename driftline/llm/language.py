@@ -42,7 +42,7 @@ def _grams(data: np.ndarray, n: int) -> np.ndarray:
     return code
 
 
-def train(samples: dict[str, list[bytes]], order: int = 4, min_count: int = 4) -> ContextModel | None:
+def train(samples: dict[str, list[bytes]], order: int = 4, min_count: int = 8) -> ContextModel | None:
     """Count contexts of up to ``order`` bytes (kept from ``min_count`` occurrences in
     some language) and compile them.  None if there is no training byte."""
     languages = sorted(k for k, v in samples.items() if any(v))
