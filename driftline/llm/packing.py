@@ -13,10 +13,12 @@ and looks up their places; only the histogram and the plan pass through the driv
 from __future__ import annotations
 
 import base64
+import json
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -45,14 +47,23 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str):
-    """Text -> ids of a byte-level BPE, special strings read as ordinary text.  The rank
-    file holds the vocabulary of the JSON file of the same name, id for id."""
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the JSON file beside a rank file; it matches them inside a text too."""
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(path: str, added: dict[str, int] | None = None):
+    """Text -> ids of a byte-level BPE; strings of ``added`` get its ids, without it special
+    strings are ordinary text.  The rank file holds the vocabulary of the JSON file of the
+    same name, id for id."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {t: i for t, i in ranks.items() if t.decode("utf-8", "replace") not in (added or {})}
+    made = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
+    return partial(made.encode, allowed_special="all") if added else made.encode_ordinary
 
 
 def cut(ids: array, capacity: int) -> list[tuple[int, int, int, bytes]]:
@@ -71,7 +82,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, path: str | None = None, keep:
     path = path or vocabulary_path()
 
     def make():
-        encode = encoder(path)
+        encode = encoder(path, added_tokens(path))
 
         def run(texts):
             rows = []

@@ -45,6 +45,34 @@ def test_ids_of_any_text(text):
     assert [*encode(text), packing.END_OF_TEXT] == slow_ids(text)
 
 
+PLAIN = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "x  <|endoftext|>\n\n<|endoftext| >", "<|ENDOFTEXT|> <|endoftext"]
+
+
+def plain_ids(text):
+    """Ids of the JSON file as it is, its added tokens matched inside the text."""
+    return [*PLAIN.encode(text or "", add_special_tokens=False).ids, packing.END_OF_TEXT]
+
+
+def test_pieces_match_added_tokens(spark):
+    assert plain_ids("a <|endoftext|> b")[:-1] == [64, 220, 50256, 275]
+    frame = spark.createDataFrame(list(enumerate(ADDED)), "doc_id int, text string")
+    for r in packing.pack_documents(frame).collect():
+        assert array("I", r.ids).tolist() == plain_ids(ADDED[r.doc_id]) and r.length == len(plain_ids(ADDED[r.doc_id]))
+
+
+@pytest.fixture(scope="module")
+def encode_added():
+    path = packing.vocabulary_path()
+    return packing.encoder(path, packing.added_tokens(path))
+
+
+@settings(max_examples=100, deadline=None)
+@given(parts=st.lists(st.one_of(st.just("<|endoftext|>"), st.text(max_size=12)), max_size=6))
+def test_ids_around_added_tokens(encode_added, parts):
+    assert [*encode_added("".join(parts)), packing.END_OF_TEXT] == plain_ids("".join(parts))
+
+
 def test_only_longer_documents_are_cut():
     for n in (1, 7, 8, 9, 16, 17, 40):
         ids = array("I", range(n))
