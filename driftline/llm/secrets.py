@@ -35,16 +35,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # An object's brace encodes to "e" and one of w-z.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
-# A DER sequence (0x30) encodes to "M" and one of A-P; lines may be wrapped.
-DER_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P](?:[A-Za-z0-9+/_-]|\r?\n(?=[A-Za-z0-9+/_-])){30,}={0,2}")
+# Lines of a key may be wrapped, indented, quoted and their ends escaped, as in JSON.
+BREAK = re.compile(r"""(?:[ \t"'>#]*+(?:\r?\n|(?:\\+r)?\\+n))++[ \t"'>#]*+""")
+# A DER sequence (0x30) encodes to "M" and one of A-P.
+DER_BASE64 = re.compile(
+    rf"M[A-P](?:(?<![A-Za-z0-9+/_-]..)|(?<=\\[nrt]..)|(?<=-----..))(?:[A-Za-z0-9+/_-]|{BREAK.pattern}(?=[A-Za-z0-9+/_-])){{30,}}={{0,2}}"
+)
+DER_BEGIN, OPENSSH_BEGIN = re.compile("M[A-P]"), re.compile("b3BlbnNzaC1rZXktdj")
 DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
 OPENSSH_MAGIC = b"openssh-key-v1\0"
-OPENSSH = re.compile(r"b3BlbnNzaC1rZXktdj(?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/]))+={0,2}")
+OPENSSH = re.compile(rf"b3BlbnNzaC1rZXktdj(?:[A-Za-z0-9+/]|{BREAK.pattern}(?=[A-Za-z0-9+/]))+={{0,2}}")
 
 
 def _bytes_of(candidate: str) -> bytes:
-    """Decoded base64 of either alphabet, line breaks and missing padding allowed."""
-    flat = re.sub(r"[\r\n=]", "", candidate).replace("-", "+").replace("_", "/")
+    """Decoded base64 of either alphabet, missing padding allowed."""
+    flat = candidate.replace("=", "").replace("-", "+").replace("_", "/")
     flat = flat[: len(flat) - (len(flat) % 4 == 1)]
     try:
         return base64.b64decode(flat + "=" * (-len(flat) % 4))
@@ -126,14 +131,54 @@ def openssh_private_key(data: bytes) -> int | None:
     return at
 
 
-def _extent(candidate: str, n_bytes: int) -> int:
-    """Characters of a base64 candidate that hold ``n_bytes`` bytes, padding included."""
+def _der_size(data: bytes) -> int:
+    """Bytes that the DER sequence at the start of ``data`` says it has; 0 if it is none."""
+    if len(data) < 6 or data[0] != 0x30:
+        return 0
+    n = data[1] & 127
+    if data[1] < 128:
+        return 2 + n
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else 0
+
+
+def _keys(text: str, pattern: re.Pattern, begin: re.Pattern, parse) -> Iterator[tuple[int, int]]:
+    """Start and end of the keys in the base64 candidates of ``pattern``: at the start of a
+    candidate or of one of its lines, and after a key from that key's own end."""
+    for m in pattern.finditer(text):
+        lines, at = [], m.start()
+        for gap in BREAK.finditer(text, m.start(), m.end()):
+            lines.append((at, gap.start()))
+            at = gap.end()
+        lines.append((at, m.end()))
+        done = m.start()
+        for i, (start, stop) in enumerate(lines):
+            if start < done or not begin.match(text, start, stop):
+                continue
+            size = None
+            if parse is der_private_key and not (size := _der_size(_bytes_of(text[start : min(stop, start + 8)]))):
+                continue
+            wanted = None if size is None else -(-size * 8 // 6)
+            parts, have = [], 0
+            for a, b in lines[i:]:
+                parts.append(text[a:b])
+                have += b - a
+                if wanted is not None and have >= wanted:
+                    break
+            if n := parse(_bytes_of("".join(parts))):
+                done = _extent(text, lines[i:], n)
+                yield start, done
+
+
+def _extent(text: str, lines: list[tuple[int, int]], n_bytes: int) -> int:
+    """Where the base64 of ``n_bytes`` bytes that fill ``lines`` ends, padding included."""
     left, end = -(-n_bytes * 8 // 6), 0
-    while left:
-        left -= candidate[end] not in "\r\n"
-        end += 1
+    for a, b in lines:
+        end = a + min(left, b - a)
+        left -= end - a
+        if not left:
+            break
     pad = -n_bytes % 3
-    return end + pad if candidate[end : end + pad] == "=" * pad else end
+    return end + pad if text[end : end + pad] == "=" * pad else end
 
 
 def _signed_token(header: str, body: str) -> bool:
@@ -148,10 +193,8 @@ def _structural(text: str) -> Iterator[tuple[str, int, int]]:
     for m in JWT.finditer(text):
         if _signed_token(m[1], m[2]):
             yield "jwt", m.start(), m.end()
-    for pattern, kind, parse in ((DER_BASE64, "der", der_private_key), (OPENSSH, "openssh", openssh_private_key)):
-        for m in pattern.finditer(text):
-            if n := parse(_bytes_of(m[0])):
-                yield kind, m.start(), m.start() + _extent(m[0], n)
+    yield from (("der", a, b) for a, b in _keys(text, DER_BASE64, DER_BEGIN, der_private_key))
+    yield from (("openssh", a, b) for a, b in _keys(text, OPENSSH, OPENSSH_BEGIN, openssh_private_key))
     for m in DER_HEX.finditer(text):
         if n := der_private_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
             yield "der", m.start(), m.start() + 2 * n

@@ -66,6 +66,32 @@ def test_der_keys_are_found_with_their_own_extent(key, wrap):
     assert [s for s in secrets.scan(text) if s[0] == "der"] == [("der", 4, 4 + 2 * len(key))]
 
 
+WRAPPED = lambda k, by: by.join(re.findall(".{1,64}", B64(k)))
+PEM = [  # line end of the text around the key
+    "\\n", "\\r\\n", "\\\\n", "\n    ", "\r\n\t", '\\n"\n    "', "\n> ",
+]
+
+
+@pytest.mark.parametrize("end", PEM)
+@pytest.mark.parametrize("key,kind", [(RSA, "der"), (PKCS8, "der"), (SEC1, "der"), (SSH, "openssh")])
+def test_wrapped_keys(key, kind, end):
+    body = WRAPPED(key, end)
+    text = f'{{"key": "-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----{end}"}}'
+    assert [(k, text[a:b]) for k, a, b in secrets.scan(text) if k in ("der", "openssh")] == [(kind, body)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\n  ", "\\n"])
+def test_keys_that_follow_each_other(end):
+    sizes = [der(0x30, der(2, b"\1"), der(4, RNG.randbytes(n)), der(0xA0, der(6, b"\x2a\x86"))) for n in range(32, 44)]
+    whole = [B64(k).rstrip("=") for k in sizes]
+    text = end.join(["MABC" + "x" * 60, *whole, "MIIE" + "y" * 60, whole[0]])
+    assert [text[a:b] for k, a, b in secrets.scan(text) if k == "der"] == [*whole, whole[0]]
+    unpadded = secrets.OPENSSH_MAGIC + LENGTHED(b"none", b"none", b"") + (1).to_bytes(4, "big") + LENGTHED(b"pub" * 9, b"p" * 162)
+    ssh = B64(unpadded).rstrip("=")
+    text = end.join([ssh, ssh])
+    assert [text[a:b] for k, a, b in secrets.scan(text) if k == "openssh"] == [ssh, ssh]
+
+
 def test_what_has_no_key_structure_is_not_reported():
     broken = bytearray(RSA)
     broken[6] ^= 0x55  # a nested length that no longer fits
