@@ -14,16 +14,19 @@ from .relational import mid_rank_sql
 from .scoring import parts
 
 TAU, FLOOR = 0.22, 10
+# The fits as surveyed: passes and batch of LDA; most updates and tolerance of NMF.
+PASSES, BATCH = 8, 2048
+UPDATES, TOLERANCE = 200, 1e-3
 
 
 def fitted(spark, d):
-    """LDA over all documents and their whole vocabulary; a step of the online optimizer
-    reads a fraction of the corpus, so its cost does not follow the corpus."""
+    """LDA over all documents and their whole vocabulary, in eight passes; a step of the
+    online optimizer reads one batch."""
     docs = b.corpus(spark, d).select("doc_id", "cls", "year", "body")
     words = b.stage(docs.select("doc_id", "cls", "year", tx.chunked_terms("body", b.STOPWORDS).alias("words")), "words")
     counter, vectors = tm.count_vectors(words, F.col("words"), 5.0)
     vectors = b.stage(vectors.drop("words"), "vectors")
-    model = tm.fit_lda(vectors, b.TOPICS, vectors.count(), passes=2, batch=2048)
+    model = tm.fit_lda(vectors, b.TOPICS, vectors.count(), passes=PASSES, batch=BATCH)
     return counter, vectors, model
 
 
@@ -59,7 +62,7 @@ def topic_top_words(spark, d):
 def nmf_fit(spark, d):
     docs, terms, vocab = parts(spark, d)
     w = vocabulary.tfidf_l2(terms, vocab, docs).select("doc_id", "term", "weight")
-    factors, _ = tm.nmf(b.stage(w, "nmf-v"), b.TOPICS, b.stage, iterations=3)
+    factors, _ = tm.nmf(b.stage(w, "nmf-v"), b.TOPICS, b.stage, UPDATES, TOLERANCE)
     return rounded(tm.heaviest_factor(factors, b.TOPICS), "top_weight", digits=4)
 
 

@@ -66,6 +66,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget_folder(names: set[str]) -> None:
+    """Delete now those folders of :func:`shared_folder` whose last part is one of ``names``."""
+    for made in [m for m in _made if m[1].rsplit("/", 1)[-1] in names]:
+        remove_folder(*made)
+        _made.remove(made)
+
+
 def remove_made() -> None:
     """Delete the folders of :func:`shared_folder`; tables read from them are gone then."""
     while _made:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..session import shared_folder
+from ..session import forget_folder, shared_folder
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -17,3 +17,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a stage table that nothing reads any more; other tables stay."""
+    forget_folder({f.rsplit("/", 2)[-2] for f in df.inputFiles()})

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import ranking, regression, topic_models as tm
+from driftline.plans import topic_plans
 from driftline.session import remove_folder, shared_folder
 from driftline.sources import files
 from driftline.sources.staging import stage
@@ -60,6 +61,47 @@ def test_nmf_recovers_planted_topics(spark):
     assert np.linalg.norm(v.to_numpy() - a @ b.T) < 0.6 * np.linalg.norm(v.to_numpy() - v.to_numpy().mean())
 
 
+def bind_planted(spark, monkeypatch, copies):
+    """Planted documents as the corpus of the registered fits; the topic of each."""
+    docs = planted(spark).crossJoin(spark.range(copies).withColumnRenamed("id", "_copy"))
+    docs = docs.withColumn("doc_id", F.col("doc_id") * copies + F.col("_copy")).drop("_copy")
+    texts = docs.select("doc_id", F.lit("c").alias("cls"), F.to_date(F.lit("2000-01-01")).alias("filed"), F.lit(2000).alias("year"),
+                        F.lit("o").alias("owner"), F.lit("m").alias("mark"), F.array_join("words", " ").alias("body"))
+    monkeypatch.setattr(topic_plans.b, "corpus", lambda spark, d: stage(texts, "test-planted"))
+    return {r.doc_id: r.topic for r in docs.collect()}
+
+
+def test_registered_lda_recovers_planted_topics(spark, monkeypatch):
+    truth, asked, fit = bind_planted(spark, monkeypatch, 40), {}, tm.fit_lda
+    monkeypatch.setattr(tm, "fit_lda", lambda *a, **k: asked.update(k) or fit(*a, **k))
+    _, vectors, model = topic_plans.fitted(spark, "")
+    assert asked == {"passes": 8, "batch": 2048} and model.getOrDefault("maxIter") == 38
+    theta = tm.theta_table(model, vectors, ["doc_id"]).collect()
+    # five topics for three planted ones: one may be split, none may be mixed with another
+    table = np.zeros((3, topic_plans.b.TOPICS))
+    for r in theta:
+        table[truth[r.doc_id], int(np.argmax(r.theta))] += 1
+    assert table.sum() == 9_600 and table.max(0).sum() > 0.95 * 9_600, table
+
+
+def test_registered_nmf_recovers_planted_topics(spark, monkeypatch):
+    truth, asked, factors = bind_planted(spark, monkeypatch, 1), {}, tm.nmf
+    monkeypatch.setattr(topic_plans.b, "TOPICS", 3)
+    monkeypatch.setattr(tm, "nmf", lambda v, k, s, *a, **kw: asked.update(nmf=(a, kw), out=factors(v, k, s, *a, **kw), v=v) or asked["out"])
+    got = topic_plans.nmf_fit(spark, "").collect()
+    assert len(got) == 240 and purity([(truth[r.doc_id], r.top_topic) for r in got]) > 0.95
+    assert asked["nmf"] == ((200, 1e-3), {})
+    # as near to the matrix as many updates of a random start come
+    v = asked["v"].toPandas().pivot(index="doc_id", columns="term", values="weight").fillna(0)
+    a, b = (f.toPandas().set_index(key).loc[order].to_numpy() for f, key, order in zip(asked["out"], ["doc_id", "term"], [v.index, v.columns]))
+    v, rng = v.to_numpy(), np.random.default_rng(0)
+    w, h = rng.random(a.shape), rng.random(b.shape)
+    for _ in range(500):
+        h *= v.T @ w / (h @ (w.T @ w) + 1e-12)
+        w *= v @ h / (w @ (h.T @ h) + 1e-12)
+    assert np.linalg.norm(v - a @ b.T) < 1.01 * np.linalg.norm(v - w @ h.T)
+
+
 def test_ranks_keep_rows_without_a_value(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", None), (3, None, 2.0), (4, "a", 1.0)], "k long, g string, x double")
     for ties in ("min", "ordinal"):
