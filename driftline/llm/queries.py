@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.staging import stage
-from . import counting, language, lines, mixing, packing, pages, secrets, simhash, vectors, warc
+from . import counting, dialogues, language, lines, mixing, packing, pages, secrets, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -171,3 +171,9 @@ def op1_edit_counts(spark: SparkSession, d: str) -> DataFrame:
     counted = counted.withColumn("n_tokens", F.col("tokens_before"))
     edited = counting.recount(counting.with_cleaning(counted), keep=["doc_id", "tokens_before"])
     return edited.select("doc_id", "tokens_before", "n_edits", "n_encoded", "n_tokens")
+
+
+@query
+def op13_role_repair(spark: SparkSession, d: str) -> DataFrame:
+    damaged = dialogues.damage(table(spark, d, "conversations"))
+    return dialogues.repair_conversations(damaged).withColumnRenamed("conv", "conv_id")
