@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.staging import stage
-from . import counting, dialogues, language, lines, mixing, negatives, packing, pages, secrets, simhash, vectors, warc
+from . import counting, dialogues, language, licenses, lines, mixing, negatives, packing, pages, secrets, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -199,3 +199,8 @@ ORACLE_SQL["op12_hard_negatives"] = """WITH r AS (
         vec_id AS negative_id, positive_score, score AS negative_score
     FROM positives p JOIN scored s USING (anchor_id)
     WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score QUALIFY rank <= 10"""
+
+
+@query
+def op11_license_rules(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.digest(licenses.find_licenses(table(spark, d, "documents"), keep=["doc_id"]), ["doc_id"])
