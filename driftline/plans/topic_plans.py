@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import text as tx
 from ..functions.scalars import share
 from ..operators import ranking, themes, topic_models as tm, topics, vocabulary
 from . import bindings as b
@@ -17,17 +16,23 @@ TAU, FLOOR = 0.22, 10
 # The fits as surveyed: passes and batch of LDA; most updates and tolerance of NMF.
 PASSES, BATCH = 8, 2048
 UPDATES, TOLERANCE = 200, 1e-3
+MIN_DOCS, MAX_SHARE = 5, 0.5  # of a term in the vocabulary
+
+_fits: dict[tuple[str, str], tuple] = {}
 
 
 def fitted(spark, d):
-    """LDA over all documents and their whole vocabulary, in eight passes; a step of the
-    online optimizer reads one batch."""
-    docs = b.corpus(spark, d).select("doc_id", "cls", "year", "body")
-    words = b.stage(docs.select("doc_id", "cls", "year", tx.chunked_terms("body", b.STOPWORDS).alias("words")), "words")
-    counter, vectors = tm.count_vectors(words, F.col("words"), 5.0)
-    vectors = b.stage(vectors.drop("words"), "vectors")
-    model = tm.fit_lda(vectors, b.TOPICS, vectors.count(), passes=PASSES, batch=BATCH)
-    return counter, vectors, model
+    """LDA over all documents and their whole vocabulary in eight passes, fitted once a session
+    for the queries that read it: the documents, the model and their theta."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _fits:
+        docs = b.stage(b.corpus(spark, d).select("doc_id", "cls", "filed", "year", "body"), "lda-docs")
+        terms = b.stage(b.doc_terms(spark, d, docs), "lda-terms")
+        vocab = vocabulary.build_vocabulary(docs, terms, MIN_DOCS, MAX_SHARE, [])
+        counts = b.stage(vocabulary.count_matrix(terms, vocab, []).select("doc_id", "term", "cnt"), "lda-counts")
+        model = tm.fit_lda(counts, b.TOPICS, b.stage, passes=PASSES, batch=BATCH)
+        _fits[key] = docs, model, b.stage(tm.theta_table(model), "lda-theta")
+    return _fits[key]
 
 
 @query(
@@ -41,29 +46,31 @@ def sample_stratified(spark, d):
 
 @query("lda_fit")
 def lda_fit(spark, d):
-    _, vectors, model = fitted(spark, d)
-    return rounded(tm.topic_sizes(model, vectors), "tokens", "share", digits=4)
+    _, _, theta = fitted(spark, d)
+    return rounded(tm.topic_sizes(theta), "tokens", "share", digits=4)
 
 
 @query("lda_transform")
 def lda_transform(spark, d):
-    _, vectors, model = fitted(spark, d)
-    t = tm.theta_table(model, vectors, ["doc_id", "cls", "year"])
-    return t.select("doc_id", "cls", "year", F.size("theta").alias("k"), r(F.array_max("theta"), 4).alias("top_weight"))
+    """Theta of every document; one without a term of the vocabulary is uniform."""
+    docs, _, theta = fitted(spark, d)
+    even = F.array_repeat(F.lit(1.0 / b.TOPICS), b.TOPICS)
+    t = docs.select("doc_id", "cls", "year").join(theta.drop("n_tokens"), "doc_id", "left").withColumn("theta", F.coalesce("theta", even))
+    return t.select("doc_id", "cls", "year", F.transform("theta", lambda x: r(x, 6)).alias("theta"), r(F.array_max("theta"), 4).alias("top_weight"))
 
 
 @query("topic_top_words")
 def topic_top_words(spark, d):
-    counter, _, model = fitted(spark, d)
-    return rounded(tm.topic_words(model, counter.vocabulary, 10), "weight")
+    _, model, _ = fitted(spark, d)
+    return rounded(tm.topic_words(model, 10), "weight")
 
 
 @query("nmf_fit")
 def nmf_fit(spark, d):
     docs, terms, vocab = parts(spark, d)
     w = vocabulary.tfidf_l2(terms, vocab, docs).select("doc_id", "term", "weight")
-    factors, _ = tm.nmf(b.stage(w, "nmf-v"), b.TOPICS, b.stage, UPDATES, TOLERANCE)
-    return rounded(tm.heaviest_factor(factors, b.TOPICS), "top_weight", digits=4)
+    factors, _, _ = tm.nmf(b.stage(w, "nmf-v"), b.TOPICS, b.stage, UPDATES, TOLERANCE)
+    return rounded(tm.heaviest_factor(factors), "top_weight", digits=4)
 
 
 view("v_top", "SELECT doc_id, cls, filed, year, k AS top_topic, theta AS top_weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(theta, 12) DESC, k) AS rn FROM v_theta) WHERE rn = 1")

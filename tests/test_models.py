@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import ranking, regression, topic_models as tm
+from driftline.operators import ranking, regression, term_blocks as tb, topic_models as tm
 from driftline.plans import topic_plans
 from driftline.session import remove_folder, shared_folder
 from driftline.sources import files
@@ -33,32 +33,119 @@ def purity(rows):
     return table.max(0).sum() / table.sum()
 
 
-def test_lda_recovers_planted_topics(spark):
+def long_counts(docs, copies=1):
+    docs = docs.crossJoin(docs.sparkSession.range(copies).withColumnRenamed("id", "_copy")).withColumn("doc_id", F.col("doc_id") * copies + F.col("_copy"))
+    return docs.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("cnt"))
+
+
+def slow_lda_step(v, lam, totals, alpha):
+    """Plain variational inference, document by document: gamma and expected counts."""
+    from math import lgamma
+
+    psi = lambda x: np.vectorize(lambda y: (lgamma(y + 1e-5) - lgamma(y - 1e-5)) / 2e-5)(x)
+    beta = np.exp(psi(lam) - psi(totals))
+    gammas, expected = [], np.zeros_like(lam)
+    for n in v:
+        g = np.ones(lam.shape[1])
+        for _ in range(100):
+            t, before = np.exp(psi(g) - psi(g.sum())), g
+            g = alpha + t * (beta.T @ (n / (beta @ t + 1e-100)))
+            if np.abs(g - before).mean() < 1e-3:
+                break
+        t = np.exp(psi(g) - psi(g.sum()))
+        expected += np.outer(n / (beta @ t + 1e-100), t) * beta
+        gammas.append(g)
+    return np.array(gammas), expected
+
+
+def test_digamma():
+    x = np.array([0.01, 0.2, 1.0, 2.5, 40.0])
+    want = [-100.56088545786868, -5.289039896592188, -0.5772156649015329, 0.7031566406452432, 3.6763273780344186]
+    assert np.allclose(tm.digamma(x), want, rtol=1e-10)
+
+
+def test_lda_step_equals_plain_inference(spark):
+    counts = stage(long_counts(planted(spark)), "test-v")
+    model = tm.fit_lda(counts, 3, stage, passes=1, batch=0)
+    words = model.words.toPandas().set_index("term")["vec"]
+    v = counts.toPandas().pivot(index="doc_id", columns="term", values="cnt").fillna(0)
+    lam = np.array(words.loc[v.columns].tolist())
+    assert model.steps == 1 and np.allclose(lam.sum(0), model.totals)
+    gamma, _ = slow_lda_step(v.to_numpy(), lam, lam.sum(0), 1 / 3)
+    theta = {r.doc_id: r.theta for r in tm.theta_table(model).collect()}
+    assert np.allclose(np.array([theta[i] for i in v.index]), gamma / gamma.sum(1, keepdims=True), atol=1e-5)
+
+
+@pytest.mark.parametrize("k", [3, 4])
+def test_lda_recovers_planted_topics(spark, k):
     docs = planted(spark)
-    counter, vectors = tm.count_vectors(docs, F.col("words"), 1.0, 240.0)
-    assert set(counter.vocabulary) == {w for ws in WORDS.values() for w in ws}
-    model = tm.fit_lda(vectors, 3, 240, passes=20, batch=60)
-    theta = tm.theta_table(model, vectors, ["topic"]).collect()
-    assert all(abs(sum(r.theta) - 1) < 1e-9 for r in theta)
-    assert purity([(r.topic, int(np.argmax(r.theta))) for r in theta]) > 0.95
-    words = {}
-    for r in tm.topic_words(model, counter.vocabulary, 4).collect():
-        words.setdefault(r.topic, set()).add(r.word)
-    assert sorted(map(sorted, words.values())) == sorted(map(sorted, WORDS.values()))
-    sizes = tm.topic_sizes(model, vectors).collect()
+    counts = stage(long_counts(docs), "test-v")
+    model = tm.fit_lda(counts, k, stage, passes=8, batch=60)
+    assert model.steps == 32 and model.n_terms == 12
+    theta = tm.theta_table(model)
+    rows = theta.join(docs, "doc_id").select("topic", "theta", "n_tokens").collect()
+    assert all(abs(sum(r.theta) - 1) < 1e-9 and r.n_tokens == 32 for r in rows)
+    table = np.zeros((3, k))
+    for r in rows:
+        table[r.topic, int(np.argmax(r.theta))] += 1
+    assert table.sum() == 240 and table.max(0).sum() > 0.95 * 240, table
+    if k == 3:
+        words = {}
+        for r in tm.topic_words(model, 4).collect():
+            words.setdefault(r.topic, set()).add(r.word)
+        assert sorted(map(sorted, words.values())) == sorted(map(sorted, WORDS.values()))
+    sizes = tm.topic_sizes(theta).collect()
     assert abs(sum(r.tokens for r in sizes) - 240 * 32) < 1 and abs(sum(r.share for r in sizes) - 1) < 1e-9
 
 
+def test_topic_models_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, term string, cnt double")
+    model = tm.fit_lda(none, 3, stage)
+    assert tm.theta_table(model).count() == 0 and tm.topic_words(model).count() == 0
+    w, h, n = tm.nmf(none.withColumnRenamed("cnt", "weight"), 3, stage)
+    assert (w.count(), h.count(), n) == (0, 0, 0)
+
+
+def dense(frame, key, index):
+    return np.array(frame.toPandas().set_index(key)["vec"].loc[index].tolist())
+
+
+def test_svd_start_spans_the_leading_vectors(spark):
+    counts = stage(long_counts(planted(spark)), "test-v")
+    v = counts.toPandas().pivot(index="doc_id", columns="term", values="cnt").fillna(0)
+    blocks, _ = tb.pack(counts, 240, 0, weight="cnt")
+    h = dense(tm.svd_start(blocks, counts.select("term").distinct(), 3, 12, stage), "term", v.columns)
+    u, _, right = np.linalg.svd(v.to_numpy(), full_matrices=False)
+    for j in range(3):
+        halves = [np.maximum(s * right[j], 0) for s in (1, -1)]
+        weight = [np.linalg.norm(np.maximum(s * u[:, j], 0)) * np.linalg.norm(x) for s, x in zip((1, -1), halves)]
+        assert np.allclose(h[:, j], halves[int(np.argmax(weight))], atol=1e-4)
+
+
+def test_nonnegative_least_squares():
+    rng = np.random.default_rng(1)
+    a, x = rng.random((30, 4)), np.maximum(rng.standard_normal((20, 4)), 0)
+    got = tm.nonnegative(x @ (a.T @ a), a.T @ a, sweeps=2000)
+    assert np.allclose(got, x, atol=5e-3)
+
+
 def test_nmf_recovers_planted_topics(spark):
     docs = planted(spark)
-    long = docs.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("weight"))
-    w, h = tm.nmf(stage(long, "test-v"), 3, stage, iterations=30)
-    top = tm.heaviest_factor(w, 3).join(docs, "doc_id").select("topic", "top_topic").collect()
-    assert purity([(r.topic, r.top_topic) for r in top]) > 0.95
-    v = long.toPandas().pivot(index="doc_id", columns="term", values="weight").fillna(0)
-    a = w.toPandas().set_index("doc_id").loc[v.index].to_numpy()
-    b = h.toPandas().set_index("term").loc[v.columns].to_numpy()
-    assert np.linalg.norm(v.to_numpy() - a @ b.T) < 0.6 * np.linalg.norm(v.to_numpy() - v.to_numpy().mean())
+    counts = stage(long_counts(docs).withColumnRenamed("cnt", "weight"), "test-v")
+    w, h, n = tm.nmf(counts, 3, stage)
+    top = tm.heaviest_factor(w).join(docs, "doc_id").select("topic", "top_topic", "top_weight").collect()
+    assert len(top) == 240 and purity([(r.topic, r.top_topic) for r in top]) > 0.95 and all(0 < r.top_weight <= 1 for r in top)
+    assert n <= 40
+    # as near to the matrix as many updates of a random start come
+    v = counts.toPandas().pivot(index="doc_id", columns="term", values="weight").fillna(0)
+    a, b = dense(w, "doc_id", v.index), dense(h, "term", v.columns)
+    v, rng = v.to_numpy(), np.random.default_rng(0)
+    x, y = rng.random(a.shape), rng.random(b.shape)
+    for _ in range(500):
+        y *= v.T @ x / (y @ (x.T @ x) + 1e-12)
+        x *= v @ y / (x @ (y.T @ y) + 1e-12)
+    assert a.min() >= 0 and b.min() >= 0
+    assert np.linalg.norm(v - a @ b.T) < 1.01 * np.linalg.norm(v - x @ y.T)
 
 
 def bind_planted(spark, monkeypatch, copies):
@@ -68,38 +155,32 @@ def bind_planted(spark, monkeypatch, copies):
     texts = docs.select("doc_id", F.lit("c").alias("cls"), F.to_date(F.lit("2000-01-01")).alias("filed"), F.lit(2000).alias("year"),
                         F.lit("o").alias("owner"), F.lit("m").alias("mark"), F.array_join("words", " ").alias("body"))
     monkeypatch.setattr(topic_plans.b, "corpus", lambda spark, d: stage(texts, "test-planted"))
+    monkeypatch.setattr(topic_plans, "_fits", {})
     return {r.doc_id: r.topic for r in docs.collect()}
 
 
-def test_registered_lda_recovers_planted_topics(spark, monkeypatch):
-    truth, asked, fit = bind_planted(spark, monkeypatch, 40), {}, tm.fit_lda
-    monkeypatch.setattr(tm, "fit_lda", lambda *a, **k: asked.update(k) or fit(*a, **k))
-    _, vectors, model = topic_plans.fitted(spark, "")
-    assert asked == {"passes": 8, "batch": 2048} and model.getOrDefault("maxIter") == 38
-    theta = tm.theta_table(model, vectors, ["doc_id"]).collect()
-    # five topics for three planted ones: one may be split, none may be mixed with another
-    table = np.zeros((3, topic_plans.b.TOPICS))
+@pytest.mark.parametrize("k", [3, 5])
+def test_registered_lda_recovers_planted_topics(spark, monkeypatch, k):
+    monkeypatch.setattr(topic_plans.b, "TOPICS", k)
+    truth = bind_planted(spark, monkeypatch, 10)
+    theta = topic_plans.lda_transform(spark, "").collect()
+    assert topic_plans.fitted(spark, "")[1].steps == 8 and len(topic_plans._fits) == 1
+    # more topics than planted ones: one may be split, none may be mixed with another
+    table = np.zeros((3, k))
     for r in theta:
+        assert len(r.theta) == k
         table[truth[r.doc_id], int(np.argmax(r.theta))] += 1
-    assert table.sum() == 9_600 and table.max(0).sum() > 0.95 * 9_600, table
+    assert table.sum() == 2_400 and table.max(0).sum() > 0.95 * 2_400, table
+    assert topic_plans.lda_fit(spark, "").count() == k and topic_plans.topic_top_words(spark, "").count() == 10 * k
 
 
 def test_registered_nmf_recovers_planted_topics(spark, monkeypatch):
     truth, asked, factors = bind_planted(spark, monkeypatch, 1), {}, tm.nmf
     monkeypatch.setattr(topic_plans.b, "TOPICS", 3)
-    monkeypatch.setattr(tm, "nmf", lambda v, k, s, *a, **kw: asked.update(nmf=(a, kw), out=factors(v, k, s, *a, **kw), v=v) or asked["out"])
+    monkeypatch.setattr(tm, "nmf", lambda v, k, s, *a, **kw: asked.update(nmf=(a, kw), out=factors(v, k, s, *a, **kw)) or asked["out"])
     got = topic_plans.nmf_fit(spark, "").collect()
     assert len(got) == 240 and purity([(truth[r.doc_id], r.top_topic) for r in got]) > 0.95
-    assert asked["nmf"] == ((200, 1e-3), {})
-    # as near to the matrix as many updates of a random start come
-    v = asked["v"].toPandas().pivot(index="doc_id", columns="term", values="weight").fillna(0)
-    a, b = (f.toPandas().set_index(key).loc[order].to_numpy() for f, key, order in zip(asked["out"], ["doc_id", "term"], [v.index, v.columns]))
-    v, rng = v.to_numpy(), np.random.default_rng(0)
-    w, h = rng.random(a.shape), rng.random(b.shape)
-    for _ in range(500):
-        h *= v.T @ w / (h @ (w.T @ w) + 1e-12)
-        w *= v @ h / (w @ (h.T @ h) + 1e-12)
-    assert np.linalg.norm(v - a @ b.T) < 1.01 * np.linalg.norm(v - w @ h.T)
+    assert asked["nmf"] == ((200, 1e-3), {}) and asked["out"][2] <= 60
 
 
 def test_ranks_keep_rows_without_a_value(spark):
