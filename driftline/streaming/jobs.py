@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..operators.surprise import _decay_sums, _divergence, _doc_sums, vocabulary_size
-from ..session import remove_folder
+from ..operators.surprise import _decay_sums, _divergence, vocabulary_size
+
+DAY_MS = 86_400_000
 
 
 def windowed_counts(
@@ -32,88 +38,136 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-class OnlineSurprise:
-    """Past-facing decayed surprise, one micro-batch at a time.
-
-    State is two tables under ``root``, a version per batch: decayed term weights
-    (class, term, day) and totals (class, day).  Everything before the latest day
-    is collapsed into one decayed row; the latest day keeps its own row, so a
-    document never sees its own day.  Rows older than the latest day are late and
-    dropped.  Both tables are joined and aggregated like any other, so a class
-    with most of the traffic is spread over all tasks.  A replayed batch rewrites
-    the same version.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextlib.contextmanager
+def map_state_store(spark: SparkSession):
+    """Keyed state needs the RocksDB store; a query keeps the setting it was started with, so the
+    session gets its own one back."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+class TermDecay(StatefulProcessor):
+    """State of one (class, term bucket): decayed term weights, and rows of days still open.
+
+    Rows wait until the watermark has passed their day.  Then days are taken in order: a
+    document's terms meet the weights of the days before, and only after all documents of a
+    day the day is added.  One timer, at the first day that waits, is enough.
     """
 
-    def __init__(self, spark: SparkSession, vocab: DataFrame, terms_of, root: str, halflife: float, alpha: float = 1.0):
-        self.spark, self.vocab, self.terms_of, self.root = spark, vocab, terms_of, root
-        self.rate, self.alpha = math.log(2) / halflife, alpha
+    def __init__(self, rate: float, alpha: float):
+        self.rate, self.alpha = rate, alpha
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.weights = handle.getValueState("weights", "day int, terms array<string>, weights array<double>")
+        self.waiting = handle.getListState("waiting", "days array<int>, docs array<bigint>, terms array<string>, counts array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        counts = pd.concat([f.groupby(["day", "doc_id", "term"], dropna=False).size() for f in rows]).groupby(level=[0, 1, 2], dropna=False).sum()
+        days, docs, terms = (counts.index.get_level_values(i) for i in range(3))
+        self.waiting.appendValue(([int(d) for d in days], [None if pd.isna(d) else int(d) for d in docs], list(terms), [int(c) for c in counts]))
+        self.handle.registerTimer(int(days.min()) * DAY_MS)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        open_from = timerValues.getCurrentWatermarkInMs() // DAY_MS + 1
+        held = [v for v in self.waiting.get()]
+        if not held:
+            return
+        frame = pd.DataFrame({c: [x for v in held for x in v[i]] for i, c in enumerate(("day", "doc_id", "term", "cnt"))})
+        frame = frame.groupby(["day", "doc_id", "term"], as_index=False, dropna=False)["cnt"].sum()
+        closed, rest = frame[frame["day"] < open_from], frame[frame["day"] >= open_from]
+        self.waiting.clear()
+        if len(rest):
+            self.waiting.appendValue(tuple(rest[c].astype(object).where(rest[c].notna(), None).tolist() for c in ("day", "doc_id", "term", "cnt")))
+            self.handle.registerTimer(int(rest["day"].min()) * DAY_MS)
+        if len(closed):
+            yield self._score(key, closed)
+
+    def _score(self, key, closed: pd.DataFrame) -> pd.DataFrame:
+        last, known, weight = self.weights.get() if self.weights.exists() else (int(closed["day"].min()), [], [])
+        place = {t: i for i, t in enumerate(known)}
+        at = np.array([place.setdefault(t, len(place)) for t in closed["term"]])
+        w = np.zeros(len(place))
+        w[: len(weight)] = weight
+        cnt, days = closed["cnt"].to_numpy(float), closed["day"].to_numpy()
+        logs = np.zeros(len(closed))
+        for day in np.unique(days):  # sorted
+            w *= math.exp(-self.rate * (int(day) - last) / 365.25)
+            last, rows = int(day), np.flatnonzero(days == day)
+            logs[rows] = np.log(w[at[rows]] + self.alpha)
+            np.add.at(w, at[rows], cnt[rows])
+        self.weights.update((last, list(place), w.tolist()))
+        real = (closed["term"] != "").to_numpy()  # the empty term only says that the document is there
+        cnt = np.where(real, cnt, 0.0)
+        out = closed.assign(n_terms=real.astype(int), n=cnt, own=cnt * np.log(np.maximum(cnt, 1.0)), past=cnt * np.where(real, logs, 0.0))
+        out = out.groupby(["day", "doc_id"], as_index=False, dropna=False)[["n_terms", "n", "own", "past"]].sum()
+        return out.assign(grp=key[0])[["doc_id", "grp", "day", "n_terms", "n", "own", "past"]]
+
+    def close(self) -> None:
+        pass
+
+
+class OnlineSurprise:
+    """Past-facing decayed surprise of a stream of documents.
+
+    Terms are keyed by class and hash bucket, so that a class with most of the traffic is
+    spread over ``buckets`` keys; a key's state holds its share of the class's vocabulary.
+    Documents may be up to ``delay`` late, whatever their class; later ones are dropped by
+    the watermark.  A day is scored once the watermark has passed it, and a document never
+    sees its own day.  The sink gets a document's sums per bucket; :meth:`scores` adds them
+    up and joins the totals of the days before, a row per class and day.  A row without
+    ``doc_id`` only moves the clock: a late date in it closes all days.
 
-    def _state(self, batch: int) -> tuple[DataFrame, DataFrame]:
-        if batch == 0:
-            return (
-                self.spark.createDataFrame([], "cls string, term string, day int, tf double"),
-                self.spark.createDataFrame([], "cls string, day int, m double, n double"),
+    A restart goes on from the checkpoint under ``root``.
+    """
+
+    PARTS = "doc_id long, grp string, day int, n_terms long, n double, own double, past double"
+
+    def __init__(self, spark: SparkSession, vocab: DataFrame, terms: Column, root: str, halflife: float, alpha: float = 1.0, delay: str = "1 day", buckets: int = 16):
+        self.spark, self.vocab, self.terms, self.root = spark, vocab, terms, root
+        self.rate, self.alpha, self.delay, self.buckets = math.log(2) / halflife, alpha, delay, buckets
+
+    def run(self, stream: DataFrame) -> None:
+        """Score what has arrived in ``stream`` (``doc_id, cls, filed, body``), then stop."""
+        present = F.col("doc_id").isNull() | (F.length("body") > 0)
+        rows = stream.withColumn("at", F.col("filed").cast("timestamp")).withWatermark("at", self.delay).filter(present)
+        terms = F.concat(F.coalesce(self.terms, F.array().cast("array<string>")), F.array(F.lit("")))
+        rows = rows.select("doc_id", "cls", "at", F.unix_date("filed").alias("day"), F.explode(terms).alias("term"))
+        vocab = self.vocab.select("cls", "term", F.lit(True).alias("_known"))
+        rows = rows.join(vocab, ["cls", "term"], "left").filter(F.col("_known") | (F.col("term") == ""))
+        # state rows are built by name, where "cls" is taken
+        keyed = rows.select(F.col("cls").alias("grp"), F.pmod(F.xxhash64("term"), F.lit(self.buckets)).alias("bucket"), "doc_id", "at", "day", "term").groupBy("grp", "bucket")
+        parts = keyed.transformWithStateInPandas(TermDecay(self.rate, self.alpha), self.PARTS, "append", "eventtime")
+        with map_state_store(self.spark):
+            q = (
+                parts.writeStream.format("parquet").outputMode("append").option("path", f"{self.root}/parts")
+                .option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
             )
-        base = f"{self.root}/state/{batch - 1}"
-        return self.spark.read.parquet(f"{base}/terms"), self.spark.read.parquet(f"{base}/totals")
-
-    def __call__(self, docs: DataFrame, batch: int) -> None:
-        tf0, tot0 = self._state(batch)
-        last = tot0.agg(F.max("day")).first()[0]
-        docs = docs.withColumn("day", F.unix_date("filed"))
-        if last is not None:
-            docs = docs.filter(F.col("day") >= last)
-        terms = self.terms_of(docs).withColumn("day", F.unix_date("filed"))
-        terms = terms.join(self.vocab.select("cls", "term"), ["cls", "term"], "left_semi")
-        fresh = terms.groupBy("cls", "term", "day").agg(F.sum("cnt").cast("double").alias("tf"))
-        tf = tf0.unionByName(fresh).groupBy("cls", "term", "day").agg(F.sum("tf").alias("tf"))
-        n = docs.groupBy("cls", "day").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        m = fresh.groupBy("cls", "day").agg(F.sum("tf").alias("m"))
-        tot = tot0.unionByName(n.join(m, ["cls", "day"], "left").na.fill(0.0, ["m"]))
-        tot = tot.groupBy("cls", "day").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
-        span = tot.agg(F.min("day"), F.max("day")).first()
-        if span[1] is None:  # nothing has arrived yet: the next batch still finds a state
-            self._keep(batch, tf0, tot0)
-            nothing = docs.select("doc_id", "cls", F.lit(0).cast("long").alias("n_terms"), F.lit(0.0).alias("kl_past"))
-            nothing.limit(0).write.mode("overwrite").parquet(f"{self.root}/scores/batch={batch}")
-            return
-        years = (F.col("day") - F.lit(span[0])) / F.lit(365.25)
-        tf, tot = tf.withColumn("_t_years", years), tot.withColumn("_t_years", years)
-        refs = tf.select("cls", "term", "day", _decay_sums(tf, ["cls", "term"], "tf", self.rate, "past").alias("tf_past"))
-        totals = tot.select(
-            "cls", "day", _decay_sums(tot, ["cls"], "m", self.rate, "past").alias("_total"),
-            _decay_sums(tot, ["cls"], "n", self.rate, "past").alias("_w"),
-        )
-        sums = _doc_sums(terms.join(refs, ["cls", "term", "day"]), {"past": F.log(F.col("tf_past") + self.alpha)})
-        out = docs.select("doc_id", "cls", "day").join(sums, "doc_id").join(totals, ["cls", "day"])
-        out = out.join(vocabulary_size(self.vocab), "cls")
-        score = F.when(F.col("_w") > 0, _divergence("past", F.col("_total") + self.alpha * F.col("v_size")))
-        out.select("doc_id", "cls", "n_terms", score.alias("kl_past")).write.mode("overwrite").parquet(
-            f"{self.root}/scores/batch={batch}"
-        )
-        # collapse everything before the latest day to the day before it
-        top = span[1]
-        fade = F.when(F.col("day") < top, F.exp(F.lit(-self.rate) * (F.lit(top - 1) - F.col("day")) / F.lit(365.25))).otherwise(1.0)
-        kept = F.when(F.col("day") < top, F.lit(top - 1)).otherwise(F.col("day")).alias("day")
-        self._keep(
-            batch,
-            tf.groupBy("cls", "term", kept).agg(F.sum(F.col("tf") * fade).alias("tf")),
-            tot.groupBy("cls", kept).agg(F.sum(F.col("m") * fade).alias("m"), F.sum(F.col("n") * fade).alias("n")),
-        )
+        q.awaitTermination()
 
-    def _keep(self, batch: int, terms: DataFrame, totals: DataFrame) -> None:
-        """Write this batch's state, then drop the version that no replay can ask for:
-        only the last batch may run again, and it starts from the one before it."""
-        base = f"{self.root}/state"
-        terms.write.mode("overwrite").parquet(f"{base}/{batch}/terms")
-        totals.write.mode("overwrite").parquet(f"{base}/{batch}/totals")
-        if batch >= 2:
-            remove_folder(self.spark, f"{base}/{batch - 2}")
-
-    def run(self, stream: DataFrame) -> DataFrame:
-        q = (
-            stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.root}/checkpoint")
-            .trigger(availableNow=True).start()
+    def scores(self) -> DataFrame:
+        """``doc_id, cls, day, n_terms, kl_past`` of the documents of closed days; null before the
+        first day of a class, and no row for a document without a term of the vocabulary."""
+        parts = self.spark.read.schema(self.PARTS).parquet(f"{self.root}/parts").filter(F.col("doc_id").isNotNull())
+        docs = parts.groupBy("doc_id", F.col("grp").alias("cls"), "day").agg(
+            F.sum("n_terms").alias("n_terms"), F.sum("n").alias("_t"), F.sum("own").alias("_self"), F.sum("past").alias("_past")
         )
-        q.awaitTermination()
-        return self.spark.read.parquet(f"{self.root}/scores")
+        daily = docs.groupBy("cls", "day").agg(F.sum("_t").alias("m"), F.count(F.lit(1)).cast("double").alias("n"))
+        first = daily.agg(F.min("day")).scalar()
+        daily = daily.withColumn("_t_years", (F.col("day") - first) / F.lit(365.25))
+        totals = daily.select(
+            "cls", "day", _decay_sums(daily, ["cls"], "m", self.rate, "past").alias("_total"),
+            _decay_sums(daily, ["cls"], "n", self.rate, "past").alias("_w"),
+        )
+        out = docs.filter("n_terms > 0").join(totals, ["cls", "day"]).join(vocabulary_size(self.vocab), "cls")
+        score = F.when(F.col("_w") > 0, _divergence("past", F.col("_total") + self.alpha * F.col("v_size")))
+        return out.select("doc_id", "cls", "day", "n_terms", score.alias("kl_past"))
