@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import zipfile
 
@@ -151,8 +152,28 @@ def src_tsv_zip_offerings(spark, d):
     )
 
 
+def zipped_xml(spark, rows):
+    """Archives of case files, a plain and a compressed member in each, in a shared folder."""
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        for i, pdf in enumerate(batches):
+            buf, half = io.BytesIO(), len(pdf) // 2
+            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, part in (("apc/a.xml", pdf["xml"][:half]), ("apc/b.xml.gz", pdf["xml"][half:]), ("apc/readme.txt", [])):
+                    text = f"<?xml version='1.0'?>\n<case-files>\n{''.join(part)}</case-files>\n".encode()
+                    z.writestr(name, gzip.compress(text) if name.endswith(".gz") else text)
+            yield pd.DataFrame({"path": [f"part-{TaskContext.get().partitionId()}-{i}.zip"], "content": [buf.getvalue()]})
+
+    path = shared_folder(spark, "xml")
+    xml = rows.select(F.to_xml(F.struct("*"), {"rowTag": "case-file"}).alias("xml"))
+    files.write_archives(xml.mapInPandas(pack, "path string, content binary"), path)
+    return files.archives(spark, f"{path}/*.zip")
+
+
 def case_xml(spark, d):
-    """Case files written as XML from the cases and their events."""
+    """Case files written as zipped XML from the cases and their events."""
     lit, ymd = F.lit, lambda c: F.date_format(c, "yyyyMMdd")
     ev = b.case_events(spark, d).groupBy("case_id").agg(  # a case has a few events
         F.collect_list(F.struct(
@@ -188,9 +209,7 @@ def case_xml(spark, d):
         ).alias("case-file-statement")).alias("case-file-statements"),
         F.struct(F.col("ev").alias("case-file-event-statement")).alias("case-file-event-statements"),
     )
-    path = shared_folder(spark, "xml")
-    rows.write.format("xml").options(rootTag="case-files", rowTag="case-file").save(path)
-    return files.case_files(spark, path)
+    return files.zipped_case_files(zipped_xml(spark, rows))
 
 
 @query(

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import json
+import re
 from collections.abc import Iterator, Mapping, Sequence
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import strong_key
 from ..functions.scalars import parse_compact_date
+from .archive_source import ArchiveMembers
 
 
 def columns(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
@@ -124,7 +124,17 @@ def owner_addresses(raw: DataFrame) -> DataFrame:
 
 
 def archives(spark: SparkSession, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(pattern).select("path", "content")
+    """Paths of the archives; their content is not read."""
+    return spark.read.format("binaryFile").load(pattern).select("path")
+
+
+def _members(files: DataFrame, pattern: str, **options: str) -> DataFrame:
+    """Records of the members whose base name fits, one partition a member; the driver sees the
+    archives' names only."""
+    spark = files.sparkSession
+    spark.dataSource.register(ArchiveMembers)
+    paths = sorted(r.path for r in files.select("path").distinct().collect())
+    return spark.read.format("archive_members").options(paths=json.dumps(paths), members=pattern, **options).load()
 
 
 def write_archives(files: DataFrame, folder: str) -> None:
@@ -149,28 +159,18 @@ def archive_tables(files: DataFrame, members: Mapping[str, Sequence[str]]) -> Da
     """``(path, member, cells)``: the named columns of the named tab-separated members.
 
     Columns are found by each member's own header line, wherever they stand; one that an
-    archive lacks is NULL, and lines shorter than the header are dropped.  Unzipping is the
-    only Python step; rows leave it in bounded batches.
+    archive lacks is NULL, and lines shorter than the header are dropped.
     """
-    wanted = {m: tuple(names) for m, names in members.items()}
+    wanted = json.dumps({m: list(names) for m, names in members.items()})
+    return _members(files, "|".join(re.escape(m) for m in members), columns=wanted).drop("element")
 
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        base = name.rsplit("/", 1)[-1]
-                        if base not in wanted:
-                            continue
-                        with z.open(name) as fh:
-                            rows = (x.rstrip("\r\n").split("\t") for x in io.TextIOWrapper(fh, encoding="utf-8-sig", errors="replace"))
-                            header = next(rows, [])
-                            at = [header.index(n) if n in header else None for n in wanted[base]]
-                            full = (x for x in rows if len(x) >= len(header))
-                            while cells := [[None if i is None else x[i] for i in at] for x in islice(full, 10_000)]:
-                                yield pd.DataFrame({"path": path, "member": base, "cells": cells})
-
-    return files.select("path", "content").mapInPandas(unzip, "path string, member string, cells array<string>")
+
+def zipped_case_files(files: DataFrame) -> DataFrame:
+    """Raw case-file elements of the ``.xml`` and ``.xml.gz`` members of archives, as
+    :func:`case_files` gives them; an element that is no XML has nulls only and is dropped."""
+    rows = _members(files, r".*\.xml(?:\.gz)?", tag="case-file")
+    raw = rows.select(F.from_xml("element", CASE_SCHEMA).alias("_r")).select("_r.*")
+    return raw.filter(F.col("serial-number").isNotNull())
 
 
 def member_table(tables: DataFrame, member: str, names: Sequence[str]) -> DataFrame:

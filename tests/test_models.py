@@ -1,5 +1,6 @@
 """Topic models on planted topics, guards of ranks and fits, archives on disk."""
 
+import gzip
 import io
 import zipfile
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline.operators import ranking, regression, term_blocks as tb, topic_models as tm
 from driftline.plans import topic_plans
 from driftline.session import remove_folder, shared_folder
-from driftline.sources import files
+from driftline.sources import archive_source, files
 from driftline.sources.staging import stage
 
 WORDS = {0: ["iron", "steel", "bolt", "gear"], 1: ["milk", "cheese", "butter", "cream"], 2: ["cloth", "wool", "linen", "silk"]}
@@ -231,6 +232,31 @@ def test_archives_are_read_by_header(spark):
     remove_folder(spark, path)
 
 
+def test_zipped_case_files_equal_plain_ones(spark):
+    case = lambda i, more="": f"<case-file kind='x'>\n<serial-number>{i:08d}</serial-number><case-file-header><status-code>7{i}</status-code></case-file-header>{more}</case-file >"
+    long = "<case-file-statements><case-file-statement><type-code>GS01</type-code><text>" + "wörter &amp; mehr " * 200_000 + "</text></case-file-statement></case-file-statements>"
+    text = "<?xml version='1.0'?><root>" + "".join(case(i, long if i == 3 else "") for i in range(40)) + "</root>"
+    path = shared_folder(spark, "test-xml")
+    plain = spark.createDataFrame([("all.xml", text.encode())], "path string, content binary")
+    files.write_archives(plain, f"{path}/plain")
+    name, content = archive("a.zip", {"a.xml": text[: text.index("<case-file kind='x'>\n<serial-number>00000030")], "c.txt": text, "d.xml": "<root><case-file><serial-number>1"})
+    buf = io.BytesIO(content)
+    with zipfile.ZipFile(buf, "a") as z:
+        z.writestr("b.xml.gz", gzip.compress(("<root>" + text[text.index("<case-file kind='x'>\n<serial-number>00000030") :]).encode()))
+    files.write_archives(spark.createDataFrame([(name, buf.getvalue())], "path string, content binary"), f"{path}/zip")
+    want, got = files.case_files(spark, f"{path}/plain"), files.zipped_case_files(files.archives(spark, f"{path}/zip/*.zip"))
+    rows = sorted(map(repr, got.collect()))
+    assert len(rows) == 40 and rows == sorted(map(repr, want.collect()))
+    assert got.rdd.getNumPartitions() == 3
+    remove_folder(spark, path)
+
+
+def test_elements_across_chunks(monkeypatch):
+    monkeypatch.setattr(archive_source, "CHUNK", 7)
+    text = b"<r><item-x>no</item-x><item>1</item><item a='2'>two</item ><items/><item>3</item><item>cut"
+    assert list(archive_source.elements(io.BytesIO(text), "item")) == ["<item>1</item>", "<item a='2'>two</item >", "<item>3</item>"]
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Elsewhere:
         conf = spark.conf
