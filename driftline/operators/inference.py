@@ -123,47 +123,52 @@ def lattice(df: DataFrame, x: str, y: str, outcome: str, lo: float, hi: float, k
     return g.groupBy("ix", "iy", *by).agg(F.count(F.lit(1)).alias("c"), F.sum("_y").alias("s"))
 
 
-def kernel_surface(cells: DataFrame, sigma: float, k: int, reach: float = 5.0) -> DataFrame:
-    """Gaussian-kernel rate and effective n on the lattice (``sigma`` in cells).
+def kernel_surfaces(cells: DataFrame, sigmas: Sequence[float], k: int, by: Sequence[str] = (), reach: float = 5.0) -> DataFrame:
+    """Gaussian-kernel rate and effective n on the lattice for every bandwidth (``sigma`` in cells)
+    and every group of ``by``.
 
-    Each occupied cell is spread over the offsets within reach; the input is the
-    k x k lattice, so its size does not depend on the data.
+    The kernel and its square are products over the axes, so cells are spread and summed along
+    one axis and then along the other: a cell makes ``2 m + 1`` rows an axis and bandwidth.  The
+    input is the k x k lattice, so its size does not depend on the data.
     """
-    m = int(reach * sigma + 0.5)
-    off = F.explode(F.sequence(F.lit(-m), F.lit(m)))
-    spread = cells.withColumn("dx", off).withColumn("dy", off)
-    spread = spread.withColumn("ix", F.col("ix") + F.col("dx")).withColumn("iy", F.col("iy") + F.col("dy"))
-    spread = spread.filter(F.col("ix").between(0, k - 1) & F.col("iy").between(0, k - 1))
-    w = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (2 * sigma * sigma))
-    out = spread.groupBy("ix", "iy").agg(
-        F.sum(w * F.col("c")).alias("_k"), F.sum(w * F.col("s")).alias("_y"), F.sum(w * w * F.col("c")).alias("_k2")
-    )
+    def along(df: DataFrame, axis: str, other: str) -> DataFrame:
+        spread = df.withColumn("_d", F.explode(F.sequence(-F.col("_m"), F.col("_m")))).withColumn(axis, F.col(axis) + F.col("_d"))
+        spread = spread.filter(F.col(axis).between(0, k - 1))
+        w = F.exp(-(F.col("_d") * F.col("_d")) / (2 * F.col("sigma") * F.col("sigma")))
+        return spread.groupBy(*by, "sigma", "_m", axis, other).agg(
+            F.sum(w * F.col("_k")).alias("_k"), F.sum(w * F.col("_y")).alias("_y"), F.sum(w * w * F.col("_k2")).alias("_k2")
+        )
+
+    widths = F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.lit(int(reach * s + 0.5)).alias("_m")) for s in sigmas])
+    start = cells.select(*by, "ix", "iy", F.col("c").alias("_k"), F.col("s").alias("_y"), F.col("c").alias("_k2"), F.explode(widths).alias("_s"))
+    out = along(along(start.select("*", "_s.sigma", "_s._m").drop("_s"), "ix", "iy"), "iy", "ix")
     return out.select(
-        "ix", "iy", (F.col("_y") / F.col("_k")).alias("rate"),
-        (F.col("_k") * F.col("_k") / F.col("_k2")).alias("n_eff"),
+        *by, "sigma", "ix", "iy", (F.col("_y") / F.col("_k")).alias("rate"), (F.col("_k") * F.col("_k") / F.col("_k2")).alias("n_eff")
     )
 
 
+def kernel_surface(cells: DataFrame, sigma: float, k: int, reach: float = 5.0) -> DataFrame:
+    """One bandwidth of :func:`kernel_surfaces`."""
+    return kernel_surfaces(cells, [sigma], k, reach=reach).drop("sigma")
+
+
 def bandwidth_scores(
     df: DataFrame, x: str, y: str, outcome: str, owner: str, lo: float, hi: float, k: int,
     sigmas: Sequence[float], folds: int = 5, seed: int = 42,
 ) -> DataFrame:
-    """Out-of-fold binomial deviance per bandwidth with folds blocked on the owner."""
+    """Out-of-fold binomial deviance per bandwidth with folds blocked on the owner: the surfaces
+    of all folds and bandwidths in one pass."""
     place = F.md5(F.concat_ws(":", F.col(owner).cast("string"), F.lit(str(seed))).cast("binary"))
     fold = (F.conv(F.substring(place, 1, 8), 16, 10).cast("long") % folds).cast("int")
     cells = lattice(df.withColumn("fold", fold), x, y, outcome, lo, hi, k, ["fold"])
     base = cells.agg((F.sum("s") / F.sum("c"))).scalar()
-    out = None
-    for f in range(folds):
-        train = cells.filter(F.col("fold") != f).groupBy("ix", "iy").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
-        held = cells.filter(F.col("fold") == f).select("ix", "iy", "c", "s")
-        for sg in sigmas:
-            p = held.join(kernel_surface(train, sg, k).select("ix", "iy", "rate"), ["ix", "iy"], "left")
-            rate = clip(F.coalesce("rate", base), 1e-4, 1 - 1e-4)
-            dev = -(F.col("s") * F.log(rate) + (F.col("c") - F.col("s")) * F.log(1 - rate))
-            one = p.agg(F.sum(dev).alias("_d"), F.sum("c").alias("_n")).withColumn("sigma", F.lit(float(sg)))
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("sigma").agg((F.sum("_d") / F.sum("_n")).alias("deviance"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
+    train = cells.select(F.explode(others).alias("out"), "ix", "iy", "c", "s").groupBy("out", "ix", "iy").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    held = cells.withColumnRenamed("fold", "out").withColumn("sigma", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])))
+    p = held.join(kernel_surfaces(train, sigmas, k, ["out"]).drop("n_eff"), ["out", "sigma", "ix", "iy"], "left")
+    rate = clip(F.coalesce("rate", base), 1e-4, 1 - 1e-4)
+    dev = -(F.col("s") * F.log(rate) + (F.col("c") - F.col("s")) * F.log(1 - rate))
+    return p.groupBy("sigma").agg((F.sum(dev) / F.sum("c")).alias("deviance"))
 
 
 def tail_bins(df: DataFrame, score: str, outcome: str, k: int) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.staging import discard, stage
+
 RESULT = "term string, b double, se double, t double, n long, n_clusters long, r2 double"
 
 
@@ -57,13 +59,15 @@ def fit(
     cluster: str | None = None,
     absorb: str | Sequence[str] | None = None,
     intercept_df: bool | None = None,
+    absorbed: tuple[int, float] | None = None,
 ) -> DataFrame:
     """Least squares with HC1 or clustered errors; one row per regressor.
 
     With ``absorb`` the variables are demeaned by that cell first.  The small
     sample factor is n / (n - k), or (G / (G - 1)) ((n - 1) / (n - k)) when
     clustered; k counts the intercept only without absorption.  Without a spare row, or
-    with a single cluster, the errors are NULL.
+    with a single cluster, the errors are NULL.  ``absorbed`` gives the parameters that an
+    earlier step took out of all variables, and the total sum of squares that R2 refers to.
     """
     keys = [cluster] if cluster else []
     cells = [] if absorb is None else [absorb] if isinstance(absorb, str) else list(absorb)
@@ -87,7 +91,8 @@ def fit(
     for i in range(k):
         resid = resid - F.lit(float(b[i])) * centred[i + 1]
     with_const = intercept_df if intercept_df is not None else not cells
-    dof = n - k - (1 if with_const else 0)
+    lost, total = absorbed or (0, yy)
+    dof = n - k - (1 if with_const else 0) - lost
     scores = rows.select(
         *[(x * resid).alias(f"s{i}") for i, x in enumerate(centred[1:])],
         *([F.col("_key_0").alias("g")] if cluster else []),
@@ -100,7 +105,7 @@ def fit(
     known = dof > 0 and (not cluster or groups > 1)
     adj = (groups / (groups - 1) * (n - 1) / dof if cluster else n / dof) if known else 0.0
     se = np.sqrt(np.maximum(np.diag(adj * inv @ meat @ inv), 0))
-    r2 = float(b @ xty / yy) if yy > 0 else None
+    r2 = float(1 - (yy - b @ xty) / total) if total > 0 else None
     out = []
     for i, x in enumerate(xs):
         bi, si = float(b[i]), float(se[i]) if known else None
@@ -120,15 +125,46 @@ def dummies(df: DataFrame, column: str, prefix: str) -> tuple[DataFrame, list[st
     return df.select("*", *flags), names
 
 
+def alternating(df: DataFrame, cols: Sequence[str], first: str, second: str, tolerance: float = 1e-10, rounds: int = 1_000) -> DataFrame:
+    """The columns without the group means of two effects, by alternating projections.
+
+    Each round subtracts the means of the second effect and then those of the first; it ends when
+    no mean of the second effect exceeds ``tolerance`` standard deviations.  A plan holds one
+    round, whatever the number of groups, and the driver sees one number a round.
+    """
+    sd = df.agg(*[F.stddev_pop(F.col(c).cast("double")) for c in cols]).first()
+    now = stage(demean(df, cols, first), "projection")
+    for _ in range(rounds):
+        means = now.groupBy(second).agg(*[F.avg(c).alias(c) for c in cols])
+        far = F.greatest(F.lit(0.0), *[F.abs(F.col(c)) / F.lit(float(s)) for c, s in zip(cols, sd) if s])
+        if (means.agg(F.max(far)).first()[0] or 0.0) <= tolerance:
+            break
+        later = stage(demean(demean(now, cols, second), cols, first), "projection")
+        discard(now)
+        now = later
+    return now
+
+
 def two_way(
     df: DataFrame, y: str, xs: Sequence[str], entity: str, year: str = "year",
-    cluster: str | None = None,
+    cluster: str | None = None, most_dummies: int = 100,
 ) -> DataFrame:
-    """Entity within-transform plus year dummies, clustered by entity."""
+    """Entity and year effects, clustered by entity.
+
+    The entity is absorbed; up to ``most_dummies`` years are 0/1 columns, more of them are absorbed
+    as well by :func:`alternating`.  Both give the same fit.
+    """
     rows = complete(df, [y, *xs])
-    wide, names = dummies(rows, year, "_y")
-    res = fit(wide, y, [*xs, *names], cluster or entity, entity, intercept_df=False)
-    return res.filter(F.col("term").isin(list(xs)))
+    n_years = rows.agg(F.count_distinct(year)).first()[0]
+    if n_years <= most_dummies:
+        wide, names = dummies(rows, year, "_y")
+        res = fit(wide, y, [*xs, *names], cluster or entity, entity, intercept_df=False)
+        return res.filter(F.col("term").isin(list(xs)))
+    own = cluster or entity
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in (y, *xs)], F.col(entity).alias("_e"), F.col(year).alias("_t"), F.col(own).alias("_g"))
+    total = demean(rows, [y], "_e").agg(F.sum(F.col(y) * F.col(y))).first()[0] or 0.0
+    left = alternating(rows, [y, *xs], "_e", "_t")
+    return fit(left, y, xs, "_g", intercept_df=False, absorbed=(n_years - 1, total))
 
 
 def interaction(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -178,47 +214,47 @@ def quadratic_logits(
 ) -> DataFrame:
     """Logit of y on z and z^2 in every cell, all cells at once.
 
-    Newton steps as grouped aggregations: each step sums the 3 x 3 information
-    and score per cell and solves them with closed-form expressions, so a cell
-    of any size is only ever an aggregate.  Sign classes follow the curvature.
+    Newton steps as grouped aggregations: each step sums the 3 x 3 information and the score
+    per cell and solves them with the inverse written as expressions.  A cell of any size is
+    only ever an aggregate, and the table of cells is staged step by step; the driver learns
+    only whether a cell still moves.  Cells without an inverse (fewer than three values of z)
+    have null coefficients and no shape but ``flat``.  Sign classes follow the curvature.
     """
     rows = complete(df.select(*by, F.col(y).cast("double").alias("_y"), F.col(z).cast("double").alias("_z")), ["_y", "_z"])
-    cells = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("rate"))
-    cells = cells.filter((F.col("n") >= min_rows) & F.col("rate").between(0.001, 0.999))
-    found = [tuple(r) for r in cells.collect()]  # one row per cell
-    if not found:
-        schema = rows.select(*by).schema.simpleString()[7:-1].replace(":", " ")
-        return df.sparkSession.createDataFrame([], f"{schema}, n long, b1 double, b2 double, shape string")
-    beta = {c[: len(by)]: np.array([np.log(c[-1] / (1 - c[-1])), 0.0, 0.0]) for c in found}
-    spark = df.sparkSession
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
-    info: dict = {}
-    live = set(beta)
+    cells = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("_rate"))
+    cells = cells.filter((F.col("n") >= min_rows) & F.col("_rate").between(0.001, 0.999))
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    cells = stage(cells.select(
+        *by, "n", F.log(F.col("_rate") / (1 - F.col("_rate"))).alias("_b0"), zero.alias("_b1"), zero.alias("_b2"), none.alias("_v"), F.lit(True).alias("_moves")
+    ), "logit-cells")
+    x = [F.lit(1.0), F.col("_z"), F.col("_z") * F.col("_z")]
+    p = 1 / (1 + F.exp(-(F.col("_b0") + F.col("_b1") * x[1] + F.col("_b2") * x[2])))
     for _ in range(iterations):
-        current = spark.createDataFrame(
-            [(*k, *map(float, beta[k])) for k in live], f"{kinds}, _b0 double, _b1 double, _b2 double"
-        )
-        j = rows.join(current, list(by))  # a row a cell: Spark broadcasts it by its size
-        x = [F.lit(1.0), F.col("_z"), F.col("_z") * F.col("_z")]
-        p = 1 / (1 + F.exp(-(F.col("_b0") + F.col("_b1") * x[1] + F.col("_b2") * x[2])))
+        j = rows.join(cells.filter("_moves"), list(by))  # a row a cell: Spark broadcasts it by its size
         w = p * (1 - p)
-        step = j.groupBy(*by).agg(*_cross(x, w), *[F.sum((F.col("_y") - p) * xi).alias(f"g{i}") for i, xi in enumerate(x)])
-        moved = set()
-        for row in step.collect():
-            key = tuple(row[: len(by)])
-            info[key] = _matrix(row, 3, len(by))
-            delta = np.linalg.pinv(info[key]) @ np.array(row[-3:], dtype=float)
-            beta[key] = beta[key] + delta
-            if np.max(np.abs(delta)) > 1e-8:
-                moved.add(key)
-        live = moved
-        if not live:
+        sums = j.groupBy(*by, "n", "_b0", "_b1", "_b2").agg(
+            *[F.sum(w * x[1] ** i).alias(f"_w{i}") for i in range(5)], *[F.sum((F.col("_y") - p) * xi).alias(f"_g{i}") for i, xi in enumerate(x)]
+        )
+        # the information is a Hankel matrix: entry (i, j) is the sum of w z^(i + j)
+        m, g = [F.col(f"_w{i}") for i in range(5)], [F.col(f"_g{i}") for i in range(3)]
+        cof = {
+            (0, 0): m[2] * m[4] - m[3] * m[3], (0, 1): m[2] * m[3] - m[1] * m[4], (0, 2): m[1] * m[3] - m[2] * m[2],
+            (1, 1): m[0] * m[4] - m[2] * m[2], (1, 2): m[1] * m[2] - m[0] * m[3], (2, 2): m[0] * m[2] - m[1] * m[1],
+        }
+        det = m[0] * cof[0, 0] + m[1] * cof[0, 1] + m[2] * cof[0, 2]
+        inverse = lambda i, j: F.when(F.abs(F.col("_det")) > 1e-12 * m[0] * m[2] * m[4], F.col(f"_c{min(i, j)}{max(i, j)}") / F.col("_det"))
+        solved = sums.select("*", det.alias("_det"), *[c.alias(f"_c{i}{j}") for (i, j), c in cof.items()])
+        delta = [sum((inverse(i, j) * g[j] for j in range(1, 3)), inverse(i, 0) * g[0]).alias(f"_d{i}") for i in range(3)]
+        solved = solved.select(*by, "n", "_b0", "_b1", "_b2", *delta, inverse(2, 2).alias("_v"))
+        far = F.greatest(*[F.abs(F.col(f"_d{i}")) for i in range(3)]) > 1e-8
+        moved = solved.select(
+            *by, "n", *[(F.col(f"_b{i}") + F.col(f"_d{i}")).alias(f"_b{i}") for i in range(3)], "_v", F.coalesce(far, F.lit(False)).alias("_moves")
+        )
+        renewed = stage(moved.unionByName(cells.filter(~F.col("_moves"))), "logit-cells")
+        discard(cells)
+        cells = renewed
+        if cells.filter("_moves").isEmpty():
             break
-    out = []
-    for c in found:
-        key = c[: len(by)]
-        se = np.sqrt(np.diag(np.linalg.pinv(info[key])))
-        t2 = beta[key][2] / se[2] if se[2] > 0 else 0.0
-        shape = "flat" if abs(t2) < 1.96 else ("U" if t2 > 0 else "inverted")
-        out.append((*key, int(c[-2]), float(beta[key][1]), float(beta[key][2]), shape))
-    return spark.createDataFrame(out, f"{kinds}, n long, b1 double, b2 double, shape string")
+    t2 = F.when(F.col("_v") > 0, F.col("_b2") / F.sqrt("_v"))
+    shape = F.when(F.abs(t2) >= 1.96, F.when(t2 > 0, "U").otherwise("inverted")).otherwise("flat")
+    return cells.select(*by, "n", F.col("_b1").alias("b1"), F.col("_b2").alias("b2"), shape.alias("shape"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 import pandas as pd
@@ -105,39 +107,54 @@ def breadth(tr: DataFrame) -> DataFrame:
     )
 
 
+BASS_LOW, BASS_HIGH, BASS_GRID, BASS_ROUNDS = -5.0, (0.0, math.log10(5.0)), 25, 5  # powers of ten of p and q
+
+
 def bass_fits(series: DataFrame, min_years: int = 5, r2_floor: float = 0.7) -> DataFrame:
     """Bass curve per theme and class: (p, q, R2) on the normalised cumulative share.
 
-    A group is one series with a row per year; the two-parameter search runs
-    inside the task on those few numbers.
+    The error of every point of a log-spaced grid of p and q is a fold over the series, which has
+    a value a year; each of five rounds narrows the grid to two steps around the best
+    point, the first one of equally good ones (to twelve digits).
     """
-    import numpy as np
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("year")
-        y = pdf["value"].to_numpy(float).cumsum()
-        empty = pd.DataFrame({"theme": [], "cls": [], "p": [], "q": [], "r2": []})
-        if len(y) < min_years or y[-1] <= 0:
-            return empty
-        y, t = np.clip(y / y[-1], 0, 1), (pdf["year"] - pdf["year"].min()).to_numpy(float)
-        lo, hi = np.array([-5.0, -5.0]), np.array([0.0, np.log10(5.0)])
-        best = (0.0, 0.0, -np.inf)
-        for _ in range(5):  # shrinking log-spaced grid around the best pair
-            gp, gq = (np.linspace(lo[i], hi[i], 25) for i in (0, 1))
-            p, q = (m[..., None] for m in np.meshgrid(10**gp, 10**gq, indexing="ij"))
-            e = np.exp(-(p + q) * t)
-            sse = (((1 - e) / (1 + q / p * e) - y) ** 2).sum(-1)
-            i, j = np.unravel_index(np.argmin(sse), sse.shape)
-            r2 = 1 - sse[i, j] / (((y - y.mean()) ** 2).sum() + 1e-12)
-            best = (10 ** gp[i], 10 ** gq[j], r2)
-            step = (hi - lo) / 12
-            mid = np.array([gp[i], gq[j]])
-            lo, hi = np.maximum(mid - step, [-5, -5]), np.minimum(mid + step, [0, np.log10(5)])
-        if best[2] < r2_floor:
-            return empty
-        return pd.DataFrame([{"theme": pdf["theme"].iloc[0], "cls": pdf["cls"].iloc[0], "p": best[0], "q": best[1], "r2": best[2]}])
-
-    return series.groupBy("theme", "cls").applyInPandas(one, "theme int, cls string, p double, q double, r2 double")
+    upto = Window.partitionBy("theme", "cls").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.select("theme", "cls", "year", F.sum(F.col("value").cast("double")).over(upto).alias("_c"))
+    s = rows.groupBy("theme", "cls").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("year").cast("double").alias("year"), F.col("_c").alias("c")))).alias("_s")
+    )
+    s = s.filter((F.size("_s") >= min_years) & (F.element_at("_s", -1)["c"] > 0))
+    point = lambda x: F.struct(
+        (x["year"] - F.col("_s")[0]["year"]).alias("t"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["c"] / F.element_at("_s", -1)["c"])).alias("y")
+    )
+    s = s.withColumn("_s", F.transform("_s", point))
+    total = lambda f: F.aggregate("_s", F.lit(0.0), lambda a, x: a + f(x))
+    s = s.withColumn("_mean", total(lambda x: x["y"]) / F.size("_s"))
+    s = s.withColumn("_ss", total(lambda x: (x["y"] - F.col("_mean")) * (x["y"] - F.col("_mean"))) + 1e-12)
+    s = s.select("*", *[F.lit(BASS_LOW).alias(f"_lo{i}") for i in (0, 1)], *[F.lit(BASS_HIGH[i]).alias(f"_hi{i}") for i in (0, 1)])
+    steps = F.sequence(F.lit(0), F.lit(BASS_GRID - 1))
+    for _ in range(BASS_ROUNDS):
+        grid = s.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+        at = [F.col(f"_lo{n}") + F.col(c) * ((F.col(f"_hi{n}") - F.col(f"_lo{n}")) / (BASS_GRID - 1)) for n, c in ((0, "_i"), (1, "_j"))]
+        grid = grid.select("*", at[0].alias("_gp"), at[1].alias("_gq")).select("*", F.pow(F.lit(10.0), "_gp").alias("_p"), F.pow(F.lit(10.0), "_gq").alias("_q"))
+
+        def miss(x):
+            e = F.exp(-(F.col("_p") + F.col("_q")) * x["t"])
+            m = (1 - e) / (1 + F.col("_q") / F.col("_p") * e) - x["y"]
+            return m * m
+
+        grid = grid.withColumn("_sse", total(miss))
+        key = F.struct(F.round("_sse", 12).alias("e"), "_i", "_j")
+        keep = ["_s", "_mean", "_ss", "_lo0", "_lo1", "_hi0", "_hi1"]
+        best = grid.groupBy("theme", "cls").agg(F.min_by(F.struct(*keep, "_gp", "_gq", "_p", "_q", "_sse"), key).alias("_b")).select("theme", "cls", "_b.*")
+        half = [(F.col(f"_hi{n}") - F.col(f"_lo{n}")) / 12 for n in (0, 1)]
+        s = best.select(
+            "theme", "cls", "_s", "_mean", "_ss", "_p", "_q", "_sse",
+            *[F.greatest(F.col(g) - half[n], F.lit(BASS_LOW)).alias(f"_lo{n}") for n, g in ((0, "_gp"), (1, "_gq"))],
+            *[F.least(F.col(g) + half[n], F.lit(BASS_HIGH[n])).alias(f"_hi{n}") for n, g in ((0, "_gp"), (1, "_gq"))],
+        )
+        last, s = s, s.drop("_p", "_q", "_sse")
+    fits = last.select("theme", "cls", F.col("_p").alias("p"), F.col("_q").alias("q"), (1 - F.col("_sse") / F.col("_ss")).alias("r2"))
+    return fits.filter(F.col("r2") >= r2_floor)
 
 
 def entrant_shares(carriers: DataFrame, first_years: DataFrame, k: int = 50) -> DataFrame:

@@ -149,13 +149,14 @@ def logit_out(df):
 def reg_logit_quadratic(spark, d):
     f = ranking.with_stats(frame(spark, d), [], m=F.avg("lead"), sd=F.stddev_samp("lead"))
     f = b.stage(f.withColumn("z", (F.col("lead") - F.col("m")) / F.col("sd")), "z")
-    out = None
-    for by in (["cls"], ["year"], ["cls", "year"]):
-        q = regression.quadratic_logits(f, "hit", "z", by, 30)
-        cell = F.concat_ws(" ", *[F.col(c).cast("string") for c in by])
-        q = q.select(F.lit(" x ".join(by)).alias("split"), cell.alias("cell"), "n", r("b1", 4).alias("b1"), r("b2", 4).alias("b2"), "shape")
-        out = q if out is None else out.unionByName(q)
-    return out
+    # the cells of all splits move together
+    cells = [
+        F.struct(F.lit(" x ".join(by)).alias("split"), F.concat_ws(" ", *[F.col(c).cast("string") for c in by]).alias("cell"))
+        for by in (["cls"], ["year"], ["cls", "year"])
+    ]
+    rows = f.select("hit", "z", F.explode(F.array(*cells)).alias("_s")).select("hit", "z", "_s.split", "_s.cell")
+    q = regression.quadratic_logits(rows, "hit", "z", ["split", "cell"], 30)
+    return q.select("split", "cell", "n", r("b1", 4).alias("b1"), r("b2", 4).alias("b2"), "shape")
 
 
 _LEADS = {"lead": {"lead": "lead"}, "kl_past+kl_future": {"kl_past": "kl_past", "kl_future": "kl_future"}}

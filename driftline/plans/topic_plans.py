@@ -265,7 +265,26 @@ def theme_breadth_flow(spark, d):
     return rounded(themes.breadth(themes.transit(pan(spark, d), 0.3)), "mean_lag")
 
 
-@query("theme_bass_fit")
+def bass_sql(series: str) -> str:
+    """The search of :func:`themes.bass_fits` as five narrowing grids, one step a round."""
+    n = themes.BASS_GRID - 1
+    steps = [f"""WITH c AS (SELECT theme, cls, CAST(year - min(year) OVER (PARTITION BY theme, cls) AS DOUBLE) AS t,
+        sum(value) OVER (PARTITION BY theme, cls ORDER BY year) AS c, sum(value) OVER (PARTITION BY theme, cls) AS last, count(*) OVER (PARTITION BY theme, cls) AS n FROM ({series})),
+    y AS (SELECT theme, cls, t, greatest(0, least(1, c / last)) AS y FROM c WHERE n >= 5 AND last > 0),
+    g AS (SELECT i, j FROM range({n + 1}) a(i), range({n + 1}) b(j)),
+    r0 AS (SELECT theme, cls, {themes.BASS_LOW}::DOUBLE AS lp, {themes.BASS_LOW}::DOUBLE AS lq, {themes.BASS_HIGH[0]}::DOUBLE AS hp, {themes.BASS_HIGH[1]!r}::DOUBLE AS hq FROM y GROUP BY 1, 2)"""]
+    for k in range(themes.BASS_ROUNDS):
+        steps.append(f"""e{k} AS (SELECT theme, cls, i, j, lp + i * ((hp - lp) / {n}) AS gp, lq + j * ((hq - lq) / {n}) AS gq, (hp - lp) / 12 AS sp, (hq - lq) / 12 AS sq FROM r{k}, g),
+    p{k} AS (SELECT theme, cls, i, j, gp, gq, sp, sq, sum(pow((1 - exp(-(pow(10, gp) + pow(10, gq)) * t)) / (1 + pow(10, gq) / pow(10, gp) * exp(-(pow(10, gp) + pow(10, gq)) * t)) - y, 2)) AS sse
+        FROM e{k} JOIN y USING (theme, cls) GROUP BY ALL),
+    r{k + 1} AS (SELECT theme, cls, gp, gq, sse, greatest(gp - sp, {themes.BASS_LOW}) AS lp, greatest(gq - sq, {themes.BASS_LOW}) AS lq, least(gp + sp, {themes.BASS_HIGH[0]}) AS hp, least(gq + sq, {themes.BASS_HIGH[1]!r}) AS hq
+        FROM p{k} QUALIFY row_number() OVER (PARTITION BY theme, cls ORDER BY round(sse, 12), i, j) = 1)""")
+    last = f"""SELECT CAST(theme AS INTEGER) AS theme, cls, {R('p', 4)} AS p, {R('q', 4)} AS q, {R('r2', 4)} AS r2 FROM (SELECT theme, cls, pow(10, gp) AS p, pow(10, gq) AS q, 1 - sse / (ss + 1e-12) AS r2
+        FROM r{themes.BASS_ROUNDS} JOIN (SELECT theme, cls, var_pop(y) * count(*) AS ss FROM y GROUP BY 1, 2) USING (theme, cls)) WHERE r2 >= 0.7"""
+    return ",\n    ".join(steps) + "\n    " + last
+
+
+@query("theme_bass_fit", bass_sql("SELECT theme, cls, year, share_tau AS value FROM v_panel"))
 def theme_bass_fit(spark, d):
     s = pan(spark, d).select("theme", "cls", "year", F.col("share_tau").alias("value"))
     return rounded(themes.bass_fits(s), "p", "q", "r2", digits=4)

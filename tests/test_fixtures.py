@@ -178,6 +178,59 @@ def test_cell_logits_match_the_glm(spark):
     assert cell["b1"] == pytest.approx(glm["z"], abs=1e-4) and cell["b2"] == pytest.approx(glm["z2"], abs=1e-4)
 
 
+def test_cell_logits_of_odd_cells(spark):
+    rng = np.random.default_rng(6)
+    rows = [("few", float(i % 2), float(i % 2 == i % 3)) for i in range(200)]  # two values of z: no curvature
+    rows += [("one-sided", float(i), 1.0) for i in range(200)]  # not between the rates
+    rows += [(c, float(z), float(rng.random() < 1 / (1 + np.exp(-(b * z * z - 1))))) for c, b in (("u", 1.0), ("n", -1.0)) for z in rng.normal(size=900)]
+    got = {r.g: r for r in regression.quadratic_logits(spark.createDataFrame(rows, "g string, z double, y double"), "y", "z", ["g"]).collect()}
+    assert set(got) == {"few", "u", "n"} and (got["u"]["shape"], got["n"]["shape"], got["few"]["shape"]) == ("U", "inverted", "flat")
+    assert got["few"].b2 is None and got["u"].b2 == pytest.approx(1.0, abs=0.6)
+
+
+def test_alternating_projections_equal_dummies(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for e in range(60):
+        for t in rng.choice(25, int(rng.integers(2, 9)), replace=False):
+            x = rng.normal() + 0.1 * e + 0.05 * t
+            rows.append((e, int(t), float(x), float(rng.normal()), float(0.7 * x + 0.3 * e - 0.2 * t + rng.normal())))
+    df = spark.createDataFrame(rows, "e int, t int, x double, v double, y double")
+    a, b = ({r.term: r for r in regression.two_way(df, "y", ["x", "v"], "e", "t", most_dummies=m).collect()} for m in (100, 0))
+    assert a.keys() == b.keys() == {"x", "v"}
+    for term in a:
+        for c in ("b", "se", "t", "r2"):
+            assert a[term][c] == pytest.approx(b[term][c], rel=1e-8, abs=1e-8)
+        assert (a[term].n, a[term].n_clusters) == (b[term].n, b[term].n_clusters)
+
+
+def test_bass_recovers_planted_curves(spark):
+    rows = []
+    for k, (p, q) in enumerate([(0.01, 0.4), (0.05, 0.6), (0.2, 0.1)]):
+        t = np.arange(26)
+        e = np.exp(-(p + q) * t)
+        curve = (1 - e) / (1 + q / p * e)
+        rows += [(k, "c", 2000 + int(i), float(v)) for i, v in zip(t, np.diff(curve, prepend=0.0))]
+    rows += [(8, "c", 2000 + i, 0.0) for i in range(9)] + [(9, "c", 2000 + i, 1.0) for i in range(3)]
+    got = {r.theme: r for r in themes.bass_fits(spark.createDataFrame(rows, "theme int, cls string, year int, value double")).collect()}
+    assert set(got) == {0, 1, 2} and all(r.r2 > 0.99 for r in got.values())
+    for k, (p, q) in enumerate([(0.01, 0.4), (0.05, 0.6)]):
+        assert got[k].p == pytest.approx(p, rel=0.15) and got[k].q == pytest.approx(q, rel=0.15)
+
+
+def test_kernel_surface_against_all_cells(spark):
+    rng = np.random.default_rng(7)
+    cells = [(int(i), int(j), int(c), float(rng.integers(0, c + 1))) for i in range(12) for j in range(12) if (c := rng.integers(0, 5))]
+    df = spark.createDataFrame(cells, "ix int, iy int, c long, s double")
+    rows = inference.kernel_surfaces(df, [0.7, 1.5], 12).collect()
+    for r in rows:
+        m = int(5 * r.sigma + 0.5)
+        near = [(np.exp(-((i - r.ix) ** 2 + (j - r.iy) ** 2) / (2 * r.sigma**2)), c, s) for i, j, c, s in cells if abs(i - r.ix) <= m and abs(j - r.iy) <= m]
+        k, y, k2 = (sum(f(*x) for x in near) for f in (lambda w, c, s: w * c, lambda w, c, s: w * s, lambda w, c, s: w * w * c))
+        assert r.rate == pytest.approx(y / k, rel=1e-9, abs=1e-12) and r.n_eff == pytest.approx(k * k / k2, rel=1e-9)
+    assert len(rows) == 2 * 144
+
+
 def test_rolling_windows_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows, day = [], np.datetime64("2000-01-01")
