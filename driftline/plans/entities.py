@@ -66,6 +66,15 @@ def crosswalk_unmatched(spark, d):
     return entities.unmatched(o, entities.crosswalk(o, lookup(spark, d))).select("name", "n_filings")
 
 
+@query("crosswalk_fuzzy")
+def crosswalk_fuzzy(spark, d):
+    """Nearest lookup names of the unmatched owners; buckets are hashes, so no SQL gives them."""
+    o, names = owners(spark, d), lookup(spark, d)
+    rest = entities.unmatched(o, entities.crosswalk(o, names))
+    near = entities.nearest_names(entities.fuzzy_candidates(rest, names))
+    return rest.select("name", "norm", "n_filings").join(near, "norm").select("name", "norm", "near", "edits", "rank")
+
+
 @query(
     "match_rate_by_formality",
     f"""SELECT regexp_matches(upper(name), '{SUFFIX_SQL}') AS formal, count(*) AS n_owners, {R('avg(CAST(name IN (SELECT name FROM v_xwalk) AS DOUBLE))')} AS match_rate

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftline.functions import names, text as tx
 from driftline.functions.scalars import correlation, parse_compact_date, wilson_bounds
 from driftline.operators import (
-    aggregates, binning, inference, outcomes, ranking, regression, similarity, surprise, themes, topics, vocabulary,
+    aggregates, binning, entities, inference, outcomes, ranking, regression, similarity, surprise, themes, topics, vocabulary,
 )
 from driftline.sources import files
 
@@ -304,3 +304,31 @@ def test_bootstrap_interval(spark):
     half = 1.96 * y.std() / math.sqrt(len(y))
     assert r["lo"] < r["mean"] < r["hi"] and r["hi"] - r["lo"] == pytest.approx(2 * half, rel=0.35)
     assert again["lo"] == pytest.approx(r["lo"]) and again["hi"] == pytest.approx(r["hi"])
+
+
+def test_fuzzy_names_against_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZ ")
+    known = sorted({"".join(rng.choice(letters, int(rng.integers(8, 24)))).strip() for _ in range(300)} | {"IBM", "ACME HOLDINGS", "ACME HOLDING"})
+
+    def misspelt(n):
+        i = int(rng.integers(1, len(n) - 1))
+        return [n[:i] + n[i + 1 :], n[:i] + "Q" + n[i:], n[:i] + "Z" + n[i + 1 :], n[:i] + n[i + 1] + n[i] + n[i + 2 :]][int(rng.integers(0, 4))]
+
+    asked = sorted({misspelt(n) for n in known[::2]} | {"NOTHING LIKE IT AT ALL", "", "IBN"})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(a, b): e for a in asked for b in known if a and a != b and (e := edits(a, b)) <= max(1, int(max(len(a), len(b)) * 0.15))}
+    a, b = (spark.createDataFrame([(n,) for n in ns], "norm string") for ns in (asked, known))
+    for cell_rows in (1_000, 1):
+        got = {(r.norm, r.near): r.edits for r in entities.fuzzy_candidates(a, b, cell_rows=cell_rows).collect()}
+        assert got.items() <= want.items() and len(got) >= 0.97 * len(want)
+    best = entities.nearest_names(entities.fuzzy_candidates(a, b), 1).collect()
+    assert len(best) == len({k for k, _ in got})
