@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+def names_apart(columns: list[str], needed: set[str] = frozenset()) -> dict[str, str]:
+    """A name for each column that no operator uses within, so that columns of any name ride along;
+    ``needed`` columns keep theirs."""
+    return {c: c if c in needed else f"~{i}" for i, c in enumerate(columns)}
+
+
 def append_columns(
     df: DataFrame,
     inputs: list[str],

@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.staging import stage
+from .batches import names_apart
 
 BUCKETS = 4096
 BROADCAST_LEAVES = 20_000
@@ -127,7 +128,8 @@ def mix(
     made = {**levels, "n_tokens": word_tokens() if tokens is None else tokens}
     clash = {*made, "epoch", "tokens_taken"}
     kept = [c for c in docs.columns if c not in clash]
-    full = docs.select(*[docs[f"`{c}`"] for c in kept], *[e.alias(n) for n, e in made.items()])
+    apart = names_apart(kept, {"doc_id"})
+    full = docs.select(*[docs[f"`{c}`"].alias(a) for c, a in apart.items()], *[e.alias(n) for n, e in made.items()])
     light = stage(full.select("doc_id", *names, "n_tokens"), "mix-tokens")
 
     leaves = light.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
@@ -176,5 +178,5 @@ def mix(
     return (
         rows.withColumn("epoch", F.explode(chosen))
         .withColumn("tokens_taken", F.when(cut_here, F.least("n_tokens", "_cut")).otherwise(F.col("n_tokens")))
-        .select(*kept, *names, "epoch", "n_tokens", "tokens_taken")
+        .select(*[F.col(f"`{a}`").alias(c) for c, a in apart.items()], *names, "epoch", "n_tokens", "tokens_taken")
     )

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..sources.staging import stage
-from .batches import append_columns
+from .batches import append_columns, names_apart
 
 END_OF_TEXT = 2
 ROWS_A_SLICE = 2_000
@@ -95,8 +95,10 @@ def pieces(docs: DataFrame, capacity: int = 1024, path: str | None = None, keep:
         return run
 
     kept = [c for c in (docs.columns if keep is None else keep) if c not in {"piece", "start", "length", "ids"}]
-    rows = append_columns(docs, ["text"], [("_pieces", PIECES)], make, kept)
-    return rows.select(*[rows[f"`{c}`"] for c in kept], F.inline("_pieces"))
+    apart = names_apart(kept)
+    rows = docs.select(*[docs[f"`{c}`"].alias(a) for c, a in apart.items()], docs["text"])
+    rows = append_columns(rows, ["text"], [("_pieces", PIECES)], make, list(apart.values()))
+    return rows.select(*[rows[f"`{a}`"].alias(c) for c, a in apart.items()], F.inline("_pieces"))
 
 
 # ------------------------------------------------------------------ the program
@@ -239,14 +241,15 @@ def pack(cut_pieces: DataFrame, capacity: int = 1024, tie: list[str] | None = No
     them are alike, so that a recomputed task places the same rows.
     """
     columns = [c for c in cut_pieces.columns if c not in ("sequence_id", "offset")]
-    rows = stage(cut_pieces.select(*columns), "pack-pieces")
+    apart = names_apart(columns, {"length"})
+    rows = stage(cut_pieces.select(*[cut_pieces[f"`{c}`"].alias(a) for c, a in apart.items()]), "pack-pieces")
     counted = rows.groupBy(F.col("length").cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()
     histogram = {r.length: r.n for r in counted}  # at most one entry a token of capacity
     found = rows.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
     slices = min(MOST_SLICES, -(-max(histogram.values(), default=1) // ROWS_A_SLICE))
 
     # the rank of a row among those of its length: within its slice, plus the slices before
-    tie = tie or [c for c in columns if c != "length"]
+    tie = [f"`{apart[c]}`" for c in tie or [c for c in columns if c != "length"]]
     rows = rows.withColumn("_slice", F.pmod(F.xxhash64(*tie), F.lit(slices)).cast("int"))
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("n")).select(
@@ -262,7 +265,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 1024, tie: list[str] | None = No
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     out = ranked.withColumn("_place", place(F.col("length").cast("long"), F.col("_rank")))
-    return out.select(*columns, "_place.sequence_id", "_place.offset")
+    return out.select(*[out[f"`{a}`"].alias(c) for c, a in apart.items()], "_place.sequence_id", "_place.offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, path: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..sources.staging import stage
-from .batches import append_columns
+from .batches import append_columns, names_apart
 
 COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?/][^>]*>?", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -278,9 +278,10 @@ def main_text(
 
         return run
 
-    keyed = pages.select(*[pages[f"`{c}`"] for c in kept], host_of().alias("_host"), F.col("html").alias("_html"))
+    apart = names_apart(kept)
+    keyed = pages.select(*[pages[f"`{c}`"].alias(a) for c, a in apart.items()], host_of().alias("_host"), F.col("html").alias("_html"))
     fields = [("_blocks", BLOCKS), ("_content", T.LongType()), ("_page", T.LongType())]
-    parsed = stage(append_columns(keyed, ["_html"], fields, make, [*kept, "_host"]), "pages-blocks")
+    parsed = stage(append_columns(keyed, ["_html"], fields, make, [*apart.values(), "_host"]), "pages-blocks")
     light = parsed.select(F.col("_host").alias("host"), F.col("_content").alias("content"), F.col("_blocks").alias("blocks"), "_page")
     found = templates(light, min_contents, min_share, min_share_article)
     # the template subtrees on each distinct page, found by (host, subtree) and never by host alone
@@ -298,7 +299,7 @@ def main_text(
     rows = parsed.join(on_page, (parsed["_host"] == on_page["_on"]) & (parsed["_page"] == on_page["_of"]), "left")
     left = F.filter("_blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("_gone")), F.lit(False)))
     return rows.withColumn("_left", left).select(
-        *[rows[f"`{c}`"] for c in kept], F.col("_host").alias("host"),
+        *[rows[f"`{a}`"].alias(c) for c, a in apart.items()], F.col("_host").alias("host"),
         F.array_join(F.transform("_left", lambda b: b["text"]), " ").alias("text"),
         (F.size("_blocks") - F.size("_left")).alias("n_removed"),
     )

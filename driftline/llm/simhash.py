@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..sources.staging import stage
-from .batches import append_columns
+from .batches import append_columns, names_apart
 from .components import components
 
 WIDTH = 64
@@ -199,6 +199,8 @@ def representatives(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     Rows that repeat a key are decided together, and of exact repeats one stays.  Of a group
     without any key, one row of each distinct content stays.
     """
+    apart = names_apart(docs.columns, {"doc_id", "text"})
+    docs = docs.select(*[docs[f"`{c}`"].alias(a) for c, a in apart.items()])
     light = groups(docs, radius, words)
     kept = (
         light.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -208,4 +210,5 @@ def representatives(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_key"]))
     once = rows.filter("_rows = 1 AND _key IS NOT NULL").drop("_key", "_rows")
     again = rows.filter("_rows > 1 OR _key IS NULL").drop("_key", "_rows").dropDuplicates()
-    return once.unionByName(again)
+    out = once.unionByName(again)
+    return out.select(*[out[f"`{a}`"].alias(c) for c, a in apart.items()])

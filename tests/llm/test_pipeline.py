@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from driftline.llm import pages
 from driftline.llm import packing, secrets
 
 from .test_packing import check_packed, slow_ids
@@ -92,3 +93,32 @@ def test_odd_rows_and_clashing_columns(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, DIR)
     assert empty.count() == 0
+
+
+# names that the operators give to columns of their own
+INNER = [
+    "_rows", "_key", "_host", "_html", "_blocks", "_content", "_page", "_gone", "_on", "_of", "_left", "epochs", "left", "_bucket", "_end", "_before", "_upto", "_last", "_cut", "t",
+    "budget", "tokens", "epoch", "_slice", "_n", "_first", "_rank", "_place", "_pieces", "piece", "start", "length", "ids", "sequence_id", "offset", "fingerprint", "component_id",
+    "lang_pred", "score", "bits_per_byte", "secrets", "domain", "n_tokens", "tokens_taken", "_own_epoch", "~epoch", "~0", "host", "n_removed", "subtree", "around", "content",
+]
+
+
+def test_columns_named_like_inner_ones_ride_along(spark):
+    good = "the cat and the dog went to the house of the man and "
+    rows = [(i, good * (2 + i % 3) + f"w{i} x{i * 7} y{i * 3} z{i}", "en", f"src{i % 20}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in INNER])
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DIR)
+        assert docs.columns == ["doc_id", "text", "lang", "source", *INNER], name
+        got = docs.select(*[F.col(f"`{c}`") for c in INNER]).distinct().collect()
+        assert [tuple(r) for r in got] == [tuple(f"own {c}" for c in INNER)], name
+    replaced = {"piece", "start", "length", "ids", "sequence_id", "offset"}
+    packed = pipeline.packing.pack_documents(docs)
+    assert packed.columns == [c for c in docs.columns if c not in replaced | {"text"} or c == "text"] + ["piece", "start", "length", "ids", "sequence_id", "offset"]
+    assert {r[0] for r in packed.select("_first").distinct().collect()} == {"own _first"}
+    site = spark.createDataFrame([(i, f"http://a.org/{i}", f"<nav>menu</nav><p>text number {i} of the page</p>") for i in range(6)], "page_id long, url string, html string")
+    site = site.select("*", *[F.lit(f"own {c}").alias(c) for c in INNER])
+    found = pages.main_text(site)
+    assert found.columns == [c for c in site.columns if c not in ("host", "n_removed")] + ["host", "text", "n_removed"]
+    assert found.count() == 6 and {r[0] for r in found.select("_left").distinct().collect()} == {"own _left"}
