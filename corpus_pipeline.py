@@ -33,7 +33,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def _beside(docs: DataFrame, names: set[str], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply an operator that adds ``names``, keeping columns of ``docs`` that are called so."""
-    aside = {c: f"_own_{c}" for c in docs.columns if c in names}
+    aside = {}
+    for c in docs.columns:
+        if c in names:
+            aside[c] = f"~{c}"
+            while aside[c] in docs.columns:
+                aside[c] = f"~{aside[c]}"
     out = operator(docs.withColumnsRenamed(aside))
     return out.select(*[out[f"`{aside.get(c, c)}`"].alias(c) for c in docs.columns])
 
