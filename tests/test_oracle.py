@@ -16,7 +16,7 @@ KEYS = (
     "agg_hhi_topn agg_corr_spearman win_ordinal_bin win_autocorr bin_quantile_curve bin_2d_grid newterms "
     "crosswalk_exact funding_match returns_panel reg_fe_lpm_cluster eb_shrink theme_panel src_xml_records "
     "stream_term_counts src_tsv_zip_financials src_tsv_zip_offerings reg_ols reg_twoway_fe reg_logit_outcomes "
-    "name_is_entity score_summary"
+    "name_is_entity score_summary theme_bass_fit kernel_surface_bandwidth src_xml_events"
 ).split()
 
 
