@@ -42,7 +42,7 @@ def _grams(data: np.ndarray, n: int) -> np.ndarray:
     return code
 
 
-def train(samples: dict[str, list[bytes]], order: int = 4, min_count: int = 8) -> ContextModel | None:
+def train(samples: dict[str, list[bytes]], order: int = 4, min_count: int = 4) -> ContextModel | None:
     """Count contexts of up to ``order`` bytes (kept from ``min_count`` occurrences in
     some language) and compile them.  None if there is no training byte."""
     languages = sorted(k for k, v in samples.items() if any(v))
@@ -150,21 +150,23 @@ def code_lengths(model: ContextModel, texts: list[bytes], segment: int = 512, la
 
 def training_sample(docs: DataFrame, usable: Column, per_language: int, max_chars: int) -> dict[str, list[bytes]]:
     """At most ``per_language`` labelled rows of each language, the first by a hash of
-    their key, at most ``max_chars`` of each.  Languages are counted first, so that a hash
-    threshold lets through a few times the wanted rows, however many a language has."""
+    their key, with their whole texts; they stop before ``max_chars`` characters a language.
+    Texts longer than that alone come last, so one is taken only if its language has no
+    other.  Languages are counted first, so that a hash threshold lets through a few times
+    the wanted rows, however many a language has."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string")).alias("_order")
     )
-    # a row a label; the model has a column for each label, so their number is small by design
-    sizes = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_of")))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))
     place = F.pmod(F.col("_order"), F.lit(1 << 30)) / float(1 << 30)
-    w = Window.partitionBy("lang").orderBy("_order", "text")
+    w = Window.partitionBy("lang").orderBy(F.length("text") > max_chars, "_order", "text")
     rows = (
         rows.join(sizes, "lang")
         .filter(place * F.col("_of") <= 4 * per_language)
-        .withColumn("text", F.substring("text", 1, max_chars))
         .withColumn("_n", F.row_number().over(w))
         .filter(F.col("_n") <= per_language)
+        .withColumn("_chars", F.sum(F.length("text").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter((F.col("_chars") <= max_chars) | (F.col("_n") == 1))
         .select("lang", "text")
     )
     samples: dict[str, list[bytes]] = {}
@@ -181,16 +183,16 @@ def held_out(key: str = "doc_id", folds: int = 5) -> Column:
 def identify(
     docs: DataFrame,
     per_language: int = 400,
-    max_chars: int = 20_000,
+    max_chars: int = 8_000_000,
     order: int = 4,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Adds ``lang_pred``, ``score`` (the posterior of ``lang_pred`` among the learned
     languages, equal priors) and ``bits_per_byte`` (its code length).
 
-    Trained on a bounded sample (``per_language`` rows, ``max_chars`` of each) of the
-    rows outside the held-out fold with a key, a text and a ``lang``.  Whole texts are
-    scored.  A null text, a text without a letter, or a corpus without training rows
+    Trained on the whole texts of a bounded sample (``per_language`` rows and ``max_chars``
+    characters a language) of the rows outside the held-out fold with a key, a text and a
+    ``lang``.  Whole texts are scored, very long ones in segments of a fixed size.  A null text, a text without a letter, or a corpus without training rows
     gives ``und``, score 0 and null bits.  Ties go to the smaller language name.
     Repeated rows are scored alike; columns named like the new ones are replaced.
     """

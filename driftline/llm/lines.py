@@ -149,11 +149,13 @@ def log_likelihood(field: LineField, x: np.ndarray, y: np.ndarray, live: np.ndar
     return float(gold - z.sum()), np.einsum("dsf,ds->f", x, (y - p) * live), seen - joint.sum((0, 1))
 
 
-def train(texts: Sequence[str], good: Sequence[bool], max_lines: int = 64, steps: int = 150, decay: float = 1e-3) -> LineField | None:
-    """Fit the field to documents labelled as a whole; None without both labels.  Of a
-    training document at most ``max_lines`` lines are used."""
-    seqs = [(line_features(t)[0][:max_lines], 0 if g else 1) for t, g in zip(texts, good, strict=True)]
-    seqs = [(x, y) for x, y in seqs if len(x)]
+def train(texts: Sequence[str], good: Sequence[bool], chain: int = 64, steps: int = 150, decay: float = 1e-3) -> LineField | None:
+    """Fit the field to documents labelled as a whole; None without both labels.  All lines
+    are used; a document of more than ``chain`` lines gives several sequences."""
+    seqs = []
+    for t, g in zip(texts, good, strict=True):
+        x = line_features(t)[0]
+        seqs += [(x[i : i + chain], 0 if g else 1) for i in range(0, len(x), chain)]
     if len({y for _, y in seqs}) < 2:
         return None
     flat = np.concatenate([x for x, _ in seqs]).astype(float)
@@ -186,37 +188,50 @@ def train(texts: Sequence[str], good: Sequence[bool], max_lines: int = 64, steps
 # ------------------------------------------------------------------ jobs
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_chars: int) -> list[tuple[str, bool]]:
-    """At most ``per_label`` labelled texts of each quality, the first by a hash of their key.
-    The chosen keys are few by that bound, so they are broadcast to the documents."""
-    w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_chars: int) -> list[tuple[int, str, bool]]:
+    """``(doc_id, text, good)`` of at most ``per_label`` labelled documents of each quality, the
+    first by a hash of their key, with their whole texts; they stop before ``max_chars``
+    characters a quality.
+
+    Only labels of documents with a text count.  A document labelled both ways teaches
+    nothing; of several texts under one key the smallest is taken.  The chosen keys are few by
+    that bound, so they are broadcast to the documents."""
+    told = (
+        labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+        .groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_low"), F.max("quality").alias("_high"))
+        .filter("_low = _high").select("_id", F.col("_low").alias("quality"))
+    )
+    texts = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), "text")
+    sizes = texts.groupBy("_id").agg(F.max(F.length("text")).cast("long").alias("_size"))
+    w = Window.partitionBy("quality").orderBy(F.col("_size") > max_chars, F.xxhash64("_id"), "_id")
     chosen = (
-        labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-        .withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_label).select(F.col("doc_id").alias("_id"), "quality")
+        told.join(sizes, "_id").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_label)
+        .withColumn("_chars", F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter((F.col("_chars") <= max_chars) | (F.col("_n") == 1)).select("_id", "quality")
     )
-    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = rows.select("_id", "quality", F.substring("text", 1, max_chars).alias("text")).dropDuplicates(["_id"])
-    return [(r.text, r.quality == 1) for r in sorted(rows.collect())]
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "quality").agg(F.min("text").alias("text"))
+    return [(r["_id"], r.text, r.quality == 1) for r in sorted(rows.collect())]
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def assess(
-    docs: DataFrame, labels: DataFrame, per_label: int = 500, max_chars: int = 20_000, min_words: int = 50, max_repeat_percent: int = 50,
+    docs: DataFrame, labels: DataFrame, per_label: int = 500, max_chars: int = 4_000_000, min_words: int = 50, max_repeat_percent: int = 50,
     min_share: float = 0.5, keep: list[str] | None = None,
 ) -> DataFrame:
     """Adds the base counts, ``base_failed``, ``content_share`` and ``kept``.
 
-    ``labels(doc_id, quality)`` trains the field on at most ``per_label`` documents of each
-    quality and ``max_chars`` of each; without both qualities every line is content.
+    ``labels(doc_id, quality)`` trains the field on the whole texts of at most ``per_label``
+    documents and ``max_chars`` characters of each quality; without both qualities every line
+    is content.  Conflicting labels of a document are left out, repeated ones count once.
     ``content_share`` is the share of words in content lines, null without a word; a
     document stays if it passes the base rules and the share is at least ``min_share``.  Null
-    and empty texts count nothing and fail.  Repeated rows are judged alike; columns named
+    and empty texts count nothing and fail; very long ones are read whole.  Repeated rows are judged alike; columns named
     like the new ones are replaced; an empty table gives an empty result.
     """
     sample = labelled_sample(docs, labels, per_label, max_chars)
-    field = train([t for t, _ in sample], [g for _, g in sample])
+    field = train([t for _, t, _ in sample], [g for *_, g in sample])
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def make():

@@ -92,3 +92,27 @@ def test_held_out_accuracy(spark):
         .agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a")).first()
     )
     assert row.a >= 0.97
+
+
+def test_sample_takes_whole_texts_within_its_bounds(spark):
+    rows = [(i, f"{i:03d} " + "ab" * 48, "x") for i in range(60)] + [(100, "y" * 5000, "y"), (101, "w" * 5000, "z"), (102, "v", "z")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    every = F.lit(True)
+    got = language.training_sample(frame, every, 20, 1000)
+    assert len(got["x"]) == 10 and all(len(t) == 100 for t in got["x"])  # 100 characters each, 1000 in all
+    assert got["y"] == [b"y" * 5000] and got["z"] == [b"v"]  # too long alone: only for want of another
+    assert len(language.training_sample(frame, every, 20, 10_000)["x"]) == 20
+    mixed = frame.orderBy(F.rand(3)).repartition(5)
+    assert language.training_sample(mixed, every, 20, 1000) == got
+
+
+def test_held_out_accuracy_of_a_rare_language(spark):
+    """One language keeps 20 labels, the others all of theirs."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rare = docs.filter(~language.held_out()).groupBy("lang").count().orderBy("count", "lang").first().lang
+    few = [r.doc_id for r in docs.filter(~language.held_out() & (F.col("lang") == rare)).orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary"))).limit(20).collect()]
+    told = docs.withColumn("told", F.when((F.col("lang") != rare) | F.col("doc_id").isin(few), F.col("lang")))
+    found = language.identify(told.withColumnRenamed("lang", "truth").withColumnRenamed("told", "lang"), keep=["doc_id", "truth"])
+    row = found.filter(language.held_out() & (F.col("truth") == rare)).agg(F.avg((F.col("truth") == F.col("lang_pred")).cast("double")).alias("a"), F.count("*").alias("n")).first()
+    print("rare language:", rare, row.n, row.a)
+    assert row.a >= 0.97

@@ -100,3 +100,35 @@ def test_query_keeps_clean_documents(spark, size):
     kept = [(r.quality, rows[r.doc_id].kept) for r in labels if not rows[r.doc_id].base_failed]
     rate = lambda q: np.mean([k for x, k in kept if x == q])
     assert rate(1) >= 0.99 and rate(0) <= 0.05
+
+
+def test_sample_is_whole_and_defined(spark):
+    docs = [(i, f"line {i}\n" * (i + 1)) for i in range(12)] + [(3, "a smaller text"), (20, None), (None, "no key"), (21, "x" * 5000)]
+    labels = [(i, i % 2) for i in range(12)] + [(4, 1), (5, 1), (20, 0), (None, 0), (99, 0), (21, 0)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = lines.labelled_sample(d, q, 50, 2000)
+    text = {k: min(t for x, t in docs if x == k) for k in range(12)}
+    # 4 is labelled both ways, 20 has no text, 21 is longer than all may be together
+    assert got == [(k, text[k], k % 2 == 1) for k in range(12) if k != 4]
+    assert lines.labelled_sample(d.orderBy("text").repartition(4), q.repartition(3), 50, 2000) == got
+    assert [sum(g == x for *_, g in lines.labelled_sample(d, q, 3, 2000)) for x in (True, False)] == [3, 3]
+
+
+def test_the_end_of_a_long_document_is_learned():
+    good, bad = "A plain sentence of several words stands here.\n", "BUY NOW!! ### $$$ CLICK!!\n"
+    texts = [good * 200, good * 80 + "".join(bad for _ in range(120))]
+    field = lines.train(texts * 5, [True, False] * 5)
+    found = field.decode(lines.line_features(texts[1])[0])
+    assert found[:80].sum() == 0 and found[-100:].all()
+
+
+def test_held_out_verdicts(spark):
+    """The field learns from 250 documents a quality; the others are judged."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    seen = {k for k, *_ in lines.labelled_sample(docs, labels, 250, 4_000_000)}
+    judged = {r.doc_id: r for r in lines.assess(docs, labels, per_label=250, keep=["doc_id"]).collect()}
+    rest = [(r.quality, judged[r.doc_id].kept) for r in labels.collect() if r.doc_id not in seen and not judged[r.doc_id].base_failed]
+    rate = lambda q: np.mean([k for x, k in rest if x == q])
+    print("held out:", len(rest), rate(1), sum(q == 0 for q, _ in rest), rate(0))
+    assert len(rest) > 1000 and rate(1) >= 0.99 and rate(0) <= 0.05
