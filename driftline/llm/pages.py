@@ -1,10 +1,13 @@
-"""Main text of web pages: structure first, then removal of each site's own template.
-
-A tolerant reader splits a page into text blocks and drops what its markup declares to
-be something else than the article.  Every block knows the hashes of the element
-subtrees it lies in.  Spark counts each subtree over the pages of its host, one count
-for each distinct content, and blocks inside a subtree that recurs on many pages of the
-host go.  The pages are parsed once; counting and removal are native.
+"""Main text of web pages by removal of each site's own template.
+
+A tolerant reader splits a page into text blocks and hashes every element subtree that
+covers blocks: once with its words, and once blind to them (tags, labels, repeats folded),
+so that a menu or box whose words change still recurs.  Spark counts each hash over the
+pages of its host, one count for each distinct content, and the blocks of subtrees that
+recur on many pages of the host go.  Blind hashes count only outside the marked article,
+on pages without one only for lists of links, so they never touch running text.  Of what
+is left, blocks go that the page itself declares to be something else (``nav``, ``footer``,
+``class=ad``): all there is to go by where a host has a single page.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import html
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -37,10 +41,10 @@ CLOSES_P = frozenset(
     "main menu nav ol p pre section table ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OTHER_PARTS = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe map menu nav noscript object script select style "
-    "svg template textarea title video".split()
+SILENT = frozenset(
+    "audio button canvas datalist head iframe map noscript object script select style svg template textarea title video".split()
 )
+OTHER_PARTS = frozenset("aside dialog footer form menu nav".split())
 OTHER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 # An article inside one of these is still an article ...
 LAYOUT_WORDS = frozenset(
@@ -53,6 +57,8 @@ ASIDE_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts comment comments disqus promo promoted promotion recommended related "
     "respond share sharing social sponsor sponsored".split()
 )
+# A name counts by its last word, or by any word if it ends in one of these: "share-bar", not "search-result".
+HOLDER_WORDS = frozenset("area bar block box buttons container holder item items links list panel section slot unit wrap wrapper".split())
 NOT_A_PART = re.compile(r"^(?:has|with|no|without|is|not)[-_]", re.I)
 SCOPE = frozenset("table td th caption button object".split())
 REPLACES = {
@@ -62,7 +68,10 @@ REPLACES = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "option": (frozenset(["option"]), frozenset(["select"])),
 }
 FRAMES = frozenset("html body article main".split())
-DEEPEST = 64  # ancestors of a block that are looked up as templates
+RUNNING = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split())
+# kinds of subtree hashes
+EXACT, EXACT_IN_ARTICLE, BLIND, BLIND_LINKS = range(4)
+SALTS = (0, 0x5BD1E995, 0x9E3779B9, 0xC2B2AE35)
 
 
 @dataclass(slots=True)
@@ -73,8 +82,43 @@ class Element:
     drop: str  # "" (kept), "layout", "header" or "other"
     article: bool
     main: bool
+    silent: bool
+    path: int
+    first: int  # blocks and links of the page before it
+    links: int
     parts: list = field(default_factory=list)
+    shape: list = field(default_factory=list)
     digest: int = 0
+    blind: int = 0
+
+
+@dataclass(slots=True)
+class Page:
+    """Blocks in page order and the hashed subtrees over them; block ``i`` lies in a node if
+    ``start <= i < stop``."""
+
+    texts: list[str]
+    taken: list[bool]  # in the marked article (if one holds most of the text) and not declared to be another part
+    nodes: list[tuple[int, int, int, int]]  # hash, kind, start, stop
+    content: int  # hash of most of the blocks taken (the longer ones; of two the longer one), links left out
+
+    def without(self, gone) -> tuple[str, int]:
+        return left_of(self.texts, self.taken, [(a, b) for key, _, a, b in self.nodes if key in gone])
+
+
+def left_of(texts: list[str], taken: list[bool], gone: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text outside the ranges gone, and the number of blocks inside them."""
+    change = [0] * (len(texts) + 1)
+    for a, b in gone:
+        change[a] += 1
+        change[b] -= 1
+    inside, out, removed = 0, [], 0
+    for text, take, step in zip(texts, taken, change, strict=False):
+        inside += step
+        removed += inside > 0
+        if take and not inside:
+            out.append(text)
+    return " ".join(out), removed
 
 
 def _part(tag: str, attributes: dict[str, str], article: bool) -> str:
@@ -86,24 +130,29 @@ def _part(tag: str, attributes: dict[str, str], article: bool) -> str:
     if tag in ("html", "body", "main"):
         return ""
     names = [n for n in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split() if not NOT_A_PART.match(n)]
-    words = {w for n in names for w in re.split(r"[-_]+", n)}
+    words = set()
+    for name in names:
+        *first, last = re.split(r"[-_]+", name)
+        words |= {*first, last} if last in HOLDER_WORDS else {last}
     if words & ASIDE_WORDS:
         return "other"
     return "layout" if tag != "article" and words & LAYOUT_WORDS else ""
 
 
-def read_blocks(page: str) -> tuple[list[tuple[str, list[int], bool]], int]:
-    """``(text, hashes of the subtrees around it, whether in an article)`` of every block of the
-    main text in page order, and a hash of the longest block."""
-    root = Element("#root", None, "", "", False, False)
+def read_page(page: str) -> Page:
+    root = Element("#root", None, "", "", False, False, False, 0, 0, 0)
     top, text, open_, tag_at = root, [], Counter(), TAG
-    blocks: list[tuple[str, Element]] = []
+    blocks: list[tuple[str, Element, int]] = []  # words, innermost element, characters in links
+    closed: list[tuple[Element, int, int]] = []  # element, end of its blocks, its links
+    links = linked = 0
 
     def flush():
+        nonlocal linked
         if text:
             if joined := " ".join("".join(text).split()):
-                blocks.append((joined, top))
+                blocks.append((joined, top, linked))
             text.clear()
+        linked = 0
 
     def close(until: Element):
         """Close all elements above ``until`` and itself."""
@@ -113,8 +162,13 @@ def read_blocks(page: str) -> tuple[list[tuple[str, list[int], bool]], int]:
             e.digest = xxhash.xxh64_intdigest("\0".join([e.tag, e.label, *map(str, e.parts)]))
             top = e.parent
             open_[e.tag] -= 1
+            e.blind = xxhash.xxh64_intdigest("\0".join([e.tag, e.label, *map(str, e.shape)]))
             if e.parts or e.tag not in INLINE:
                 top.parts.append(e.digest)
+                if top.shape[-1:] != [e.blind]:
+                    top.shape.append(e.blind)
+            if e.tag not in INLINE and e.tag not in FRAMES and e.first < len(blocks):
+                closed.append((e, len(blocks), links - e.links))
             if e is until:
                 return
 
@@ -135,11 +189,16 @@ def read_blocks(page: str) -> tuple[list[tuple[str, list[int], bool]], int]:
         return e if e.tag == tag else None
 
     def add(raw: str):
+        nonlocal linked
         raw = html.unescape(raw) if "&" in raw else raw
-        if not top.drop:
+        if not top.silent:
             text.append(raw)
             if words := " ".join(raw.split()):
                 top.parts.append(words)
+                if top.shape[-1:] != [0]:
+                    top.shape.append(0)
+                if open_["a"]:
+                    linked += len(words)
 
     at, end = 0, len(page)
     while at < end:
@@ -197,37 +256,68 @@ def read_blocks(page: str) -> tuple[list[tuple[str, list[int], bool]], int]:
         article = top.article or tag == "article"
         drop = drop or _part(tag, attributes, article)
         label = re.sub(r"\d+", "0", f"{attributes.get('class', '')} {attributes.get('id', '')}") if attributes else ""
-        top = Element(tag, top, label, drop, article and not drop or top.article, top.main or is_main)
+        silent = top.silent or tag in SILENT or tag in INLINE and bool(drop) and not top.drop
+        path = xxhash.xxh64_intdigest(f"{top.path}\0{tag}\0{label}")
+        links += tag == "a"
+        top = Element(
+            tag, top, label, drop, article and not drop or top.article, top.main or is_main, silent, path, len(blocks), links - (tag == "a")
+        )
         open_[tag] += 1
         if m[3].endswith("/") and tag in ("svg", "path"):
             close(top)
     flush()
     while top is not root:
         close(top)
+    return _measured(blocks, closed)
+
+
+def _measured(blocks: list[tuple[str, Element, int]], closed: list[tuple[Element, int, int]]) -> Page:
+    """Choose the blocks to take and the subtree hashes to count."""
+    sizes = [len(t) for t, *_ in blocks]
+    chars = list(accumulate(sizes, initial=0))
+    in_links = list(accumulate((n for *_, n in blocks), initial=0))
+    undeclared = [not e.drop for _, e, _ in blocks]
+    free = sum(n for n, u in zip(sizes, undeclared, strict=True) if u)
+    for e, stop, _ in closed:
+        # a part named like page furniture that holds most of the page's running text is none
+        size = chars[stop] - chars[e.first]
+        if e.drop == "layout" and not e.parent.drop and e.tag != "header" and size > free and 2 * (in_links[stop] - in_links[e.first]) < size:
+            for i in range(e.first, stop):
+                undeclared[i] = undeclared[i] or blocks[i][1].drop == "layout"
+    free = sum(n for n, u in zip(sizes, undeclared, strict=True) if u)
+    taken, marked = undeclared, False
     for wanted in ("article", "main"):
-        if some := [b for b in blocks if getattr(b[1], wanted)]:
-            blocks = some
+        inside = [u and getattr(e, wanted) for (_, e, _), u in zip(blocks, undeclared, strict=True)]
+        if any(inside) and 2 * sum(n for n, x in zip(sizes, inside, strict=True) if x) >= free:
+            taken, marked = inside, True
             break
-    longest = max((b for b, _ in blocks), key=lambda b: (len(b), b), default="")
-    out = []
-    for words, where in blocks:
-        around, e = [], where
-        while e is not root and len(around) < DEEPEST:
-            if e.tag not in INLINE and e.tag not in FRAMES:
-                # inside an article more is asked of a template, so it counts by itself
-                around.append(_signed(e.digest ^ (0x5BD1E995 if e.article else 0)))
-            e = e.parent
-        out.append((words, around, where.article))
-    return out, _signed(xxhash.xxh64_intdigest(longest))
+    held = list(accumulate(taken, initial=0))
+    nodes, last = [], {}
+    for e, stop, links in closed:
+        start, size = e.first, chars[stop] - chars[e.first]
+        # of subtrees over the same blocks the innermost recurs whenever an outer one does
+        if start < stop and last.get(stop, stop) > start:
+            kind = EXACT_IN_ARTICLE if e.article else EXACT
+            nodes.append((_signed(e.digest ^ SALTS[kind]), kind, start, stop))
+            last[stop] = start
+        if start < stop and e.tag not in RUNNING:
+            if marked and held[start] == held[stop] and not e.article:
+                nodes.append((_signed(e.blind ^ SALTS[BLIND]), BLIND, start, stop))
+            elif not marked and links >= 3 and 2 * (in_links[stop] - in_links[start]) > size:
+                nodes.append((_signed(e.blind ^ e.path ^ SALTS[BLIND_LINKS]), BLIND_LINKS, start, stop))
+    own = [t for (t, _, n), x in zip(blocks, taken, strict=True) if x and 2 * n <= len(t)]
+    key = sorted(own, key=lambda t: (-len(t), t))[: len(own) // 2 + (len(own) != 2)]
+    return Page([t for t, *_ in blocks], taken, nodes, _signed(xxhash.xxh64_intdigest("\0".join(key))))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-BLOCKS = T.ArrayType(
-    T.StructType([T.StructField("text", T.StringType()), T.StructField("around", T.ArrayType(T.LongType())), T.StructField("article", T.BooleanType())])
+NODES = T.ArrayType(
+    T.StructType([T.StructField("key", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
 )
+BROADCAST_TEMPLATES = 200_000
 
 
 def host_of(url: str = "url") -> Column:
@@ -236,70 +326,93 @@ def host_of(url: str = "url") -> Column:
     return F.nullif(host, F.lit(""))
 
 
-def templates(parsed: DataFrame, min_contents: int, min_share: float, min_share_article: float) -> DataFrame:
-    """``(host, subtree)`` of the subtrees that recur: on at least ``min_contents`` distinct
-    contents of the host and this share of them.  Pages with the same longest block
-    count once, so copies of an article do not make it a template."""
-    seen = parsed.filter("host IS NOT NULL").select("host", "content", F.explode("blocks").alias("b"))
+def templates(parsed: DataFrame, min_contents: int, min_share: float, min_share_article: float, many: int) -> DataFrame:
+    """``(host, key)`` of the subtrees that recur: on at least ``min_contents`` distinct
+    contents of the host and a share of them, or outside articles on ``many``.  Pages with the
+    same blocks but for some short ones count once, so near copies of an article do not make it a
+    template, while a long notice on every page does not make their contents one."""
+    seen = parsed.filter("host IS NOT NULL").select("host", "content", F.explode("nodes").alias("n"))
     pages = seen.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     found = (
-        seen.select("host", "content", F.col("b.article").alias("article"), F.explode("b.around").alias("subtree"))
-        .distinct()
-        .groupBy("host", "subtree")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("article").alias("article"))
-        .filter(F.col("n") >= min_contents)
+        seen.select("host", "content", F.col("n.kind").alias("kind"), F.col("n.key").alias("key")).distinct()
+        .groupBy("host", "key", "kind").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_contents)
     )
-    share = F.when(F.col("article"), min_share_article).otherwise(min_share)
-    return found.join(pages, "host").filter(F.col("n") >= share * F.col("of")).select("host", "subtree")
+    strict = F.col("kind").isin(EXACT_IN_ARTICLE, BLIND_LINKS)
+    enough = (F.col("n") >= F.when(strict, min_share_article).otherwise(min_share) * F.col("of")) | (~strict & (F.col("n") >= many))
+    return found.join(pages, "host").filter(enough).select("host", "key").distinct()
 
 
 def main_text(
-    pages: DataFrame, min_contents: int = 4, min_share: float = 0.3, min_share_article: float = 0.6, keep: list[str] | None = None,
+    pages: DataFrame, min_contents: int = 4, min_share: float = 0.3, min_share_article: float = 0.6, many: int = 1000,
+    keep: list[str] | None = None, broadcast_templates: int = BROADCAST_TEMPLATES,
 ) -> DataFrame:
     """Adds ``host``, ``text`` (the blocks joined by one space, empty if none) and ``n_removed``
     (blocks removed as site template).
 
     A null or empty page has an empty text.  Pages without a host are not compared with any
-    other.  If a page marks articles (else a main part), only their blocks are taken.
-    Repeated rows repeat; an empty table gives an empty result; columns named like the new
-    ones are replaced.
+    other.  If marked articles (else a main part) hold at least half of the text, only their
+    blocks are taken.  Pages of any length and depth are read whole.  Repeated rows repeat; an
+    empty table gives an empty result; columns named like the new ones are replaced.
+    Up to ``broadcast_templates`` templates are sent to the tasks; more are joined to the
+    pages, with the same result.
     """
     kept = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "text", "n_removed")]
 
     def make():
         def run(sources):
-            blocks, content, page = [], [], []
-            for s in sources:
-                found, longest = read_blocks(s or "")
-                blocks.append([{"text": t, "around": a, "article": x} for t, a, x in found])
-                content.append(longest)
-                page.append(_signed(xxhash.xxh64_intdigest(s or "")))
-            return {"_blocks": blocks, "_content": content, "_page": page}
+            read = [read_page(s or "") for s in sources]
+            return {
+                "_texts": [p.texts for p in read], "_taken": [p.taken for p in read], "_content": [p.content for p in read],
+                "_nodes": [[dict(zip(("key", "kind", "start", "stop"), n, strict=True)) for n in p.nodes] for p in read],
+                "_page": [_signed(xxhash.xxh64_intdigest(s or "")) for s in sources],
+            }
 
         return run
 
     apart = names_apart(kept)
     keyed = pages.select(*[pages[f"`{c}`"].alias(a) for c, a in apart.items()], host_of().alias("_host"), F.col("html").alias("_html"))
-    fields = [("_blocks", BLOCKS), ("_content", T.LongType()), ("_page", T.LongType())]
+    fields = [
+        ("_texts", T.ArrayType(T.StringType())), ("_taken", T.ArrayType(T.BooleanType())), ("_content", T.LongType()), ("_nodes", NODES),
+        ("_page", T.LongType()),
+    ]
     parsed = stage(append_columns(keyed, ["_html"], fields, make, [*apart.values(), "_host"]), "pages-blocks")
-    light = parsed.select(F.col("_host").alias("host"), F.col("_content").alias("content"), F.col("_blocks").alias("blocks"), "_page")
-    found = templates(light, min_contents, min_share, min_share_article)
-    # the template subtrees on each distinct page, found by (host, subtree) and never by host alone
-    on_page = (
-        light.filter("host IS NOT NULL")
-        .select("host", "_page", F.explode("blocks.around").alias("around"))
-        .select("host", "_page", F.explode("around").alias("subtree"))
-        .distinct()
-        .join(found, ["host", "subtree"])
-        .groupBy("host", "_page").agg(F.collect_set("subtree").alias("_gone"))
-        .withColumnRenamed("host", "_on").withColumnRenamed("_page", "_of")
-    )
-    # a written table has a known size: Spark broadcasts it if it is small, and the texts stay put
-    on_page = stage(on_page, "pages-templates")
-    rows = parsed.join(on_page, (parsed["_host"] == on_page["_on"]) & (parsed["_page"] == on_page["_of"]), "left")
-    left = F.filter("_blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("_gone")), F.lit(False)))
-    return rows.withColumn("_left", left).select(
-        *[rows[f"`{a}`"].alias(c) for c, a in apart.items()], F.col("_host").alias("host"),
-        F.array_join(F.transform("_left", lambda b: b["text"]), " ").alias("text"),
-        (F.size("_blocks") - F.size("_left")).alias("n_removed"),
+    light = parsed.select(F.col("_host").alias("host"), F.col("_content").alias("content"), F.col("_nodes").alias("nodes"), "_page")
+    found = stage(templates(light, min_contents, min_share, min_share_article, many), "pages-templates")
+    known = None
+    if found.limit(broadcast_templates + 1).count() <= broadcast_templates:
+        sets: dict[str, set[int]] = {}
+        for host, key in found.collect():
+            sets.setdefault(host, set()).add(key)
+        known = pages.sparkSession.sparkContext.broadcast(sets)
+        rows = parsed.withColumn("_gone", F.lit(None).cast("array<bigint>"))
+    else:
+        # the templates on each distinct page, found by (host, key) and never by host alone
+        on_page = (
+            light.filter("host IS NOT NULL").select("host", "_page", F.explode("nodes.key").alias("key")).distinct()
+            .join(found, ["host", "key"]).groupBy("host", "_page").agg(F.collect_set("key").alias("_gone"))
+            .withColumnRenamed("host", "_on").withColumnRenamed("_page", "_of")
+        )
+        rows = parsed.join(on_page, (parsed["_host"] == on_page["_on"]) & (parsed["_page"] == on_page["_of"]), "left")
+
+    def remove():
+        table = known.value if known else {}
+
+        def run(texts, taken, nodes, hosts, gone):
+            out = {"_text": [], "_removed": []}
+            for t, x, n, h, g in zip(texts, taken, nodes, hosts, gone, strict=True):
+                keys = table.get(h, ()) if known else frozenset(g or ())
+                text, removed = left_of(t, x, [(i["start"], i["stop"]) for i in n if i["key"] in keys])
+                out["_text"].append(text)
+                out["_removed"].append(removed)
+            return out
+
+        return run
+
+    done = append_columns(
+        rows, ["_texts", "_taken", "_nodes", "_host", "_gone"], [("_text", T.StringType()), ("_removed", T.IntegerType())], remove,
+        [*apart.values(), "_host"],
+    )
+    return done.select(
+        *[done[f"`{a}`"].alias(c) for c, a in apart.items()], F.col("_host").alias("host"), F.col("_text").alias("text"),
+        F.col("_removed").alias("n_removed"),
     )

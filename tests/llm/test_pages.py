@@ -10,7 +10,7 @@ SCHEMA = "page_id long, url string, html string"
 
 
 def text_of(page):
-    return " ".join(t for t, *_ in pages.read_blocks(page)[0])
+    return pages.read_page(page).without(())[0]
 
 
 CASES = [
@@ -30,6 +30,12 @@ CASES = [
     ("<noscript>on</noscript><textarea>t</textarea><p>q<!-- unclosed", "q"),
     ("<div role='navigation'>m</div><div role=main>m2</div>", "m2"),
     ("<p><b>bold<p>next</b> on</p>", "bold next on"),
+    ('<div class="post search-result"><p>found</p></div>', "found"),
+    ('<div class="social-history"><p>of a town</p></div>', "of a town"),
+    ('<p class="notice-period">three months</p>', "three months"),
+    ("<div class=notice><p>The notice itself is what this page is about, at length.</p></div><p>see it</p>", "The notice itself is what this page is about, at length. see it"),
+    ("<div id=content><p>The story of the page stands here and is far longer than the teaser.</p></div><article>Read on</article>", "The story of the page stands here and is far longer than the teaser. Read on"),
+    ("<div>" * 300 + "deep" + "</div>" * 300, "deep"),
 ]
 
 
@@ -40,7 +46,7 @@ def test_structure(page, want):
 
 def test_hostile_pages_take_linear_time():
     for page in ("<div>" * 30_000 + "x", "<b>" + "<div>" * 20_000 + "</b>" * 20_000, "<" * 100_000, "<a '" * 30_000 + ">", "<a '" * 30_000, "<!--" * 30_000, "<b>" * 20_000 + "</b>" * 20_000, "<p" * 50_000, "&" * 100_000, "<script>" * 20_000):
-        pages.read_blocks(page)
+        pages.read_page(page)
 
 
 def site():
@@ -61,31 +67,66 @@ def site():
     return rows
 
 
-def slow_texts(rows, min_contents=4, min_share=0.3, min_share_article=0.6):
-    parsed = [(re.sub(r"^\w+://(?:[^/]*@)?([^/:]+).*", r"\1", u).lower(), *pages.read_blocks(h)) for _, u, h in rows]
+def slow_texts(rows, min_contents=4, min_share=0.3, min_share_article=0.6, many=1000):
+    parsed = [(re.sub(r"^\w+://(?:[^/]*@)?([^/:]+).*", r"\1", u).lower(), pages.read_page(h)) for _, u, h in rows]
     contents, seen = defaultdict(set), defaultdict(set)
-    for host, blocks, key in parsed:
-        if blocks:
-            contents[host].add(key)
-        for _, around, article in blocks:
-            for a in around:
-                seen[host, a, article].add(key)
+    for host, page in parsed:
+        if page.nodes:
+            contents[host].add(page.content)
+        for key, kind, *_ in page.nodes:
+            seen[host, key, kind].add(page.content)
     out = []
-    for host, blocks, _ in parsed:
-        gone = lambda a, x: len(seen[host, a, x]) >= max(min_contents, (min_share_article if x else min_share) * len(contents[host]))  # noqa: B023,E731
-        out.append(" ".join(t for t, around, x in blocks if not any(gone(a, x) for a in around)))
+    for host, page in parsed:
+        gone = set()
+        for i in range(len(page.texts)):
+            for key, kind, start, stop in page.nodes:
+                n, strict = len(seen[host, key, kind]), kind in (pages.EXACT_IN_ARTICLE, pages.BLIND_LINKS)
+                share = (min_share_article if strict else min_share) * len(contents[host])
+                if start <= i < stop and n >= min_contents and (n >= share or not strict and n >= many):
+                    gone.add(i)
+        out.append((" ".join(t for i, (t, x) in enumerate(zip(page.texts, page.taken)) if x and i not in gone), len(gone)))
     return out
 
 
 def test_templates_go_and_articles_stay(spark):
     rows = site()
-    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert [got[k] for k, *_ in rows] == slow_texts(rows)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = {r.page_id: (r.text, r.n_removed) for r in pages.main_text(frame).collect()}
+    assert [found[k] for k, *_ in rows] == slow_texts(rows)
+    assert {r.page_id: (r.text, r.n_removed) for r in pages.main_text(frame, broadcast_templates=0).collect()} == found
+    got = {k: t for k, (t, _) in found.items()}
     assert got[1] == "Story number 1 is told here at some length, as no other page of the site tells it."
     assert got[0].endswith("A passage that some stories quote.") and got[35] == "The same article at many addresses."
     assert got[71] == "Text 1 of the article, longer than what surrounds it on its page. Quoted by half."
 
 
+def test_recurrence_decides(spark):
+    """Boxes whose words change, site texts longer than the articles, a section's sidebar."""
+    legal = "<div><p>" + "All that is said here is said without any warranty of any kind. " * 6 + "</p></div>"
+    link = lambda i, j: f"<li><a href=/{i}/{j}>word{i * 7 + j}</a></li>"
+    rows = []
+    for i in range(40):
+        menu = "<div class=top><ul>" + "".join(link(i, j) for j in range(3 + i % 4)) + "</ul></div>"
+        side = "<div class=col><p>Only this section has the box.</p></div>" if i % 8 == 0 else ""
+        rows.append((i, "http://long.example/x", f"<body>{menu}<div class=body><p>Short story {i}.</p><p>It ends {i}.</p></div>{side}{legal}"))
+    for i in range(40, 52):
+        box = f"<div class=offer><b>Offer {i}</b> of today</div>"
+        refs = "<ul>" + "".join(link(i, j) for j in range(4)) + "</ul>"
+        rows.append((i, "http://art.example/y", f"{box}<article><p>Article {i} says this.</p>{refs}</article>"))
+    got = {r.page_id: r for r in pages.main_text(spark.createDataFrame(rows, SCHEMA), many=5).collect()}
+    assert [(got[k].text, got[k].n_removed) for k, *_ in rows] == slow_texts(rows, many=5)
+    for i in range(40):
+        assert got[i].text == f"Short story {i}. It ends {i}." and got[i].n_removed >= 4
+    for i in range(40, 52):
+        assert got[i].text == f"Article {i} says this. " + " ".join(f"word{i * 7 + j}" for j in range(4)) and got[i].n_removed == 1
+
+
+def test_menus_and_boxes_of_the_table_go_by_recurrence(spark):
+    found = pages.main_text(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), keep=["page_id"])
+    removed = [r.n_removed for r in found.select("n_removed").collect()]
+    assert sum(n > 0 for n in removed) > 0.5 * len(removed)
+
+
 def test_edge_cases(spark):
     rows = [(1, None, None, "a"), (1, None, None, "a"), (None, "x", "", "b"), (3, "http://h/", "<p>é</p>", "c"), (4, "", "<p>" + "w " * 300_000, "d")]
     frame = spark.createDataFrame(rows, SCHEMA + ", text string")
