@@ -149,28 +149,26 @@ def code_lengths(model: ContextModel, texts: list[bytes], segment: int = 512, la
 
 
 def training_sample(docs: DataFrame, usable: Column, per_language: int, max_chars: int) -> dict[str, list[bytes]]:
-    """At most ``per_language`` labelled rows of each language, the first by a hash of
+    """At most ``per_language`` labelled documents of each language, the first by a hash of
     their key, with their whole texts; they stop before ``max_chars`` characters a language.
     Texts longer than that alone come last, so one is taken only if its language has no
-    other.  Languages are counted first, so that a hash threshold lets through a few times
-    the wanted rows, however many a language has."""
+    other; of several texts under one key the smallest is taken.  Keys are chosen without
+    their texts; the chosen ones are few by that bound, so they are broadcast to the documents."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string")).alias("_order")
     )
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))
-    place = F.pmod(F.col("_order"), F.lit(1 << 30)) / float(1 << 30)
-    w = Window.partitionBy("lang").orderBy(F.length("text") > max_chars, "_order", "text")
-    rows = (
-        rows.join(sizes, "lang")
-        .filter(place * F.col("_of") <= 4 * per_language)
-        .withColumn("_n", F.row_number().over(w))
+    sizes = rows.groupBy("lang", "_order").agg(F.max(F.length("text")).cast("long").alias("_size"))
+    w = Window.partitionBy("lang").orderBy(F.col("_size") > max_chars, "_order")
+    chosen = (
+        sizes.withColumn("_n", F.row_number().over(w))
         .filter(F.col("_n") <= per_language)
-        .withColumn("_chars", F.sum(F.length("text").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_chars", F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .filter((F.col("_chars") <= max_chars) | (F.col("_n") == 1))
-        .select("lang", "text")
+        .select("lang", "_order")
     )
+    rows = rows.join(F.broadcast(chosen), ["lang", "_order"]).groupBy("lang", "_order").agg(F.min("text").alias("text"))
     samples: dict[str, list[bytes]] = {}
-    for lang, text in sorted(map(tuple, rows.collect())):
+    for lang, text in sorted((r.lang, r.text) for r in rows.collect()):
         samples.setdefault(lang, []).append(text.encode())
     return samples
 
