@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.staging import stage
+
 
 def names_apart(columns: list[str], needed: set[str] = frozenset()) -> dict[str, str]:
     """A name for each column that no operator uses within, so that columns of any name ride along;
@@ -15,6 +17,15 @@ def names_apart(columns: list[str], needed: set[str] = frozenset()) -> dict[str,
     return {c: c if c in needed else f"~{i}" for i, c in enumerate(columns)}
 
 
+def thinned(keys: DataFrame, group: str, order: str, wanted: int) -> DataFrame:
+    """The keys of each group with the smallest hashes ``order``: about four times ``wanted``,
+    all of a smaller group, so that what is ranked afterwards does not grow with the table.
+    The counts are written, so Spark knows their size and broadcasts them only if they are small."""
+    counts = stage(keys.groupBy(group).agg(F.count(F.lit(1)).alias("_of")), "group-counts")
+    place = F.pmod(F.col(order), F.lit(1 << 30)) / float(1 << 30)
+    return keys.join(counts, group).filter(place * F.col("_of") <= 4 * wanted).drop("_of")
+
+
 def append_columns(
     df: DataFrame,
     inputs: list[str],

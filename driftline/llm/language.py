@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .batches import append_columns
+from .batches import append_columns, thinned
 
 UNDETERMINED = "und"
 ROOT = 0
@@ -160,7 +160,8 @@ def training_sample(docs: DataFrame, usable: Column, per_language: int, max_char
     sizes = rows.groupBy("lang", "_order").agg(F.max(F.length("text")).cast("long").alias("_size"))
     w = Window.partitionBy("lang").orderBy(F.col("_size") > max_chars, "_order")
     chosen = (
-        sizes.withColumn("_n", F.row_number().over(w))
+        thinned(sizes, "lang", "_order", per_language)
+        .withColumn("_n", F.row_number().over(w))
         .filter(F.col("_n") <= per_language)
         .withColumn("_chars", F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .filter((F.col("_chars") <= max_chars) | (F.col("_n") == 1))

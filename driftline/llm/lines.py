@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .batches import append_columns
+from .batches import append_columns, thinned
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -203,9 +203,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_char
     )
     texts = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), "text")
     sizes = texts.groupBy("_id").agg(F.max(F.length("text")).cast("long").alias("_size"))
-    w = Window.partitionBy("quality").orderBy(F.col("_size") > max_chars, F.xxhash64("_id"), "_id")
+    w = Window.partitionBy("quality").orderBy(F.col("_size") > max_chars, "_hash", "_id")
     chosen = (
-        told.join(sizes, "_id").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_label)
+        thinned(told.join(sizes, "_id").withColumn("_hash", F.xxhash64("_id")), "quality", "_hash", per_label)
+        .withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_label)
         .withColumn("_chars", F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .filter((F.col("_chars") <= max_chars) | (F.col("_n") == 1)).select("_id", "quality")
     )
