@@ -253,7 +253,8 @@ def test_rolling_windows_against_brute_force(spark):
             assert got[i]["kl_past"] is None
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("cell_rows", [1_000, 3])
+def test_neighbours_against_brute_force(spark, cell_rows):
     rng = np.random.default_rng(4)
     base = [rng.integers(0, 30, 6) for _ in range(12)]
     rows, good = [], []
@@ -264,7 +265,7 @@ def test_neighbours_against_brute_force(spark):
         good.append((i, bool(i % 2)))
     w = spark.createDataFrame(rows, "doc_id long, cls string, year int, term string, weight double")
     g = spark.createDataFrame(good, "doc_id long, good boolean")
-    got = {r["doc_id"]: (r["n_near"], r["n_near_good"]) for r in similarity.band_neighbours(w, g, 0.7).collect()}
+    got = {r["doc_id"]: (r["n_near"], r["n_near_good"]) for r in similarity.band_neighbours(w, g, 0.7, cell_rows=cell_rows).collect()}
     vec = {i: {r[3]: r[4] for r in rows if r[0] == i} for i in range(60)}
     for i in vec:
         near = [j for j in vec if j != i and -2 <= (2000 + j % 9) - (2000 + i % 9) <= 5
@@ -272,6 +273,38 @@ def test_neighbours_against_brute_force(spark):
         assert got[i] == (len(near), sum(j % 2 for j in near))
 
 
+def test_band_candidates_keep_true_pairs_and_years_apart(spark):
+    rng = np.random.default_rng(9)
+    rows, years = [], []
+    for i in range(40):
+        words = rng.integers(0, 12, 12) * (rng.random(12) < 0.5)
+        words[i % 12] += 1
+        w = words / np.linalg.norm(words)
+        rows += [("X", i, f"t{j:02d}", float(v)) for j, v in enumerate(w) if v > 0]
+        years += [("X", i, 1990 + int(y)) for y in rng.integers(0, 25, 1 + i % 3)]
+    v = spark.createDataFrame(rows, "cls string, rep long, term string, weight double")
+    y = spark.createDataFrame(years, "cls string, rep long, year int").distinct()
+    pairs = similarity.band_candidates(similarity.prefixes(v, 0.7), y, 0.7, 4, cell_rows=5)
+    got = {(r["a"], r["c"]): r["_cos"] for r in similarity.pair_cosines(pairs, v).collect()}
+    vec, when = {i: {} for i in range(40)}, {i: set() for i in range(40)}
+    for _, i, t, w in rows:
+        vec[i][t] = w
+    for _, i, at in years:
+        when[i].add(at)
+    n_true = 0
+    for a in vec:
+        for c in vec:
+            cos = sum(x * vec[c].get(t, 0) for t, x in vec[a].items())
+            apart = min(abs(p - q) for p in when[a] for q in when[c])
+            if a < c and cos >= 0.7 and apart <= 4:
+                n_true += 1
+                assert abs(got[a, c] - cos) < 1e-12
+            if (a, c) in got:
+                assert a < c and abs(got[a, c] - cos) < 1e-12
+    assert n_true > 5 and len(got) < 40 * 39 / 2
+    assert similarity.pair_cosines(pairs.limit(0), v).count() == 0
+
+
 def test_names(spark):
     df = spark.createDataFrame([("The Acme Holdings Corp Ltd.",), ("Smith, John Jr.",), ("Müller, José",)], "n string")
     assert [r[0] for r in df.select(names.strong_key("n")).collect()][0] == "ACME HOLDINGS"
