@@ -11,13 +11,22 @@ one aggregation per document.  No dense vector is ever built.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import DAYS_PER_YEAR, ratio
 
 SIDES = ("past", "future")
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+class Bounds(NamedTuple):
+    """Document frequencies between which a term is in the vocabulary: a count and a share."""
+
+    min_df: int = 5
+    max_df: float = 0.5
 
 
 def with_text(docs: DataFrame) -> DataFrame:
@@ -35,13 +44,14 @@ def vocabulary_size(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("cls").agg(F.count(F.lit(1)).alias("v_size"))
 
 
-def _doc_sums(scored: DataFrame, logs: dict[str, Column], key: str = "doc_id") -> DataFrame:
+def _doc_sums(scored: DataFrame, logs: dict[str, Column], key: str = "doc_id", extra: Sequence[Column] = ()) -> DataFrame:
     cnt = F.col("cnt")
     return scored.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_terms"),
         F.sum("cnt").alias("_t"),
         F.sum(cnt * F.log(cnt)).alias("_self"),
         *[F.sum(cnt * log).alias(f"_{s}") for s, log in logs.items()],
+        *extra,
     )
 
 
@@ -98,6 +108,10 @@ def span_scores(
     refs, totals = window_references(docs, doc_terms, vocab, spans, period)
     logs = {s: F.log(F.col(f"tf_{s}") + alpha) for s in spans}
     sums = _doc_sums(doc_terms.join(refs, ["cls", "term", period]), logs)
+    return _span_columns(docs, sums, totals, spans, period, alpha)
+
+
+def _span_columns(docs: DataFrame, sums: DataFrame, totals: DataFrame, spans, period: str, alpha: float) -> DataFrame:
     out = docs.drop("body").join(sums, "doc_id", "left").join(totals, ["cls", period], "left")
     keep = [c for c in docs.columns if c != "body"]
     scored = F.col("n_terms") > 0
@@ -112,6 +126,70 @@ def span_scores(
     return out.select(*keep, F.coalesce("n_terms", F.lit(0)).alias("n_terms"), tokens, *cols)
 
 
+def vocabulary_rows(n: DataFrame, doc_terms: DataFrame, sums: dict[str, Column], period: str, bounds: Bounds) -> DataFrame:
+    """The rows of ``doc_terms`` whose term is in its class's vocabulary, with more columns: ``sums``,
+    which are windows over :func:`_of_term`, and ``_first``, 1 in one row of each class and term.  ``n`` has
+    the documents ``_n`` of each class (a row a class).
+
+    Document frequencies and references are windows over the rows themselves, so the rows are dealt
+    by term once, sorted once, and joined to nothing but a row a class.  ``doc_terms`` has one row a
+    document and term.  Frames run from the start of a term, so that a frequent term's rows lie
+    in Spark's own buffer, which can spill.
+    """
+    w = _of_term(period)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = doc_terms.withColumn("_h", F.xxhash64("cls", "term")).select(
+        "*", F.count(F.lit(1)).over(whole).alias("_df"), (F.row_number().over(w) == 1).cast("int").alias("_first"),
+        *[c.alias(name) for name, c in sums.items()],
+    )
+    return rows.join(F.broadcast(n), "cls").filter((F.col("_df") >= bounds.min_df) & (F.col("_df") <= F.col("_n") * bounds.max_df)).drop("_h", "_df", "_n")
+
+
+def _class_sizes(docs: DataFrame) -> DataFrame:
+    return docs.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _of_term(*order: str | Column):
+    # the hash comes first: comparing it settles nearly every comparison of the sort
+    return Window.partitionBy("_h", "cls", "term").orderBy(*order)
+
+
+def _span_sums(spans: dict[str, tuple[int, int]], period: str) -> dict[str, Column]:
+    def upto(k: int) -> Column:
+        return F.coalesce(F.sum("cnt").over(_of_term(period).rangeBetween(Window.unboundedPreceding, k)), F.lit(0))
+
+    return {f"tf_{s}": upto(hi) - upto(lo - 1) for s, (lo, hi) in spans.items()}
+
+
+def _span_totals(per: DataFrame, sizes: DataFrame, spans: dict[str, tuple[int, int]], period: str) -> DataFrame:
+    """Totals per (class, period) from documents and term mass per (class, period)."""
+    by_cls = Window.partitionBy("cls").orderBy(period)
+    over = lambda c, sp, out: F.coalesce(F.sum(c).over(by_cls.rangeBetween(*sp)), F.lit(0)).alias(out)
+    return per.join(sizes, "cls", "left").select(
+        "cls", period, "v_size",
+        *[over("n_docs", sp, f"n_{s}") for s, sp in spans.items()], *[over("_m", sp, f"total_{s}") for s, sp in spans.items()],
+    )
+
+
+def corpus_span_scores(
+    docs: DataFrame, doc_terms: DataFrame, stage: Stage, spans: dict[str, tuple[int, int]], period: str = "year", alpha: float = 1.0,
+    bounds: Bounds = Bounds(),
+) -> DataFrame:
+    """:func:`span_scores` with the vocabulary of the documents themselves, in one pass over the terms.
+
+    ``doc_id`` is unique.  A document's sums hold its term mass and how many terms of the vocabulary
+    are counted with it, which is all that the totals need; ``stage`` keeps them, a row a document.
+    """
+    rows = vocabulary_rows(_class_sizes(docs), doc_terms, _span_sums(spans, period), period, bounds)
+    logs = {s: F.log(F.col(f"tf_{s}") + alpha) for s in spans}
+    sums = stage(_doc_sums(rows, logs, extra=[F.sum("_first").alias("_new")]), "term-sums")
+    docs = with_text(docs)
+    seen = docs.select("doc_id", "cls", period).join(sums.select("doc_id", "_t", "_new"), "doc_id", "left")
+    per = seen.groupBy("cls", period).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("_t"), F.lit(0)).alias("_m"))
+    totals = _span_totals(per, seen.groupBy("cls").agg(F.sum("_new").alias("v_size")), spans, period)
+    return _span_columns(docs, sums.drop("_new"), totals, spans, period, alpha)
+
+
 def year_window(
     docs: DataFrame,
     doc_terms: DataFrame,
@@ -133,7 +211,26 @@ def term_contributions(
     refs, totals = window_references(docs, doc_terms, vocab, spans)
     joined = doc_terms.join(refs, ["cls", "term", "year"])
     size = F.sum("cnt").over(Window.partitionBy("doc_id"))
-    joined = joined.withColumn("_p", F.col("cnt") / size).join(totals, ["cls", "year"])
+    return _contributions(joined.withColumn("_p", F.col("cnt") / size).join(totals, ["cls", "year"]), alpha)
+
+
+def corpus_term_contributions(
+    docs: DataFrame, doc_terms: DataFrame, stage: Stage, window: int = 5, alpha: float = 1.0, bounds: Bounds = Bounds()
+) -> DataFrame:
+    """:func:`term_contributions` with the vocabulary of the documents themselves: ``stage`` keeps the
+    rows of the vocabulary with their references, which then go to their documents once."""
+    spans = {"past": (-window, -1), "future": (1, window)}
+    rows = vocabulary_rows(_class_sizes(docs), doc_terms, _span_sums(spans, "year"), "year", bounds)
+    rows = stage(rows.select("doc_id", "cls", "year", "term", "cnt", "tf_past", "tf_future", "_first"), "vocabulary-rows")
+    mass = rows.groupBy("cls", "year").agg(F.sum("cnt").alias("_m"))
+    per = with_text(docs).groupBy("cls", "year").agg(F.count(F.lit(1)).alias("n_docs")).join(mass, ["cls", "year"], "left")
+    totals = _span_totals(per, rows.groupBy("cls").agg(F.sum("_first").alias("v_size")), spans, "year")
+    size = F.sum("cnt").over(Window.partitionBy("doc_id"))
+    rows = rows.drop("_first").join(F.broadcast(totals), ["cls", "year"])  # a row a class and year
+    return _contributions(rows.withColumn("_p", F.col("cnt") / size), alpha)
+
+
+def _contributions(joined: DataFrame, alpha: float) -> DataFrame:
     cols = []
     for s in SIDES:
         q = (F.col(f"tf_{s}") + alpha) / (F.col(f"total_{s}") + alpha * F.col("v_size"))
@@ -144,18 +241,10 @@ def term_contributions(
 
 def top_contributions(parts: DataFrame, k: int = 5, places: int = 9) -> DataFrame:
     """Largest ``k`` contributions per document and side, ties by term."""
-    out = None
-    for s in SIDES:
-        p = F.round(f"part_{s}", places)
-        w = Window.partitionBy("doc_id").orderBy(p.desc(), "term")
-        side = (
-            parts.filter(F.col(f"part_{s}").isNotNull())
-            .withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k)
-            .select("doc_id", F.lit(s).alias("side"), "rank", "term", p.alias("part"))
-        )
-        out = side if out is None else out.unionByName(side)
-    return out
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.round(f"part_{s}", places).alias("part")) for s in SIDES])
+    w = Window.partitionBy("doc_id", "side").orderBy(F.col("part").desc(), "term")
+    rows = parts.select("doc_id", "term", F.inline(sides)).filter(F.col("part").isNotNull())
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("doc_id", "side", "rank", "term", "part")
 
 
 def _decay_sums(
@@ -236,10 +325,17 @@ def decay(
     refs = _with_decay_sums(tf, ["cls", "term"], [(f"tf_{s}", "tf", rates[s], s) for s in SIDES], span)
     refs = refs.select("cls", "term", "day", *[f"tf_{s}" for s in SIDES])
     mass = tf.groupBy("cls", "day").agg(F.sum("tf").alias("_m"))
+    logs = {s: F.log(F.col(f"tf_{s}") + alpha) for s in SIDES}
+    sums = _doc_sums(terms.join(refs, ["cls", "term", "day"]), logs)
+    return _decay_columns(docs, sums, n.join(mass, ["cls", "day"], "left"), vocabulary_size(vocab), origin, rates, span, alpha)
+
+
+def _decay_columns(
+    docs: DataFrame, sums: DataFrame, per: DataFrame, sizes: DataFrame, origin: DataFrame, rates: dict[str, float], span: float, alpha: float
+) -> DataFrame:
     days = (
-        n.join(mass, ["cls", "day"], "left")
-        .join(origin, "cls")
-        .join(vocabulary_size(vocab), "cls", "left")
+        per.join(origin, "cls")
+        .join(sizes, "cls", "left")
         .withColumn("_t_years", (F.col("day") - F.col("_d0")) / F.lit(DAYS_PER_YEAR))
         .withColumn("_m", F.coalesce("_m", F.lit(0)))
     )
@@ -248,8 +344,6 @@ def decay(
         items = [(f"total_{s}", "_m", rates[s], s), (f"w_{s}", "n_docs", rates[s], s), (f"w2_{s}", "n_docs", 2 * rates[s], s)]
         days = _with_decay_sums(days, ["cls"], items, span)
         cols += [f"total_{s}", f"w_{s}", f"w2_{s}"]
-    logs = {s: F.log(F.col(f"tf_{s}") + alpha) for s in SIDES}
-    sums = _doc_sums(terms.join(refs, ["cls", "term", "day"]), logs)
     out = docs.drop("body").join(sums, "doc_id", "left")
     out = out.join(days.select(*cols), ["cls", "day"], "left")
     for s in SIDES:
@@ -264,6 +358,40 @@ def decay(
     )
 
 
+def corpus_decay(
+    docs: DataFrame, doc_terms: DataFrame, stage: Stage, halflives: Sequence[float], alpha: float = 1.0, bounds: Bounds = Bounds()
+) -> list[DataFrame] | None:
+    """:func:`decay` with the vocabulary of the documents themselves, one table a half-life, all
+    in one pass over the terms.  None if the weights over the whole span leave the double range."""
+    sizes_of, docs = _class_sizes(docs), with_text(docs).withColumn("day", F.unix_date("filed"))
+    first, last = docs.agg(F.min("day"), F.max("day")).first()
+    span = (last - first) / DAYS_PER_YEAR if last is not None else 0.0
+    rates = [math.log(2) / h for h in halflives]
+    if max(rates) * span > BLOCK:
+        return None
+    origin = docs.groupBy("cls").agg(F.min("day").alias("_d0"))
+    t = F.col("_t_years")
+    columns, logs = {}, {}
+    for i, rate in enumerate(rates):
+        for s, sign, order in (("past", 1.0, F.col("day")), ("future", -1.0, F.col("day").desc())):
+            before = _of_term(order).rangeBetween(Window.unboundedPreceding, -1)
+            grown = F.sum(F.col("cnt") * F.exp(F.lit(sign * rate) * t)).over(before)
+            columns[f"tf_{s}{i}"] = F.coalesce(grown * F.exp(F.lit(-sign * rate) * t), F.lit(0.0))
+            logs[f"{s}{i}"] = F.log(F.col(f"tf_{s}{i}") + alpha)
+    terms = doc_terms.withColumn("day", F.unix_date("filed")).join(F.broadcast(origin), "cls")  # a row a class
+    terms = terms.withColumn("_t_years", (F.col("day") - F.col("_d0")) / F.lit(DAYS_PER_YEAR)).drop("_d0")
+    rows = vocabulary_rows(sizes_of, terms, columns, "day", bounds)
+    sums = stage(_doc_sums(rows, logs, extra=[F.sum("_first").alias("_new")]), "term-sums")
+    seen = docs.select("doc_id", "cls", "day").join(sums.select("doc_id", "_t", "_new"), "doc_id", "left")
+    per = seen.groupBy("cls", "day").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("_t").alias("_m"))
+    sizes = seen.groupBy("cls").agg(F.sum("_new").alias("v_size"))
+    out = []
+    for i, rate in enumerate(rates):
+        own = sums.select("doc_id", "n_terms", "_t", "_self", *[F.col(f"_{s}{i}").alias(f"_{s}") for s in SIDES])
+        out.append(_decay_columns(docs, own, per, sizes, origin, {s: rate for s in SIDES}, span, alpha))
+    return out
+
+
 def monthly_freshness(
     docs: DataFrame,
     doc_terms: DataFrame,
@@ -277,11 +405,24 @@ def monthly_freshness(
 
     Scored from ``-far[0]`` months after the class's first month on.
     """
-    month = F.year("filed") * 12 + F.month("filed") - 1
-    docs = docs.withColumn("month", month)
-    terms = doc_terms.withColumn("month", month)
-    spans = {"near": near, "far": far}
-    out = span_scores(docs, terms, vocab, spans, "month", alpha)
+    docs, terms, spans = _monthly(docs), _monthly(doc_terms), {"near": near, "far": far}
+    return _freshness(docs, span_scores(docs, terms, vocab, spans, "month", alpha), far, min_tokens)
+
+
+def corpus_monthly_freshness(
+    docs: DataFrame, doc_terms: DataFrame, stage: Stage, near: tuple[int, int] = (-12, -1), far: tuple[int, int] = (-24, -13),
+    alpha: float = 1.0, min_tokens: int = 3, bounds: Bounds = Bounds(),
+) -> DataFrame:
+    """:func:`monthly_freshness` with the vocabulary of the documents themselves."""
+    docs, terms, spans = _monthly(docs), _monthly(doc_terms), {"near": near, "far": far}
+    return _freshness(docs, corpus_span_scores(docs, terms, stage, spans, "month", alpha, bounds), far, min_tokens)
+
+
+def _monthly(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("month", F.year("filed") * 12 + F.month("filed") - 1)
+
+
+def _freshness(docs: DataFrame, out: DataFrame, far: tuple[int, int], min_tokens: int) -> DataFrame:
     first = with_text(docs).groupBy("cls").agg(F.min("month").alias("_first"))
     late = F.col("month") - F.col("_first") >= -far[0]
     out = out.join(first, "cls").filter((F.col("n_tokens") >= min_tokens) & late)
@@ -326,10 +467,11 @@ def borrowed_novelty(
     by_cls = by_cls.select("cls", "year", F.sum("_m").over(frame(["cls"])).alias("total_within"))
     logs = {s: F.log(F.col(f"tf_{s}") + alpha) for s in ("within", "cross")}
     sums = _doc_sums(doc_terms.join(refs, ["cls", "term", "year"]), logs)
-    out = docs.drop("body").join(sums, "doc_id").join(by_cls, ["cls", "year"], "left")
-    out = out.join(by_year, "year", "left").withColumn(
-        "v_size", vocab.agg(F.count(F.lit(1))).scalar()
-    )
+    return _borrowed_columns(docs.drop("body").join(sums, "doc_id"), by_cls, by_year, vocab.agg(F.count(F.lit(1))).scalar(), alpha)
+
+
+def _borrowed_columns(out: DataFrame, by_cls: DataFrame, by_year: DataFrame, size: Column, alpha: float) -> DataFrame:
+    out = out.join(by_cls, ["cls", "year"], "left").join(by_year, "year", "left").withColumn("v_size", size)
     for s in ("within", "cross"):
         total = F.col(f"total_{s}") + alpha * F.col("v_size")
         out = out.withColumn(
@@ -341,6 +483,35 @@ def borrowed_novelty(
     )
 
 
+def corpus_borrowed_novelty(
+    docs: DataFrame, doc_terms: DataFrame, stage: Stage, window: int = 5, alpha: float = 1.0, bounds: Bounds = Bounds()
+) -> DataFrame:
+    """:func:`borrowed_novelty` with the vocabulary of all documents, in one pass over the terms."""
+    n, docs = docs.agg(F.count(F.lit(1)).alias("_n")), with_text(docs)
+
+    def before(*keys: str) -> Column:
+        w = Window.partitionBy("_h", "term", *keys).orderBy("year")
+        upto = lambda k: F.coalesce(F.sum("cnt").over(w.rangeBetween(Window.unboundedPreceding, k)), F.lit(0))
+        return upto(-1) - upto(-window - 1)
+
+    w = Window.partitionBy("_h", "term").orderBy("year")
+    df = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = doc_terms.withColumn("_h", F.xxhash64("term")).select(
+        "*", df.alias("_df"), (F.row_number().over(w) == 1).cast("int").alias("_first"), before().alias("tf_cross")
+    )
+    kept = rows.crossJoin(F.broadcast(n)).filter((F.col("_df") >= bounds.min_df) & (F.col("_df") <= F.col("_n") * bounds.max_df))  # one row
+    kept = kept.withColumn("tf_within", before("cls"))
+    logs = {s: F.log(F.col(f"tf_{s}") + alpha) for s in ("within", "cross")}
+    sums = stage(_doc_sums(kept, logs, extra=[F.sum("_first").alias("_new")]), "term-sums")
+    found = docs.drop("body").join(sums, "doc_id")
+    mass = found.groupBy("cls", "year").agg(F.sum("_t").alias("_m"))
+    frame = lambda *keys: Window.partitionBy(*keys).orderBy("year").rangeBetween(-window, -1)
+    by_cls = mass.select("cls", "year", F.sum("_m").over(frame("cls")).alias("total_within"))
+    # a row a year
+    by_year = mass.groupBy("year").agg(F.sum("_m").alias("_m")).select("year", F.sum("_m").over(frame(F.lit(0))).alias("total_cross"))
+    return _borrowed_columns(found.drop("_new"), by_cls, by_year, sums.agg(F.sum("_new")).scalar(), alpha)
+
+
 def axes(scores: DataFrame, past: str = "kl_past", future: str = "kl_future") -> DataFrame:
     """Level (mean of both sides), lead (past minus future) and its magnitude."""
     p, f = F.col(past), F.col(future)
