@@ -71,3 +71,8 @@ def test_rows_are_dealt_by_term_once(docs):
     )
     plan = rows.select("doc_id", "term", "tf_past")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(term") == 1 and plan.count("SortMergeJoin") == 0
+
+
+def test_a_vocabulary_is_not_dealt_by_class(docs):
+    plan = vocabulary.build_vocabulary(docs, terms_of(docs), 2, 0.4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(term") == 1
