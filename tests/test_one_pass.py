@@ -76,3 +76,13 @@ def test_rows_are_dealt_by_term_once(docs):
 def test_a_vocabulary_is_not_dealt_by_class(docs):
     plan = vocabulary.build_vocabulary(docs, terms_of(docs), 2, 0.4)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(term") == 1
+
+
+def test_fuzzy_pairs_are_not_made_distinct(spark):
+    from driftline.operators import entities
+
+    names = spark.createDataFrame([("acme tools 1",), ("acme tools 2",), ("other thing",)], "norm string")
+    got = entities.fuzzy_candidates(names, names)
+    assert sorted(tuple(r) for r in got.collect()) == [("acme tools 1", "acme tools 2", 1), ("acme tools 2", "acme tools 1", 1)]
+    assert "keys=[norm" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "near#" in plan
+    assert not any("HashAggregate(keys=[norm" in line and "near" in line for line in plan.splitlines())
