@@ -56,21 +56,22 @@ def elements(stream, tag: str) -> Iterator[str]:
     that is cut off by the end of the stream is left out."""
     begin = re.compile(rb"<" + re.escape(tag.encode()) + rb"(?=[\s>/])")
     end = re.compile(rb"</" + re.escape(tag.encode()) + rb"\s*>")
-    longest, held, inside, seen = len(tag) + 64, b"", False, 0
+    longest, held, inside, first, seen = len(tag) + 64, b"", False, 0, 0
     while True:
         m = (end if inside else begin).search(held, seen)
         if m is None:
             chunk = stream.read(CHUNK)
             if not chunk:
                 return
-            # a tag may lie across two chunks
-            seen = max(0, len(held) - longest) if inside else 0
-            held = held + chunk if inside else held[-longest:] + chunk
+            # a tag may lie across two chunks; what is done with goes once a chunk, not once an element
+            seen = max(first, len(held) - longest)
+            first = first if inside else seen
+            held, seen, first = held[first:] + chunk, seen - first, 0
         elif inside:
-            yield held[: m.end()].decode("utf-8", "replace")
-            held, inside, seen = held[m.end() :], False, 0
+            yield held[first : m.end()].decode("utf-8", "replace")
+            inside, first, seen = False, m.end(), m.end()
         else:
-            held, inside, seen = held[m.start() :], True, 0
+            inside, first, seen = True, m.start(), m.start()
 
 
 class MemberReader(DataSourceReader):

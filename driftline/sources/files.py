@@ -59,6 +59,12 @@ CASE_SCHEMA = """
   `description-text`: string, date: string, number: string>>>
 """
 
+# What events need of it: less is built a case.
+EVENT_SCHEMA = """
+`serial-number` string, `case-file-header` struct<`attorney-name`: string>,
+`case-file-event-statements` struct<`case-file-event-statement`: array<struct<code: string, type: string, date: string, number: string>>>
+"""
+
 
 def case_files(spark: SparkSession, path: str) -> DataFrame:
     """Raw case-file elements.  The schema is explicit: inference would turn serial
@@ -92,24 +98,29 @@ def case_records(raw: DataFrame) -> DataFrame:
     )
 
 
-def case_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events, case attributes and the (code, description) pairs of the same files."""
+def case_events(raw: DataFrame) -> DataFrame:
+    """Events with the attorney of their own file: the parts of :data:`EVENT_SCHEMA` are enough."""
     ev = raw.select(
-        F.col("serial-number").alias("serial"),
+        F.col("serial-number").alias("serial"), F.col("case-file-header.attorney-name").alias("attorney_name"),
         F.explode("case-file-event-statements.case-file-event-statement").alias("e"),
     ).filter(F.length("e.code") > 0)
     number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0))
-    events = ev.select(
+    return ev.select(
         "serial", "e.code", F.coalesce("e.type", F.lit("")).alias("etype"),
-        number("e.date").alias("date"), number("e.number").alias("seq"),
+        number("e.date").alias("date"), number("e.number").alias("seq"), "attorney_name",
     )
+
+
+def case_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, case attributes and the (code, description) pairs of the same files."""
     extras = raw.select(
         F.col("serial-number").alias("serial"),
         F.col("case-file-header.attorney-name").alias("attorney_name"),
         F.col("case-file-header.intent-to-use-in").alias("intent_to_use_in"),
     )
-    described = ev.select("e.code", F.col("e.description-text").alias("description"))
-    return events, extras, described.filter(F.col("description").isNotNull())
+    described = raw.select(F.explode("case-file-event-statements.case-file-event-statement").alias("e")).filter(F.length("e.code") > 0)
+    described = described.select("e.code", F.col("e.description-text").alias("description"))
+    return case_events(raw).drop("attorney_name"), extras, described.filter(F.col("description").isNotNull())
 
 
 def owner_addresses(raw: DataFrame) -> DataFrame:
@@ -165,11 +176,11 @@ def archive_tables(files: DataFrame, members: Mapping[str, Sequence[str]]) -> Da
     return _members(files, "|".join(re.escape(m) for m in members), columns=wanted).drop("element")
 
 
-def zipped_case_files(files: DataFrame) -> DataFrame:
+def zipped_case_files(files: DataFrame, schema: str = CASE_SCHEMA) -> DataFrame:
     """Raw case-file elements of the ``.xml`` and ``.xml.gz`` members of archives, as
-    :func:`case_files` gives them; an element that is no XML has nulls only and is dropped."""
+    :func:`case_files` gives them, or those of their parts that ``schema`` names; an element that is no XML has nulls only and is dropped."""
     rows = _members(files, r".*\.xml(?:\.gz)?", tag="case-file")
-    raw = rows.select(F.from_xml("element", CASE_SCHEMA).alias("_r")).select("_r.*")
+    raw = rows.select(F.from_xml("element", schema).alias("_r")).select("_r.*")
     return raw.filter(F.col("serial-number").isNotNull())
 
 

@@ -1,8 +1,12 @@
 """Texts are moved and tokenised once, however many rows a query derives from them."""
 
+import io
+
 import pytest
+from pyspark.sql import types as T
 
-from driftline.plans import bindings as b
+from driftline.plans import QUERIES, bindings as b
+from driftline.sources import archive_source, files
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +44,23 @@ def test_pseudo_topics_are_tokenised_once_for_their_readers(spark, monkeypatch):
     b.theta(spark, SF, arrays)
     b.masked(spark, SF, arrays)
     assert labels == ["theta", "rolling"]
+
+
+def test_events_take_the_attorney_of_their_own_file_in_one_pass(spark):
+    assert "Join" not in plan_of(QUERIES["src_xml_events"](spark, SF))
+
+
+def test_two_files_of_a_serial_keep_their_own_events(spark):
+    header = T.StructType.fromDDL(files.EVENT_SCHEMA)
+    event = lambda code: (code, "E", "20200102", "1")
+    raw = spark.createDataFrame([("1", ("Smith",), ([event("A"), event("B")],)), ("1", (None,), ([event("C")],))], header)
+    got = files.case_events(raw).select("serial", "code", "attorney_name").collect()
+    assert sorted(map(tuple, got)) == [("1", "A", "Smith"), ("1", "B", "Smith"), ("1", "C", None)]
+
+
+def test_elements_are_scanned_without_copying_what_follows(monkeypatch):
+    text = b"<r>" + b"".join(b"<item n='%d'>%s</item>\n" % (i, b"x" * (i % 50)) for i in range(500)) + b"<item>cut"
+    want = [x + "</item>" for x in text.decode().removeprefix("<r>").replace("\n", "").split("</item>")[:-1]]
+    for chunk in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(archive_source, "CHUNK", chunk)
+        assert list(archive_source.elements(io.BytesIO(text), "item")) == want
