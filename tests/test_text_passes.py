@@ -64,3 +64,12 @@ def test_elements_are_scanned_without_copying_what_follows(monkeypatch):
     for chunk in (1, 7, 64, 1 << 20):
         monkeypatch.setattr(archive_source, "CHUNK", chunk)
         assert list(archive_source.elements(io.BytesIO(text), "item")) == want
+
+
+def test_slices_of_terms_follow_the_stored_input(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    docs = b.table(spark, SF, "documents")
+    assert b.slices(docs) == cores
+    assert b.slices(docs, 1 << 10) > 10 * cores
+    monkeypatch.setattr(b, "slices", lambda df, part: 4 * cores)
+    assert "hashpartitioning(term" in plan_of(b.doc_terms(spark, SF)) and f", {4 * cores})" in plan_of(b.doc_terms(spark, SF))
