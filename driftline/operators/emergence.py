@@ -227,14 +227,20 @@ def vocabulary_recurrence(docs: DataFrame, doc_terms: DataFrame, owner: str = "o
 
     No state machine: a term is new where the owner's first position of it is
     the document's own, and the size of the earlier vocabulary is the running
-    total of new terms.
+    total of new terms.  If ``doc_terms`` has the owner (and ``doc_id`` is unique), first
+    positions are found where the terms lie, and no row of them is joined to anything.
     """
     pos = ranking.sequence_number(docs.select("doc_id", owner, "filed"), ["filed", "doc_id"], [owner])
-    t = doc_terms.select("doc_id", "term").join(pos.select("doc_id", owner, "seq"), "doc_id")
-    first = t.groupBy(owner, "term").agg(F.min("seq").alias("_first"))
-    per = t.join(first, [owner, "term"]).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_unique"), F.count_if(F.col("seq") == F.col("_first")).alias("_new")
-    )
+    if owner in doc_terms.columns:
+        # the hash comes first: comparing it settles nearly every comparison of the sort
+        w = Window.partitionBy("_h", owner, "term").orderBy("filed", "doc_id")
+        t = doc_terms.select("doc_id", owner, "filed", "term").filter(F.col(owner).isNotNull()).withColumn("_h", F.xxhash64(owner, "term"))
+        marked = t.select("doc_id", (F.row_number().over(w) == 1).alias("_is_new"))
+    else:
+        t = doc_terms.select("doc_id", "term").join(pos.select("doc_id", owner, "seq"), "doc_id")
+        first = t.groupBy(owner, "term").agg(F.min("seq").alias("_first"))
+        marked = t.join(first, [owner, "term"]).select("doc_id", (F.col("seq") == F.col("_first")).alias("_is_new"))
+    per = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_unique"), F.count_if("_is_new").alias("_new"))
     j = pos.join(per, "doc_id", "left").na.fill(0, ["n_unique", "_new"])
     j = ranking.running_total(j, ["seq"], F.col("_new"), [owner], "_prior")
     ok = (F.col("seq") > 1) & (F.col("n_unique") > 0)

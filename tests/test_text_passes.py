@@ -3,8 +3,9 @@
 import io
 
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
+from driftline.operators import emergence
 from driftline.plans import QUERIES, bindings as b
 from driftline.sources import archive_source, files
 
@@ -73,3 +74,15 @@ def test_slices_of_terms_follow_the_stored_input(spark, monkeypatch):
     assert b.slices(docs, 1 << 10) > 10 * cores
     monkeypatch.setattr(b, "slices", lambda df, part: 4 * cores)
     assert "hashpartitioning(term" in plan_of(b.doc_terms(spark, SF)) and f", {4 * cores})" in plan_of(b.doc_terms(spark, SF))
+
+
+def test_recurrence_finds_first_positions_where_the_terms_lie(spark):
+    docs = spark.createDataFrame(
+        [(1, "o", 5, "a b"), (2, "o", 3, "b c"), (3, "p", 4, "a"), (4, None, 1, "a b"), (5, "o", 9, "a d c")],
+        "doc_id long, mark string, filed int, body string",
+    )
+    terms = docs.select("doc_id", "mark", "filed", F.explode(F.split("body", " ")).alias("term"))
+    one, two = (emergence.vocabulary_recurrence(docs, t, "mark") for t in (terms, terms.drop("mark")))
+    scored = lambda df: sorted(map(tuple, df.filter("share_new is not null").collect()))
+    assert scored(one) == scored(two) and len(scored(one)) == 2
+    assert plan_of(one).count("Join") < plan_of(two).count("Join")
