@@ -5,6 +5,7 @@ import io
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from driftline.functions import text as tx
 from driftline.operators import emergence
 from driftline.plans import QUERIES, bindings as b
 from driftline.sources import archive_source, files
@@ -86,3 +87,16 @@ def test_recurrence_finds_first_positions_where_the_terms_lie(spark):
     scored = lambda df: sorted(map(tuple, df.filter("share_new is not null").collect()))
     assert scored(one) == scored(two) and len(scored(one)) == 2
     assert plan_of(one).count("Join") < plan_of(two).count("Join")
+
+
+def test_lengths_of_terms_need_no_terms(spark):
+    texts = ["red fox, the big dog. ox", "a", "", None, "été d'un soir the (fox) of", ";;", "one two three four"]
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    of = F.transform(tx.chunked_terms("body", b.STOPWORDS), lambda t: F.length(t))
+    rows = df.select(of.alias("a"), tx.chunked_lengths("body", b.STOPWORDS).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and len(rows[-1].b) == 7
+
+
+def test_pseudo_topics_put_no_pairs_together(spark, monkeypatch):
+    monkeypatch.setattr(b, "stage", lambda df, label: df)
+    assert "lambdafunction(isnotnull" not in plan_of(b.theta_arrays(spark, SF))  # ngrams filters its pairs
