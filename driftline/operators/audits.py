@@ -110,6 +110,4 @@ def compare_scorings(a: DataFrame, b: DataFrame, value: str = "lead", key: str =
         F.stddev_samp("a").alias("sd_a"), F.stddev_samp("b").alias("sd_b"),
     )
     rho = ranking.spearman(j, "a", "b", out="spearman")
-    for c in ("n", "spearman"):
-        stats = stats.withColumn(c, rho.select(c).scalar())
-    return stats
+    return stats.crossJoin(F.broadcast(rho))  # a row each

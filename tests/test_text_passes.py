@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from driftline.functions import text as tx
-from driftline.operators import emergence
+from driftline.operators import audits, emergence
 from driftline.plans import QUERIES, bindings as b
 from driftline.sources import archive_source, files
 
@@ -100,3 +100,12 @@ def test_lengths_of_terms_need_no_terms(spark):
 def test_pseudo_topics_put_no_pairs_together(spark, monkeypatch):
     monkeypatch.setattr(b, "stage", lambda df, label: df)
     assert "lambdafunction(isnotnull" not in plan_of(b.theta_arrays(spark, SF))  # ngrams filters its pairs
+
+
+def test_rank_correlation_of_two_scorings_is_computed_once(spark):
+    one = spark.createDataFrame([(i, (i * 7) % 11 / 3) for i in range(11)], "doc_id long, lead double")
+    two = one.withColumn("lead", F.col("lead") * F.col("lead"))
+    got = audits.compare_scorings(one, two)
+    assert "scalar-subquery" not in plan_of(got)
+    row = got.first()
+    assert row.n == 11 and abs(row.spearman - 1) < 1e-12
