@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -178,9 +178,15 @@ def sustained(doc_terms: DataFrame, need: int) -> DataFrame:
 
 
 def enrichment(
-    docs: DataFrame, score: str, outcome: str, min_docs: int, max_share: float = 0.2, k: int = 25
+    docs: DataFrame, score: str, outcome: str, stage: Callable[[DataFrame, str], DataFrame], min_docs: int, max_share: float = 0.2,
+    k: int = 25,
 ) -> DataFrame:
-    """Words over-represented in the lowest, middle and highest lead stratum."""
+    """Words over-represented in the lowest, middle and highest lead stratum.
+
+    ``stage`` keeps a document's score and distinct words, which quantiles, sizes and counts
+    read; the texts are read once.
+    """
+    docs = stage(docs.select(score, outcome, tx.word_set("body").alias("_words")), "words")
     names = ["_p10", "_p40", "_p60", "_p90"]
     d = ranking.with_quantiles(docs, score, [0.1, 0.4, 0.6, 0.9], names)
     s = F.col(score)
@@ -192,14 +198,13 @@ def enrichment(
     d = d.withColumn("stratum", stratum)
     strata = ("low", "neutral", "high")
     sizes = d.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col("stratum") == x).alias(f"_{x}") for x in strata])
-    words = d.select("stratum", outcome, F.explode(tx.word_set("body")).alias("word"))
+    words = d.select("stratum", outcome, F.explode("_words").alias("word"))
     per = words.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_docs"),
         share(F.col(outcome)).alias("rate"),
         *[F.count_if(F.col("stratum") == x).alias(f"n_{x}") for x in strata],
     ).filter(F.col("n_docs") >= min_docs)
-    for c in ("_all", *[f"_{x}" for x in strata]):
-        per = per.withColumn(c, sizes.select(c).scalar())
+    per = per.crossJoin(F.broadcast(sizes))  # one row
     per = per.withColumn("p_all", F.col("n_docs") / F.col("_all")).filter(F.col("p_all") <= max_share)
     cells = ", ".join(f"'{x}', n_{x} / _{x}" for x in strata)
     long = per.selectExpr("word", "n_docs", "rate", "p_all", f"stack(3, {cells}) as (stratum, p_stratum)")

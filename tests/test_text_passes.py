@@ -102,6 +102,18 @@ def test_pseudo_topics_put_no_pairs_together(spark, monkeypatch):
     assert "lambdafunction(isnotnull" not in plan_of(b.theta_arrays(spark, SF))  # ngrams filters its pairs
 
 
+def test_words_of_the_strata_are_read_from_a_stage_table(spark):
+    rows = [(i / 40, i % 3 == 0, f"all some{chr(97 + i % 7)}word other{chr(97 + i % 5)}") for i in range(40)]
+    docs, kept = spark.createDataFrame(rows, "lead double, good boolean, body string"), []
+    got = emergence.enrichment(docs, "lead", "good", lambda df, _: kept.append(df) or df, 2)
+    assert kept[0].columns == ["lead", "good", "_words"]
+    plan = plan_of(got)
+    # the cuts are the only subquery; sizes come with one row
+    assert plan.count("Subquery scalar-subquery") <= 4 and "BroadcastNestedLoopJoin" in plan
+    low = {r.word: r.p_stratum for r in got.filter("stratum = 'low'").collect()}
+    assert low["someaword"] == 0.25 and "all" not in low
+
+
 def test_rank_correlation_of_two_scorings_is_computed_once(spark):
     one = spark.createDataFrame([(i, (i * 7) % 11 / 3) for i in range(11)], "doc_id long, lead double")
     two = one.withColumn("lead", F.col("lead") * F.col("lead"))
