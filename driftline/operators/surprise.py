@@ -17,6 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import DAYS_PER_YEAR, ratio
+from ..sources.staging import drop_shuffles
 
 SIDES = ("past", "future")
 Stage = Callable[[DataFrame, str], DataFrame]
@@ -222,12 +223,14 @@ def corpus_term_contributions(
     spans = {"past": (-window, -1), "future": (1, window)}
     rows = vocabulary_rows(_class_sizes(docs), doc_terms, _span_sums(spans, "year"), "year", bounds)
     rows = stage(rows.select("doc_id", "cls", "year", "term", "cnt", "tf_past", "tf_future", "_first"), "vocabulary-rows")
+    drop_shuffles(rows)
     mass = rows.groupBy("cls", "year").agg(F.sum("cnt").alias("_m"))
     per = with_text(docs).groupBy("cls", "year").agg(F.count(F.lit(1)).alias("n_docs")).join(mass, ["cls", "year"], "left")
     totals = _span_totals(per, rows.groupBy("cls").agg(F.sum("_first").alias("v_size")), spans, "year")
     size = F.sum("cnt").over(Window.partitionBy("doc_id"))
-    rows = rows.drop("_first").join(F.broadcast(totals), ["cls", "year"])  # a row a class and year
-    return _contributions(rows.withColumn("_p", F.col("cnt") / size), alpha)
+    # the totals, a row a class and year, come after the rows have moved
+    rows = rows.drop("_first").withColumn("_p", F.col("cnt") / size).join(F.broadcast(totals), ["cls", "year"])
+    return _contributions(rows, alpha)
 
 
 def _contributions(joined: DataFrame, alpha: float) -> DataFrame:
