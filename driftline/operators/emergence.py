@@ -88,17 +88,39 @@ def emergence(
 
     ``outcome``: (doc_id, good).  Counts are per year, so a term's window is short.
     """
-    cohorts = cohorts or {"early": (0, 1), "mid": (2, 4), "late": (5, 9)}
     yearly = doc_terms.join(outcome, "doc_id").groupBy("cls", "term", "year").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good")
     )
+    return _emergence(yearly, emerge_min, prior_max, cohorts, floor)
+
+
+def corpus_emergence(
+    docs: DataFrame, doc_terms: DataFrame, emerge_min: int = 50, prior_max: int = 25,
+    cohorts: dict[str, tuple[int, int]] | None = None, floor: int = 20, min_df: int = 5, max_df: float = 0.5,
+) -> DataFrame:
+    """:func:`emergence` over the vocabulary of the documents themselves, whose keys are unique.
+
+    ``doc_terms`` is ``(cls, year, term, _m, _g)``, a row a document and term, dealt by term: the
+    document's number of outcomes and of good ones.  Everything is counted where these rows lie, so
+    they move once.
+    """
+    n = docs.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"))
+    yearly = doc_terms.groupBy("cls", "term", "year").agg(F.count(F.lit(1)).alias("_docs"), F.sum("_m").alias("n"), F.sum("_g").alias("good"))
+    yearly = yearly.withColumn("_df", F.sum("_docs").over(Window.partitionBy("cls", "term"))).join(F.broadcast(n), "cls")
+    known = yearly.filter((F.col("_df") >= min_df) & (F.col("_df") <= F.col("_n") * max_df))
+    return _emergence(known.select("cls", "term", "year", "n", "good"), emerge_min, prior_max, cohorts, floor)
+
+
+def _emergence(yearly: DataFrame, emerge_min: int, prior_max: int, cohorts: dict[str, tuple[int, int]] | None, floor: int) -> DataFrame:
+    cohorts = cohorts or {"early": (0, 1), "mid": (2, 4), "late": (5, 9)}
     w = Window.partitionBy("cls", "term").orderBy("year")
     prior = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     yearly = yearly.withColumn("_prior", prior)
     hit = F.when(F.col("n") >= emerge_min, F.struct(F.col("year").alias("y"), F.col("_prior").alias("p")))
-    start = yearly.groupBy("cls", "term").agg(F.min(hit).alias("_e"), F.sum("n").alias("n_total"))
+    whole = Window.partitionBy("cls", "term")
+    start = yearly.withColumn("_e", F.min(hit).over(whole)).withColumn("n_total", F.sum("n").over(whole))
     start = start.filter(F.col("_e").isNotNull() & (F.col("_e.p") < prior_max)).select(
-        "cls", "term", "n_total",
+        "cls", "term", "year", "n", "good", "n_total",
         F.col("_e.y").alias("emergence_year"), F.col("_e.p").alias("prior_docs"),
     )
     age = F.col("year") - F.col("emergence_year")
@@ -107,7 +129,7 @@ def emergence(
         for c in ("n", "good"):
             aggs.append(F.sum(F.when(age.between(lo, hi), F.col(c)).otherwise(0)).alias(f"_{c}_{name}"))
     keys = ["cls", "term", "n_total", "emergence_year", "prior_docs"]
-    out = yearly.join(start, ["cls", "term"]).groupBy(*keys).agg(*aggs)
+    out = start.groupBy(*keys).agg(*aggs)
     first, last = list(cohorts)[0], list(cohorts)[-1]
     out = out.filter((F.col(f"_n_{first}") >= floor) & (F.col(f"_n_{last}") >= floor))
     for name in cohorts:
